@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sentrel.llm.near_dedup import op8_minhash_dedup
 from sentrel.llm.token_counts import op10_token_counts
+from sentrel.llm.token_store import op9_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_token_counts": op10_token_counts}
+    return {
+        "op8_minhash_dedup": op8_minhash_dedup,
+        "op9_token_store": op9_token_store,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
