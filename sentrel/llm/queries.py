@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sentrel.llm.decontamination import op7_decontaminate
+from sentrel.llm.mixing import op1_mix_sources
 from sentrel.llm.near_dedup import op8_minhash_dedup
+from sentrel.llm.quality import op6_quality_classifier
 from sentrel.llm.token_counts import op10_token_counts
 from sentrel.llm.token_store import op9_token_store
+from sentrel.llm.url_filter import op4_url_filter
+from sentrel.llm.vector_dedup import op3_vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mix_sources": op1_mix_sources,
+        "op3_vector_dedup": op3_vector_dedup,
+        "op4_url_filter": op4_url_filter,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_decontaminate": op7_decontaminate,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_token_store": op9_token_store,
         "op10_token_counts": op10_token_counts,
