@@ -10,6 +10,7 @@ from sentrel.llm.decontamination import op7_decontaminate
 from sentrel.llm.mixing import op1_mix_sources
 from sentrel.llm.near_dedup import op8_minhash_dedup
 from sentrel.llm.quality import op6_quality_classifier
+from sentrel.llm.substring_dedup import op5_substring_dedup
 from sentrel.llm.token_counts import op10_token_counts
 from sentrel.llm.token_store import op9_token_store
 from sentrel.llm.url_filter import op4_url_filter
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op3_vector_dedup": op3_vector_dedup,
         "op4_url_filter": op4_url_filter,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_decontaminate": op7_decontaminate,
         "op8_minhash_dedup": op8_minhash_dedup,
