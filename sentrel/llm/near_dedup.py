@@ -3,11 +3,11 @@
 1. Each text becomes its set of k-word shingles (64-bit hashes; A-Z lower-cased; words are runs without space and
    \\t..\\r). SAMPLES MinHash values are folded (a) into BANDS keys and (b) into an odd sketch: a bitmap of parities whose
    XOR with another has few ones exactly when most samples agree.
-2. Documents with equal sets form a class, of which the smallest doc_id goes on. In each band bucket every class is paired
-   with the smallest one only; pairs whose sizes or sketches rule out the threshold go, the others are confirmed on the
-   full sets, and links form components.
-3. Buckets that still hold more than one component are joined again, across components only, until no untested pair is
-   left; so no link that could join components is passed over, and no group is expanded into all its pairs.
+2. Documents with equal sets form a class, of which the smallest doc_id goes on. A band bucket's leader is its smallest
+   class. Every class is paired with the smallest of its leaders, and then with those of others that are still in another
+   component; pairs whose sizes or sketches rule out the threshold go, the others are confirmed on the full sets.
+3. In buckets that still hold more than one component, blocks of classes meet in tasks that test all pairs across
+   components and return only links that join them; so no such link is passed over, and no pairs are written out.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8**4)**32 < 5e-8, and the sketch bound lies SIGMAS
 standard deviations off.
@@ -29,6 +29,8 @@ from sentrel.llm import textkit
 from sentrel.llm.common import components, forget, schema, semi_by_id, settle
 
 SAMPLES, BANDS, BITS, SIGMAS = 128, 32, 1024, 6
+#: Classes in a block of a bucket.
+MEET = 512
 
 _draw = np.random.Generator(np.random.PCG64(977))
 MULTIPLIERS = _draw.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,6 +128,65 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return links
 
 
+def plausible(percent: int) -> Column:
+    """Whether sizes and odd sketches of x and y leave the threshold possible."""
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    return sizes & (ones_between(F.col("x.odd"), F.col("y.odd")) <= sketch_bound(percent / 100))
+
+
+def across(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) that join different components inside buckets (key, rep, root, m). Every two blocks of a bucket meet in
+    one task, which compares sketches as arrays, confirms on full sets what they leave possible and not yet joined, and
+    returns at most one link for each join; a pair counts in the first band that it shares only."""
+    bound = sketch_bound(percent / 100)
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, root, n = (np.array(table.column(c).to_pylist(), np.int64) for c in ("rep", "root", "n"))
+        key, alone = table.column("key")[0].as_py(), table.column("x")[0] == table.column("y")[0]
+        own = np.array(table.column("own").to_pylist())
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        odd = np.array(table.column("odd").to_pylist(), np.int64).view(np.uint64)
+        sets = [np.frombuffer(g.as_buffer(), np.uint64) for c in table.column("grams").chunks for g in c]
+        parent = {int(r): int(r) for r in root}
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        out = []
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        rows, cols = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        for i in rows.tolist():
+            js = cols[cols > i] if alone else cols
+            js = js[(root[js] != root[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent)]
+            js = js[np.bitwise_count(odd[js] ^ odd[i]).sum(1) <= bound]
+            if len(js):
+                equal = bands[js] == bands[i]
+                js = js[bands[js][np.arange(len(js)), equal.argmax(1)] == key]
+            for j in js.tolist():
+                a, b = find(int(root[i])), find(int(root[j]))
+                if a == b:
+                    continue
+                small, large = (sets[i], sets[j]) if n[i] <= n[j] else (sets[j], sets[i])
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int((large[at] == small).sum())
+                if 100 * both >= percent * (len(small) + len(large) - both):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(rep[i]), int(rep[j])))
+        return pa.table([pa.array([o[c] for o in out], pa.int64()) for c in range(2)], ["u", "v"])
+
+    ids = open_.select(F.col("rep").alias("doc_id")).distinct()
+    sets = settle(full_sets(semi_by_id(docs, ids, "doc_id").dropDuplicates(["doc_id"]), k).join(classes.select(F.col("rep").alias("doc_id"), "n", "bands", "odd"), "doc_id"), "sets")
+    blocks = F.ceil(F.col("m") / MEET).cast("int")
+    dealt = open_.withColumns({"own": F.pmod(F.xxhash64("rep"), blocks).cast("int"), "blocks": blocks})
+    pairs = F.expr("transform(sequence(0, blocks - 1), j -> named_struct('x', least(own, j), 'y', greatest(own, j)))")
+    dealt = dealt.withColumn("t", F.explode(pairs)).select("key", "rep", "root", "own", "t.x", "t.y")
+    full = dealt.join(sets, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    return full.groupBy("key", "x", "y").applyInArrow(run, schema("u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; see the module's text."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -136,35 +197,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
     shared = settle(bands.join(leaders, "key"), "shared")
     facts = classes.select("rep", "n", "odd")
-    bound = sketch_bound(percent / 100)
-
-    def plausible(x: str, y: str) -> Column:
-        sizes = F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
-        return sizes & (ones_between(F.col(f"{x}.odd"), F.col(f"{y}.odd")) <= bound)
-
-    pairs = shared.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    joined = pairs.join(facts.alias("y"), F.col("b") == F.col("y.rep")).join(facts.alias("x"), F.col("a") == F.col("x.rep"))
-    pairs = settle(joined.where(plausible("x", "y")).select("a", "b"), "pairs")
-    tested = shared.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     # rows with one doc_id and different texts are one document
     same = named.select("doc_id", "h1", "h2", "n").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).where("doc_id <> rep")
-    links = settle(confirm(pairs, docs, k, percent).unionByName(same.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count_distinct("rep").alias("c")).where("c > 1").select(F.col("lo").alias("u"), F.col("hi").alias("v"))), "links")
+    same = same.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("u", "v")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(facts.alias("y"), F.col("b") == F.col("y.rep")).join(facts.alias("x"), F.col("a") == F.col("x.rep"))
+        return confirm(settle(joined.where(plausible(percent)).select("a", "b"), "pairs"), docs, k, percent)
+
+    # each class with the smallest of its leaders
+    first = shared.groupBy("rep").agg(F.min("leader").alias("leader")).where("rep <> leader")
+    links = settle(tested(first.select(F.col("leader").alias("a"), F.col("rep").alias("b"))).unionByName(same), "links")
+    roots = components(links)
+    # with its other leaders, where that could still join components
+    tagged = shared.join(roots.withColumnRenamed("root", "r1"), F.col("rep") == F.col("node"), "left").drop("node").join(roots.withColumnRenamed("root", "r2"), F.col("leader") == F.col("node"), "left").drop("node")
+    rest = tagged.where(F.coalesce("r1", "rep") != F.coalesce("r2", "leader")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    links = settle(links.unionByName(tested(rest.join(first.select(F.col("leader").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti"))), "links")
     roots = components(links)
-    while True:
-        tagged = shared.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        open_ = settle(tagged.join(mixed, "key").join(facts, "rep"), "open")
-        x, y = open_.alias("x"), open_.alias("y")
-        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & plausible("x", "y"))
-        more = settle(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "cross")
-        forget(open_)
-        if more.isEmpty():
-            break
-        tested = tested.unionByName(more)
-        found = confirm(more, docs, k, percent)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
+    # all others of a bucket, across its components, block by block
+    tagged = shared.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("key", "m")
+    open_ = settle(tagged.join(mixed, "key"), "open")
+    if not open_.isEmpty():
+        links = settle(links.unionByName(across(open_, classes, docs, k, percent)), "links")
         roots = components(links)
     forget(shared)
     whole = rows.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(roots, F.col("rep") == F.col("node"), "left")
