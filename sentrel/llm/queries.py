@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sentrel.llm.decontamination import op7_decontaminate
 from sentrel.llm.mixing import op1_mix_sources
 from sentrel.llm.near_dedup import op8_minhash_dedup
+from sentrel.llm.pii import op2_pii
 from sentrel.llm.quality import op6_quality_classifier
 from sentrel.llm.substring_dedup import op5_substring_dedup
 from sentrel.llm.token_counts import op10_token_counts
@@ -20,6 +21,7 @@ from sentrel.llm.vector_dedup import op3_vector_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_pii": op2_pii,
         "op3_vector_dedup": op3_vector_dedup,
         "op4_url_filter": op4_url_filter,
         "op5_substring_dedup": op5_substring_dedup,
