@@ -21,7 +21,7 @@ from sentrel.llm.common import join_small, settle
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.0, 3
 #: Newton rounds at most, and the relative distance from the target that ends them.
-ROUNDS, CLOSE = 40, 1e-6
+ROUNDS, CLOSE = 20, 1e-4
 #: Documents are settled in tiers by size over the source's mean; hash ranges of one tier that are summed first.
 TIERS, BINS = (1.0, 0.25, 0.0), 4096
 

@@ -1,0 +1,392 @@
+"""Each operator against a brute-force version, and on nulls, empty texts and tables, ties, repeats and clashing names."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs_of(spark, texts, sources=None):
+    rows = [(i, t, "en", sources[i] if sources else f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def prose(seed, n, words=60):
+    r = random.Random(seed)
+    return [" ".join(f"w{r.randrange(4000)}" for _ in range(words)) + "." for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, short, long, repeated texts; a null id, a repeated row; extra columns."""
+    base = prose(1, 4)
+    texts = [None, "", " \n", "one", base[0], base[0], base[1], "x" * 200_000, base[2] + " tail", "naïve café — 🙂"]
+    df = docs_of(spark, texts, [None, "", "a", "b", "b", "b", "c", None, "é", "a"])
+    more = spark.createDataFrame([(None, "lost id", "en", "a", 7), (4, base[0], "en", "b", 1)], SCHEMA)
+    return df.unionByName(more).withColumn("rep", F.lit(1)).withColumn("key", F.lit("k"))
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# 1 ----------------------------------------------------------------------------------------------------------------------
+
+
+def shares(sizes):
+    """Targets by hand: fill by weight, cap at three times, deal the rest again."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, open_, out = float(sum(sizes.values())), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+        for s in full or open_:
+            out[s] = 3.0 * sizes[s] if full else level * weight[s]
+        if not full:
+            break
+        left -= sum(out[s] for s in full)
+        open_ -= full
+    return out
+
+
+def test_mix(spark, odd):
+    from sentrel.llm.mixing import mix, mixed_documents
+
+    r = random.Random(3)
+    texts = ["w " * r.choice([1, 3, 10, 50, 400]) for _ in range(900)]
+    names = [r.choice(["a", "b", "c", "d", None, "tiny"] if r.random() < 0.1 else ["a", "b"]) for _ in texts]
+    plain = docs_of(spark, texts, names)
+    for df in (plain, odd):
+        got = mix(df).collect()
+        source = {(x.doc_id, len(WORDS.findall(x.text or ""))): x.source for x in df.collect()}
+        sizes, taken = collections.Counter(), collections.Counter()
+        for x in df.collect():
+            sizes[x.source] += len(WORDS.findall(x.text or ""))
+        want = shares(dict(sizes))
+        for x in got:
+            s = source[x.doc_id, x.size]
+            assert x.source_size == sizes[s] and abs(x.target - want[s]) < 1e-6 * max(1, want[s]) and 0 <= x.taken <= 3 * x.size
+            taken[s] += x.taken
+        if df is plain:
+            first = got
+            for s in sizes:
+                assert abs(taken[s] - want[s]) <= 0.02 * want[s] + 10, (s, taken[s], want[s])
+    copies = collections.Counter(x.doc_id for x in mixed_documents(plain.repartition(5)).collect())
+    assert copies == collections.Counter({x.doc_id: x.copies for x in first if x.copies})
+    assert mix(empty(spark)).count() == 0
+
+
+# 2 ----------------------------------------------------------------------------------------------------------------------
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def pii_ok(kind, m):
+    d = re.sub(r"\D", "", m)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        return 12 <= len(d) <= 19 and sum((int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) if i % 2 else int(c) for i, c in enumerate(d[::-1])) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def test_pii(spark, odd):
+    from sentrel.llm.pii import pii_report
+
+    r = random.Random(4)
+    bits = ["a@b.c_x@y.zz", "1.2.3.4.5.6.7.8", "999.1.1.1", "00012.1.1.255", " ", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (234) 555-0199", "+", "-", "..", "@", "x", "é", "🙂", "12", "\n", "jo.do(at)mail(dot)com ", "2020-12-11 ", "a1@-.-", "5"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(0, 25))) for _ in range(300)] + ["9" * 60_000, "a" * 60_000, "1.2.3.4 " * 3000]
+    df = docs_of(spark, texts).select("doc_id", "text")
+    for x, t in zip(sorted(pii_report(df.unionByName(odd.select("doc_id", "text").where("doc_id < 0"))).collect(), key=lambda x: x.doc_id), texts):
+        base = sorted((m.start(), i, m.end(), k) for i, k in enumerate(PII) for m in re.finditer(PII[k], t) if pii_ok(k, m.group()))
+        names = [f"{k}:{s}:{e}" for s, _, e, k in base]
+        assert x.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(b[3] == k for b in base) for k in PII]
+        assert set(names) <= set(x.spans.split(",")) | {""}
+    assert pii_report(odd).count() == odd.count() and pii_report(empty(spark)).count() == 0
+
+
+# 3 ----------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("cell", [2048, 40])
+def test_vectors(spark, monkeypatch, cell):
+    from sentrel.llm import vector_dedup as V
+
+    monkeypatch.setattr(V, "CELL", cell)
+    monkeypatch.setattr(V, "BLOCK", min(cell, 64))
+    r = np.random.default_rng(7)
+    centers = r.normal(size=(12, 16))
+    rows = []
+    for i in range(400):
+        v = centers[r.integers(12)] + r.normal(size=16) * r.choice([0, 0.05, 0.12, 0.5])
+        rows.append((i, v.astype(np.float32).tolist(), int(r.integers(3)) if i % 50 else None))
+    rows += [(400, None, 1), (401, [], 1), (402, [0.0] * 16, 1), (403, [1.0, None] * 8, 1), (404, [float("nan")] * 16, 1), (405, [1.0, 2.0], 1), (406, rows[1][1], rows[1][2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("name", F.lit("x"))
+    ok = [(i, np.array(v, float), lab) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    links = collections.defaultdict(set)
+    for a in range(len(ok)):
+        for b in range(a):
+            (i, x, p), (j, y, q) = ok[a], ok[b]
+            if p == q and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+                links[i].add(j)
+                links[j].add(i)
+    root = {i: i for i, _, _ in rows}
+    for _ in range(60):
+        for i in root:
+            root[i] = min([root[i], *(root[j] for j in links[i])])
+    for x in V.vector_duplicates(df, 0.98).collect():
+        assert (x.n_links, x.component_id, x.kept) == (len(links[x.vec_id]), root[x.vec_id], root[x.vec_id] == x.vec_id)
+    assert V.vector_duplicates(df.where("false")).count() == 0
+
+
+# 4 ----------------------------------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    from sentrel.llm.url_filter import RULES, url_verdicts
+
+    urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/71?x#y", "http://example.com/en/8", "https://x.com/en/", "http://xexample.net/de/8", "http://a.example.net/de/80", "http://b.net/de/", "http://o.org/es/1/2#z", "http://o.org/es?q=/", "a://b://c/d", "http://h/p\nq?r", "ftp://É.com/en/x", "http://com/en/"]
+    urls += [f"http://shop{i % 5}.io/item/{i}/view" for i in range(60)] + ["http://deep.io/" + "a/" * 3000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    for x in url_verdicts(df).collect():
+        u = urls[x.page_id] or ""
+        host = path = ""
+        if "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.match(r"[^/?#]*", rest).group()
+            path = re.match(r"[^?#]*", rest[len(host) :]).group()
+            host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fit = [r for r in RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        best = max(fit, key=lambda r: len(r[0] + r[1]), default=None)
+        assert (x.host, x.path, x.rule) == (host, path, best and best[0] + best[1])
+        assert x.verdict == best[2] if best else x.verdict in ("allow", "block")
+    assert url_verdicts(df.where("false")).count() == 0
+
+
+def test_url_templates_learn(spark):
+    from sentrel.llm.url_filter import url_verdicts
+
+    rows = [f"http://s.io/ads/{i}/x" for i in range(40)] + [f"http://s.io/news/{i}/x" for i in range(40)] + [f"http://s.io/ads/{i}/other" for i in range(9)]
+    rules = [("s.io", f"/ads/{i}/x", "block") for i in range(30)] + [("s.io", f"/news/{i}/x", "allow") for i in range(30)]
+    got = {x.page_id: x for x in url_verdicts(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()}
+    assert {got[i].verdict for i in range(30, 40)} == {"block"} and {got[i].verdict for i in range(70, 80)} == {"allow"}
+
+
+# 5 ----------------------------------------------------------------------------------------------------------------------
+
+
+def repeats(rows):
+    first = {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        for s in range(len(b) - 49):
+            first.setdefault(b[s : s + 50], i)
+    out = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 49):
+            if first[b[s : s + 50]] < i:
+                gone[s : s + 50] = b"\1" * 50
+        spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+    return out
+
+
+def test_suffix_order():
+    from sentrel.llm.substring_dedup import sort_suffixes
+
+    r = random.Random(2)
+    for _ in range(200):
+        b = "".join(r.choice("aab") for _ in range(r.randrange(1, 60))).encode() + b"\xff"
+        assert sort_suffixes(np.frombuffer(b, np.uint8)).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
+def test_substrings(spark, odd):
+    from sentrel.llm.substring_dedup import remove_repeats
+
+    r = random.Random(2)
+    base = ["".join(r.choice("abcd ef") for _ in range(400)) for _ in range(6)]
+    texts = []
+    for i in range(150):
+        t = ""
+        for _ in range(r.randrange(0, 5)):
+            b, s = r.choice(base), r.randrange(300)
+            t += b[s : s + r.randrange(20, 100)]
+            t += "é" * r.randrange(0, 60) if r.random() < 0.3 else ""
+        texts.append(t if i % 17 else None)
+    want = repeats(list(enumerate(texts)))
+    got = remove_repeats(docs_of(spark, texts)).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        assert tuple(x)[1:] == want[x.doc_id]
+    assert remove_repeats(odd).count() == odd.count() and remove_repeats(empty(spark)).count() == 0
+
+
+# 6 ----------------------------------------------------------------------------------------------------------------------
+
+
+def test_quality(spark, odd):
+    from sentrel.llm.quality import keep_good, quality_scores
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = {x.doc_id: x for x in quality_scores(docs, labels).collect()}
+    assert len(rows) == docs.count()
+    known = {x.doc_id: x.quality for x in labels.collect()}
+    for i, x in rows.items():
+        assert x.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.7)
+    held = [(known[i], rows[i].predicted) for i in known if rows[i].held_out]
+    assert sum(a == b for a, b in held) / len(held) > 0.95
+    assert quality_scores(odd, labels).count() == odd.count()
+    assert keep_good(odd, labels).columns == odd.columns
+    assert {x.score for x in quality_scores(odd, labels.where("false")).collect()} <= {0.495, 0.5}
+    assert quality_scores(empty(spark), labels).count() == 0
+
+
+# 7 ----------------------------------------------------------------------------------------------------------------------
+
+
+def test_leaks(spark, odd):
+    from sentrel.llm.decontamination import clean_documents, leaks
+
+    plain = prose(9, 40)
+    items = ["Alice went to the market and bought 12 apples for 5 dollars before lunch with Bob today", "the quick brown fox jumps over one lazy dog and then sleeps all day", "a b c", "12 13 14 15 16 17"]
+    bench = spark.createDataFrame([*enumerate(items), (9, None), (10, "")], "item_id long, text string")
+    swapped = items[0].replace("12", "37").replace("5 ", "9 ").replace("Bob", "Tom")
+    texts = [*plain, plain[0] + " " + items[1].upper().lower() + " " + plain[1], "Intro: " + swapped + " End.", "the quick brown fox jumps over nothing else", None, ""]
+    hit = {(x.doc_id, x.item_id) for x in leaks(docs_of(spark, texts), bench).collect()}
+    assert hit == {(40, 1), (41, 0)}
+    assert sorted(x.doc_id for x in clean_documents(docs_of(spark, texts), bench).collect()) == [i for i in range(45) if i not in (40, 41)]
+    assert leaks(odd, bench).count() == 0 and clean_documents(odd, bench).count() == odd.count()
+    assert leaks(odd, bench.where("false")).count() == 0 and leaks(empty(spark), bench).count() == 0
+
+
+# 8 ----------------------------------------------------------------------------------------------------------------------
+
+
+def shingle_sets(rows, k):
+    out = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        out[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    return out
+
+
+def groups(sets):
+    p = {i: i for i in sets}
+
+    def find(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i:
+                n = len(sets[i] & sets[j])
+                if n and 100 * n >= 80 * len(sets[i] | sets[j]):
+                    a, b = find(i), find(j)
+                    p[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def test_near_duplicates(spark, odd):
+    from sentrel.llm.near_dedup import keep_one_of_each, near_duplicates
+
+    r = random.Random(5)
+    texts = [None, "", "  ", "one two", "ONE two", "one"]
+    for f in range(8):
+        base = [f"w{r.randrange(3000)}" for _ in range(110)]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(r.randrange(0, 9)):
+                w[r.randrange(len(w))] = f"x{r.randrange(9999)}"
+            texts.append(" ".join(w))
+    order = texts[6:]
+    r.shuffle(order)
+    texts = texts[:6] + order
+    sets = shingle_sets(enumerate(texts), 4)
+    want = groups(sets)
+    for x in near_duplicates(docs_of(spark, texts), 4, 80).collect():
+        assert (x.n_shingles, x.component_id, x.kept) == (len(sets[x.doc_id]), want[x.doc_id], want[x.doc_id] == x.doc_id)
+    assert near_duplicates(odd).count() == odd.count() and near_duplicates(empty(spark)).count() == 0
+    assert keep_one_of_each(odd).columns == odd.columns
+
+
+# 9, 10 ------------------------------------------------------------------------------------------------------------------
+
+
+def strange(n):
+    r = random.Random(6)
+    bits = ["a", "B", "é", "É", "'s", "I'LL", ".", ",", "|", "<|endoftext|>", " ", "\n", "1", "23", "—", "ñ", "×", "́", "İ", "Σ", "%%", "\x1c", "\x85", "\xa0", "的", "🙂", "    ", "▁", "the", "ing", "<s>", "क्"]
+    return ["".join(r.choice(bits) for _ in range(r.randrange(0, 14))) for _ in range(n)] + [None, "", "a" * 5000]
+
+
+def test_token_store(spark, odd, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sentrel.llm import token_store as S
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = strange(3000) + ["long " * 30_000 + "tail"]
+    df = docs_of(spark, texts)
+    store = str(tmp_path / "store")
+    S.write_store(df, store, path, 2)
+    want = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    back = {x.doc_id: x.ids for x in S.read_ids(spark, store).collect()}
+    start = 0
+    rows = sorted(S.verify_store(spark, store).collect(), key=lambda x: x.doc_id)
+    for x, ids in zip(rows, want, strict=True):
+        assert back[x.doc_id] == ids
+        assert (x.start, x.n_tokens, x.ids_crc32, x.verified) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+        start += len(ids)
+    chunks = spark.read.parquet(f"{store}/data/kind=chunk")
+    assert chunks.count() == chunks.select("digest").distinct().count()
+    assert spark.read.parquet(f"{store}/manifest").orderBy(F.desc("level")).first().node == 0
+    assert S.token_output(odd, path).count() == odd.count() and S.token_output(empty(spark), path).count() == 0
+
+
+def test_token_counts(spark, odd):
+    import public_tokenizers
+    import sentencepiece
+
+    from sentrel.llm.token_counts import token_counts
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = strange(6000)
+    for x in token_counts(docs_of(spark, texts), path, 4096).collect():
+        n = len(model.encode(texts[x.doc_id] or ""))
+        assert (x.n_bytes, x.n_tokens, x.over_limit) == (len((texts[x.doc_id] or "").encode()), n, n > 4096)
+    assert token_counts(odd, path, 4096).count() == odd.count() and token_counts(empty(spark), path, 1).count() == 0
+
+
+# pipeline ---------------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    first = docs
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, d)
+        assert docs.columns == first.columns
+    sets = shingle_sets(((x.doc_id, x.text) for x in P.near_dedup_stage(spark, first, d).collect()), 5)
+    assert all(i == c for i, c in groups(sets).items())
+    out = P.run(spark, d)
+    assert out.where("not verified").count() == 0 and out.count() == docs.count()
