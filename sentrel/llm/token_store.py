@@ -141,38 +141,43 @@ def unpack(payload: bytes, press) -> np.ndarray:
     return np.frombuffer(press.decompress(payload[1:]), "<u2" if payload[:1] == b"\2" else "<u4").astype("<u4")
 
 
-def crc_shift(length: int) -> np.ndarray:
-    """GF(2) matrix, as 32 columns, that carries a CRC-32 over `length` further zero bytes."""
-    def times(m: np.ndarray, v: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(v)
+def _crc_tables() -> list[list[list[int]]]:
+    """For each power of two, byte tables of the linear map that carries a CRC-32 over so many further zero bytes."""
+    def times(m: list[int], v: int) -> int:
+        out = 0
         for bit in range(32):
-            out ^= np.where((v >> np.uint32(bit)) & np.uint32(1), m[bit], np.uint32(0))
+            if v >> bit & 1:
+                out ^= m[bit]
         return out
 
-    one_bit = np.array([0xEDB88320, *(1 << i for i in range(31))], np.uint32)
-    m = one_bit
+    m = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
     for _ in range(3):
-        m = times(m, m)
-    out = np.array([1 << i for i in range(32)], np.uint32)
-    while length:
-        if length & 1:
-            out = times(m, out)
-        m = times(m, m)
-        length >>= 1
+        m = [times(m, x) for x in m]
+    out = []
+    for _ in range(48):
+        out.append([[times(m, byte << 8 * at) for byte in range(256)] for at in range(4)])
+        m = [times(m, x) for x in m]
     return out
 
 
-def crc_join(parts: list[tuple[int, int]], shifts: dict[int, np.ndarray]) -> int:
+_tables: list = []
+
+
+def crc_join(parts: list[tuple[int, int]]) -> int:
     """CRC-32 of the concatenation of parts given as (bytes, crc)."""
     total = 0
     for size, crc in parts:
-        m = shifts.get(size)
-        if m is None:
-            if len(shifts) > 20_000:
-                shifts.clear()
-            m = shifts[size] = crc_shift(size)
-        bits = np.flatnonzero((total >> np.arange(32)) & 1) if total else []
-        total = int(np.bitwise_xor.reduce(m[bits])) ^ crc if len(bits) else crc
+        if total:
+            if not _tables:
+                _tables.extend(_crc_tables())
+            power = 0
+            while size:
+                if size & 1:
+                    a, b, c, d = _tables[power]
+                    total = a[total & 255] ^ b[total >> 8 & 255] ^ c[total >> 16 & 255] ^ d[total >> 24]
+                size >>= 1
+                power += 1
+        total ^= crc
     return total
 
 
@@ -274,12 +279,11 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
             yield pa.record_batch({"digest": batch.column(0), "n": textkit.column_long(n), "crc": textkit.column_long(crc), "good": pa.array(good, pa.bool_())})
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shifts: dict[int, np.ndarray] = {}
         for batch in batches:
             total, crcs, count, ok = [], [], [], []
             for size, root, parts in zip(*(batch.column(k).to_pylist() for k in range(2, 5))):
                 total.append(sum(p["n"] or 0 for p in parts))
-                crcs.append(crc_join([(4 * (p["n"] or 0), p["crc"] or 0) for p in parts], shifts))
+                crcs.append(crc_join([(4 * (p["n"] or 0), p["crc"] or 0) for p in parts]))
                 count.append(len(parts))
                 ok.append(all(p["good"] for p in parts) and total[-1] == size and merkle([p["digest"] for p in parts]) == root)
             yield pa.record_batch({"doc_id": batch.column(0), "start": batch.column(1), "n_tokens": textkit.column_long(total), "ids_crc32": textkit.column_long(crcs), "n_chunks": textkit.column_long(count), "verified": pa.array(ok, pa.bool_())})
