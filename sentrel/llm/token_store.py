@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,64 +32,89 @@ from sentrel.llm.common import exclusive_sums, schema, settle, work_folder
 #: Ids under the rolling hash; least, mean (a power of two) and most ids of a chunk.
 SPAN, LEAST, MEAN, MOST = 16, 256, 2048, 8192
 #: Words whose ids a worker remembers; beyond, it starts anew.
-WORDS = 300_000
+WORDS = 500_000
 #: Digests below one node of the manifest.
 FAN = 1024
 
+#: Units of a lower-cased text that can be encoded apart: Latin letters before a plain mark, such marks before a letter,
+#: and otherwise whole words. The pre-tokenizer parts letters from marks too; an apostrophe is not a plain mark.
+UNITS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+(?=[\s.,!?;:%#&$*|]|\Z)|[.,!?;:%#&$*|]+(?=[\sa-z]|\Z)|\S+")
+
 DRAFT = "kind string, key long, doc_id long, n_tokens long, root binary, chunks array<binary>, digest binary, payload binary"
 _encoders: dict[str, WordEncoder] = {}  # noqa: F821
 
 
 class WordEncoder:
     """Ids of UTF-8 texts by the tokenizers library, which sees each different word once. Only ASCII white space ends a
-    word; the vocabulary's pre-tokenizer drops it and joins nothing across it, so words can be encoded apart."""
+    word; the vocabulary's pre-tokenizer drops it and joins nothing across it, so words can be encoded apart. For a
+    vocabulary that lower-cases, units smaller than words are enough (UNITS); a block that holds the string of a special
+    token is taken word by word and as it is."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        added = sorted(self.library.get_added_tokens_decoder().items())
+        self.special = [t.content.encode() for _, t in added]
+        apart = [(t.content, i) for i, t in added if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark = apart[-1] if apart else None
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.lists: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.sizes: list[int] = []
-
-    def learn(self, words: list[bytes]) -> None:
-        found = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, found):
-            ids = e.ids
-            self.known[w] = len(self.sizes)
-            self.sizes.append(len(ids))
-            self.lists.append(np.array(ids, np.uint32))
+        self.flat = np.zeros(0, np.uint32)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+
+    def ids_of(self, words: list[bytes], alone: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes. Words are sent in runs with a special token between them, which the library never joins to
+        its neighbours, unless they may hold a special token themselves."""
+        if alone or self.mark is None:
+            each = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
+        text, code = self.mark
+        runs = [text.join([w.decode() for w in words[i : i + 1000]]) + text for i in range(0, len(words), 1000)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(runs, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == code)
+        return ids[ids != code], np.diff(np.append(-1, ends)) - 1
+
+    def learn(self, words: list[bytes], end: int, alone: bool) -> None:
+        flat, size = [self.flat], [self.size]
+        if words:
+            ids, n = self.ids_of(words, alone)
+            self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+            flat.append(ids)
+            size.append(n)
+        if b"" not in self.known:
+            self.known[b""] = len(self.known)
+            flat.append(np.array([end], np.uint32))
+            size.append(np.array([1]))
+        self.flat, self.size = np.concatenate(flat), np.concatenate(size)
+        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows, each with the end id, and len+1 offsets."""
+        """All ids of the rows, each with the end id, and len+1 offsets. The empty word stands for the end."""
         if len(self.known) > WORDS:
             self.forget()
+        raw = data.tobytes()
+        low = raw.lower()
+        special = any(s.lower() in low for s in self.special)
         words: list[bytes] = []
         counts = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            own = data[a:b].tobytes().split()
+            own = raw[a:b].split() if special else UNITS.findall(low[a:b])
             counts.append(len(own) + 1)
             words += own
             words.append(b"")
-        fresh = [w for w in set(words) if w not in self.known and w]
-        if b"" not in self.known:
-            self.known[b""] = len(self.sizes)
-            self.sizes.append(1)
-            self.lists.append(np.array([end], np.uint32))
-        if fresh:
-            self.learn(fresh)
-        flat = np.concatenate(self.lists)
-        self.lists = [flat]
-        size = np.array(self.sizes, np.int64)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        fresh = set(words).difference(self.known)
+        fresh.discard(b"")
+        if fresh or not self.known:
+            self.learn(list(fresh), end, special)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        n = size[at]
+        n = self.size[at]
         ends = np.cumsum(n)
-        ids = flat[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat[np.repeat(self.first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.concatenate([[0], ends[np.cumsum(counts) - 1]]) if counts else np.zeros(1, np.int64)
 
 
