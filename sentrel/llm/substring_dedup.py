@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.llm import textkit
-from sentrel.llm.common import schema, settle, work_folder
+from sentrel.llm.common import forget, schema, settle, work_folder
 
 SPAN, GRAM, BUCKET_BYTES = 50, 26, 16 << 20
 #: Bytes of contexts sorted at a time in step 3, in whole groups of a leader.
@@ -105,7 +105,7 @@ def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
                     own = order[bounds[k] : bounds[k + 1]]
                     if len(own):
                         keep, out = own[~same[own]], own[gone[own]]
-                        rows.append((k, (lead[keep] >> np.uint64(16)).tobytes(), name[keep].tobytes(), doc[keep].tobytes(), doc[out].tobytes(), name[out].tobytes()))
+                        rows.append((k, (lead[keep] >> np.uint64(32)).astype(np.uint32).tobytes(), name[keep].tobytes(), doc[keep].tobytes(), doc[out].tobytes(), name[out].tobytes()))
                 columns = list(zip(*rows)) or [[]] * 6
                 yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "lead", "name", "doc", "out_doc", "out_name"])
 
@@ -127,7 +127,7 @@ def resolve(table: pa.Table) -> pa.Table:
     def read(column: str, kind: type) -> np.ndarray:
         return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
-    lead, name, doc = read("lead", np.uint64), read("name", np.uint64), read("doc", np.int64)
+    lead, name, doc = read("lead", np.uint32), read("name", np.uint64), read("doc", np.int64)
     order = np.lexsort((doc, name, lead))
     lead, name, doc = lead[order], name[order], doc[order]
     head = np.ones(len(lead), bool)
@@ -307,14 +307,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-size // BUCKET_BYTES))
-    spread = bucketed(source, buckets).groupBy("bucket").applyInArrow(resolve, schema("doc_id long, gone binary, seek binary"))
-    replies = settle(spread, "replies")
+    # no variable holds a finished step's frame, so release() can free its shuffle files
+    replies = settle(bucketed(source, buckets).groupBy("bucket").applyInArrow(resolve, schema("doc_id long, gone binary, seek binary")), "replies")
     release(spark)
     by_doc = replies.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"), F.collect_list("seek").alias("seek"))
     numbered = source.withColumn("row", F.monotonically_increasing_id())
     joined = numbered.join(by_doc, numbered.doc_id.eqNullSafe(by_doc.doc_id), "left").select(numbered.doc_id, "text", "row", "gone", F.filter("seek", lambda s: F.length(s) > 0).alias("seek"))
     path = work_folder(spark, "strings")
     joined.mapInArrow(second_pass, schema(SECOND)).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    del by_doc, numbered, joined
+    forget(replies)
     release(spark)
     second = spark.read.schema(schema(SECOND.replace("kind string, ", "") + ", kind string")).parquet(path)
     parts = second.where("kind = 'part'").select("lead", "doc_id", "row", "at", "context")

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,24 +30,22 @@ from sentrel.llm.common import exclusive_sums, schema, settle, work_folder
 
 #: Ids under the rolling hash; least, mean (a power of two) and most ids of a chunk.
 SPAN, LEAST, MEAN, MOST = 16, 256, 2048, 8192
-#: Words whose ids a worker remembers; beyond, it starts anew.
-WORDS = 500_000
+#: Units whose ids a worker remembers; beyond, it starts anew.
+WORDS = 1_500_000
 #: Digests below one node of the manifest.
 FAN = 1024
 
-#: Units of a lower-cased text that can be encoded apart: Latin letters before a plain mark, such marks before a letter,
-#: and otherwise whole words. The pre-tokenizer parts letters from marks too; an apostrophe is not a plain mark.
-UNITS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+(?=[\s.,!?;:%#&$*|]|\Z)|[.,!?;:%#&$*|]+(?=[\sa-z]|\Z)|\S+")
-
 DRAFT = "kind string, key long, doc_id long, n_tokens long, root binary, chunks array<binary>, digest binary, payload binary"
 _encoders: dict[str, WordEncoder] = {}  # noqa: F821
 
 
 class WordEncoder:
-    """Ids of UTF-8 texts by the tokenizers library, which sees each different word once. Only ASCII white space ends a
-    word; the vocabulary's pre-tokenizer drops it and joins nothing across it, so words can be encoded apart. For a
-    vocabulary that lower-cases, units smaller than words are enough (UNITS); a block that holds the string of a special
-    token is taken word by word and as it is."""
+    """Ids of UTF-8 texts by the tokenizers library, which sees each different unit once.
+
+    Only ASCII white space ends a word; the vocabulary's pre-tokenizer drops it and joins nothing across it, so words can
+    be encoded apart. Words made of Latin letters and plain marks only are cut further where the two meet, as the
+    pre-tokenizer does. Units are told apart by 64-bit hashes of their lower-cased bytes (the vocabulary lower-cases). A
+    block that holds the string of a special token goes to the library text by text."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,63 +56,81 @@ class WordEncoder:
         self.special = [t.content.encode() for _, t in added]
         apart = [(t.content, i) for i, t in added if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark = apart[-1] if apart else None
+        self.kind = np.full(256, 3, np.int8)  # 0 white space, 1 letter, 2 plain mark, 3 other
+        self.kind[textkit.SPACE] = 0
+        self.kind[[*range(65, 91), *range(97, 123)]] = 1
+        self.kind[[*b".,!?;:%#&$*|"]] = 2
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.uint32)
+        self.names = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
-    def ids_of(self, words: list[bytes], alone: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and sizes. Words are sent in runs with a special token between them, which the library never joins to
-        its neighbours, unless they may hold a special token themselves."""
-        if alone or self.mark is None:
-            each = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of units, sent in runs with a special token between them, which the library never joins to
+        its neighbours."""
+        if self.mark is None:
+            each = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
         text, code = self.mark
-        runs = [text.join([w.decode() for w in words[i : i + 1000]]) + text for i in range(0, len(words), 1000)]
+        runs = [text.join(texts[i : i + 1000]) + text for i in range(0, len(texts), 1000)]
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(runs, add_special_tokens=False)])
         ends = np.flatnonzero(ids == code)
         return ids[ids != code], np.diff(np.append(-1, ends)) - 1
 
-    def learn(self, words: list[bytes], end: int, alone: bool) -> None:
-        flat, size = [self.flat], [self.size]
-        if words:
-            ids, n = self.ids_of(words, alone)
-            self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-            flat.append(ids)
-            size.append(n)
-        if b"" not in self.known:
-            self.known[b""] = len(self.known)
-            flat.append(np.array([end], np.uint32))
-            size.append(np.array([1]))
-        self.flat, self.size = np.concatenate(flat), np.concatenate(size)
-        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of all units."""
+        starts, ends, _ = textkit.word_bounds(data, offsets)
+        kind = self.kind[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[((data[lead + 1] & 0xC0) == 0x80) & (data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        others = np.concatenate([[0], np.cumsum(kind == 3)])
+        word = np.zeros(len(data) + 1, np.int8)
+        plain = others[ends] == others[starts]
+        word[starts[plain]] += 1
+        word[ends[plain]] -= 1
+        inside = np.cumsum(word, dtype=np.int8)[:-1] > 0
+        cut = np.flatnonzero(inside[1:] & inside[:-1] & (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows, each with the end id, and len+1 offsets. The empty word stands for the end."""
-        if len(self.known) > WORDS:
-            self.forget()
+        """All ids of the rows, each with the end id, and len+1 offsets."""
         raw = data.tobytes()
         low = raw.lower()
-        special = any(s.lower() in low for s in self.special)
-        words: list[bytes] = []
-        counts = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            own = raw[a:b].split() if special else UNITS.findall(low[a:b])
-            counts.append(len(own) + 1)
-            words += own
-            words.append(b"")
-        fresh = set(words).difference(self.known)
-        fresh.discard(b"")
-        if fresh or not self.known:
-            self.learn(list(fresh), end, special)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        n = self.size[at]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends[np.cumsum(counts) - 1]]) if counts else np.zeros(1, np.int64)
+        if any(s.lower() in low for s in self.special):
+            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            each = [np.array([*e.ids, end], np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate(each), np.cumsum([0, *map(len, each)])
+        if len(self.names) > WORDS:
+            self.forget()
+        starts, ends = self.units(data, offsets)
+        names, some, back = np.unique(textkit.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.names, names)
+        fresh = np.ones(len(names), bool)
+        inner = at < len(self.names)
+        fresh[inner] = self.names[at[inner]] != names[inner]
+        if fresh.any():
+            i = some[fresh]
+            ids, n = self.ids_of([low[a:b].decode() for a, b in zip(starts[i].tolist(), ends[i].tolist())])
+            self.first = np.insert(self.first, at[fresh], len(self.flat) + np.cumsum(n) - n)
+            self.size = np.insert(self.size, at[fresh], n)
+            self.names = np.insert(self.names, at[fresh], names[fresh])
+            self.flat = np.concatenate([self.flat, ids])
+            at = np.searchsorted(self.names, names)
+        unit = at[back]
+        # the end id of a row follows its last unit
+        n = self.size[unit]
+        sums = np.concatenate([[0], np.cumsum(n)])
+        bounds = np.searchsorted(starts, offsets)
+        rows = sums[bounds] + np.arange(len(offsets))
+        out = np.full(int(rows[-1]), end, np.uint32)
+        body = np.ones(len(out), bool)
+        body[rows[1:] - 1] = False
+        out[body] = self.flat[np.repeat(self.first[unit] - sums[:-1], n) + np.arange(sums[-1])]
+        return out, rows
 
 
 def encoder(path: str) -> WordEncoder:
@@ -248,11 +263,15 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(draft, schema(DRAFT))
     spark = docs.sparkSession
     rows.repartition("key").mapInArrow(once, schema(DRAFT)).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
-    drafts = spark.read.schema(schema("doc_id long, n_tokens long, root binary, chunks array<binary>")).parquet(f"{path}/data/kind=draft")
+    drafts = stored(spark, path, "draft").select("doc_id", "n_tokens", "root", "chunks")
     exclusive_sums(drafts, "doc_id", "n_tokens", "start").repartitionByRange(F.col("start")).sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
     write_manifest(spark, path)
 
 
+def stored(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(schema(DRAFT)).parquet(f"{path}/data").where(F.col("kind") == kind)
+
+
 def write_manifest(spark: SparkSession, path: str) -> None:
     """Hashes of FAN roots in ascending order of (position div FAN), level by level, up to one root."""
     leaves = spark.read.parquet(f"{path}/recipes").select("start", F.hex("root").alias("digest"), F.lit(1).alias("one"))
@@ -278,7 +297,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             ids = [unpack(p, press).astype(np.int64) for p in batch.column(1).to_pylist()]
             yield pa.record_batch({"digest": batch.column(0), "part": pa.array(ids, pa.list_(pa.int64()))})
 
-    parts = spark.read.parquet(f"{path}/data/kind=chunk").select("digest", "payload").mapInArrow(open_, schema("digest binary, part array<long>"))
+    parts = stored(spark, path, "chunk").select("digest", "payload").mapInArrow(open_, schema("digest binary, part array<long>"))
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("chunks").alias("at", "digest"))
     joined = recipes.join(parts, "digest").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("c"))
     return joined.select("doc_id", "start", F.flatten("c.part").alias("ids"))
@@ -314,7 +333,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
                 ok.append(all(p["good"] for p in parts) and total[-1] == size and merkle([p["digest"] for p in parts]) == root)
             yield pa.record_batch({"doc_id": batch.column(0), "start": batch.column(1), "n_tokens": textkit.column_long(total), "ids_crc32": textkit.column_long(crcs), "n_chunks": textkit.column_long(count), "verified": pa.array(ok, pa.bool_())})
 
-    chunks = spark.read.parquet(f"{path}/data/kind=chunk").select("digest", "payload").mapInArrow(facts, schema("digest binary, n long, crc long, good boolean"))
+    chunks = stored(spark, path, "chunk").select("digest", "payload").mapInArrow(facts, schema("digest binary, n long, crc long, good boolean"))
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("at", "digest")).join(chunks, "digest", "left")
     whole = parts.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("at", "digest", "n", "crc", "good"))).alias("parts"))
