@@ -88,6 +88,8 @@ def test_mix(spark, odd):
 # 2 ----------------------------------------------------------------------------------------------------------------------
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+#: What any match of a kind holds; the plain patterns take square time on long runs without it.
+NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
 
 def pii_ok(kind, m):
@@ -107,7 +109,7 @@ def test_pii(spark, odd):
     texts = ["".join(r.choice(bits) for _ in range(r.randrange(0, 25))) for _ in range(300)] + ["9" * 60_000, "a" * 60_000, "1.2.3.4 " * 3000]
     df = docs_of(spark, texts).select("doc_id", "text")
     for x, t in zip(sorted(pii_report(df.unionByName(odd.select("doc_id", "text").where("doc_id < 0"))).collect(), key=lambda x: x.doc_id), texts):
-        base = sorted((m.start(), i, m.end(), k) for i, k in enumerate(PII) for m in re.finditer(PII[k], t) if pii_ok(k, m.group()))
+        base = sorted((m.start(), i, m.end(), k) for i, k in enumerate(PII) if NEEDS[k] in t for m in re.finditer(PII[k], t) if pii_ok(k, m.group()))
         names = [f"{k}:{s}:{e}" for s, _, e, k in base]
         assert x.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
         assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(b[3] == k for b in base) for k in PII]
