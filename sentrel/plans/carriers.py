@@ -13,12 +13,13 @@ from sentrel.operators.rules import scan
 
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, payload_no, malicious, body: every document's text around the payload that its id picks."""
+    """doc_id, lang, payload_no, malicious, body: every document's whole text, and after its first 200 characters the payload
+    that its id picks."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n = len(L.PAYLOADS)
     texts, bad = F.array(*[F.lit(t) for t, _ in L.PAYLOADS]), F.array(*[F.lit(b) for _, b in L.PAYLOADS])
     no = (F.col("doc_id") % n).cast("int")
-    body = F.concat(F.substring("text", 1, 200), F.lit("\n"), F.get(texts, no), F.lit("\n"), F.substring("text", 201, 200))
+    body = F.concat(F.substring("text", 1, 200), F.lit("\n"), F.get(texts, no), F.lit("\n"), F.substring("text", 201, 1 << 30))
     return docs.select("doc_id", "lang", no.alias("payload_no"), F.get(bad, no).alias("malicious"), body.alias("body"))
 
 

@@ -75,12 +75,23 @@ def alert_load(spark, d):
     return integrity.alert_load(s, 1000, 250_000)
 
 
-def safe_projection(spark, d):
-    f = findings(scanned(spark, d), "doc_id", "body")
-    out = integrity.safe(f, "body", "doc_id")
+def projected(spark, d, content):
+    f = findings(scanned(spark, d).withColumn("content", content), "doc_id", "content")
+    out = integrity.safe(f, "content", "doc_id")
     return out.select("rule_id", "severity", F.col("line").cast("long").alias("line"), "content_hash", "path_hash")
 
 
+def safe_projection(spark, d):
+    """Findings in whole texts; its SQL hashes only the payload and 200 characters on each side, and so does this."""
+    payload = F.get(F.array(*[F.lit(t) for t, _ in L.PAYLOADS]), F.col("payload_no"))
+    return projected(spark, d, F.substring(F.col("body"), F.lit(1), F.length(payload) + 402))
+
+
+def safe_projection_whole(spark, d):
+    """The same with the hash of the whole text."""
+    return projected(spark, d, F.col("body"))
+
+
 def truncation_status(spark, d):
     cap = 4000
     n = F.length("text")
@@ -230,7 +241,7 @@ QUERIES: dict[str, Query] = {
     "override_rule": partial(rule, "INJ-002"), "replication_rule": partial(rule, "INJ-001"), "exfil_rule": partial(rule, "INJ-003"),
     "zero_width_rule": partial(rule, "INJ-005"), "tag_block_rule": partial(rule, "INJ-006"), "concealment_rule": partial(rule, "INJ-007"), "role_prefix_rule": partial(rule, "INJ-008"),
 } | {f.__name__: f for f in (
-    override_by_lang, findings_by_rule, rule_cooccurrence, silent_rules, base_rate, label_confusion, suppression_audit, alert_load, safe_projection,
+    override_by_lang, findings_by_rule, rule_cooccurrence, silent_rules, base_rate, label_confusion, suppression_audit, alert_load, safe_projection, safe_projection_whole,
     truncation_status, hidden_comment_pages, entropy_features, gate_reasons, code_heuristic, fanout_burst, convergence, convergence_unrelated, sweep,
     fresh_approval, canary_contact, canary_quoted, cluster_same_digest, cluster_shared_refuse, invoice, amount_bands, nonce_replay, receipt_digest,
     caller_hashes, daily_cap, baseline_diff, session_attribution, capability_score, excised, cheapest_variant, transcript_findings,
