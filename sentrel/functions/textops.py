@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Matches of one pattern that are looked at per text.
-MATCHES = 64
+#: Characters of a block, and those around a match that its tests may look at.
+BLOCK, REACH = 1024, 320
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -15,23 +17,36 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_hits(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """For each name an array of (p, e): start and end of the first MATCHES matches, in code points from 0.
+def with_firsts(df: DataFrame, text: str, wanted: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """For each name with (pattern, test) the start of the first match that passes the test, in code points from 0.
+
+    All matches are looked at, in one pass: a start is the end of the match before it and the length of what a split leaves
+    between. A test gets (p, e, at, near): start, end, and the start within near, the text up to REACH characters around
+    the match; near comes from blocks, so a match deep in a text costs no more than one at its start."""
+    df = once(df, "__m", F.struct(*[F.regexp_extract_all(F.col(text), F.lit(r), F.lit(0)).alias(n) for n, (r, _) in wanted.items()]))
+    some = F.greatest(*[F.size(f"__m.{n}") for n in wanted], F.lit(0)) > 0
+    between = [F.when(F.size(f"__m.{n}") > 0, F.split(F.col(text), r, -1)).alias(n) for n, (r, _) in wanted.items()]
+    df = once(df, "__s", F.struct(*between, F.when(some, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("__blocks")))
+
+    def first(n: str, test: Callable[[Column], Column]) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            p = a["e"] + F.length(F.get(F.col(f"__s.{n}"), a["i"]))
+            spot = F.struct(p.alias("p"), (p + F.length(x)).alias("e"), F.greatest(p - REACH, F.lit(0)).alias("left"))
+            let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
 
-    Starts are the summed lengths of what a split leaves between matches and of the matches before."""
-    raw = F.struct(*[F.slice(F.regexp_extract_all(F.col(text), F.lit(r), F.lit(0)), 1, MATCHES).alias(f"m_{n}") for n, r in patterns.items()], *[F.split(F.col(text), r, -1).alias(f"s_{n}") for n, r in patterns.items()])
-    df = once(df, "__raw", raw)
+            def near(h: Column) -> Column:
+                k, size = F.floor(h["left"] / BLOCK).cast("int"), h["e"] + REACH - h["left"]
+                blocks = F.slice("__s.__blocks", k + 1, F.floor(size / BLOCK).cast("int") + 2)
+                return F.struct(h["p"].alias("p"), h["e"].alias("e"), (h["p"] - h["left"]).alias("at"), F.substring(F.array_join(blocks, ""), h["left"] - k * BLOCK + 1, size).alias("near"))
 
-    def length(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x))
+            found = lambda h: let(near(h), lambda y: F.when(test(y), y["p"]))
+            return let(spot, lambda h: F.struct((a["i"] + 1).alias("i"), h["e"].alias("e"), F.coalesce(a["first"], found(h)).alias("first")))
 
-    def hits(n: str) -> Column:
-        m, s = F.col(f"__raw.m_{n}"), F.col(f"__raw.s_{n}")
-        start = lambda i: length(F.slice(s, F.lit(1), i + 1)) + length(F.slice(m, F.lit(1), i))
-        return F.transform(m, lambda x, i: F.struct(start(i).alias("p"), (start(i) + F.length(x)).alias("e")))
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("e"), F.lit(None).cast("int").alias("first"))
+        return F.aggregate(f"__m.{n}", start, step, lambda a: a["first"])
 
-    df = once(df, "__hits", F.struct(*[hits(n).alias(n) for n in patterns]))
-    return df.select("*", *[F.col(f"__hits.{n}").alias(n) for n in patterns]).drop("__raw", "__hits")
+    df = once(df, "__firsts", F.struct(*[first(n, test).alias(n) for n, (_, test) in wanted.items()]))
+    return df.select("*", *[F.col(f"__firsts.{n}").alias(n) for n in wanted]).drop("__m", "__s", "__firsts")
 
 
 def window(text: str | Column, start: Column, end: Column, reach: int) -> Column:

@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel import lexicon as L
-from sentrel.functions.textops import excerpt, line_of, window, with_hits
+from sentrel.functions.textops import REACH, excerpt, line_of, window, with_firsts
 
-PATTERNS = {"__selfref": L.SELF_REFERENCE, "__override": L.OVERRIDE, "__secret": L.SECRET, "__conceal": L.CONCEAL, "__role": L.ROLE}
 
-
-def descriptive(text: str, start: Column) -> Column:
+def descriptive(text: str | Column, start: Column) -> Column:
     """Whether what surrounds a start describes an attack: commands never do; attributions and prohibitions do; a topic
     does inside document structure."""
-    near = window(text, start, start, 320)
+    near = window(text, start, start, REACH)
     return ~near.rlike(L.IMPERATIVE) & (near.rlike(L.ATTRIBUTED) | near.rlike(L.PROHIBITED) | (near.rlike(L.TOPIC) & near.rlike(L.STRUCTURE)))
 
 
@@ -37,19 +35,25 @@ def scan(df: DataFrame, text: str, channel: str = "scan") -> DataFrame:
     cap, kept = L.CHANNELS[channel]
     t = "__t"
     df = df.withColumn("__cut", F.substring(F.coalesce(F.col(text), F.lit("")), 1, cap)).withColumn(t, F.lower("__cut"))
-    df = with_hits(df, t, PATTERNS)
-    ranged = lambda h, reach: window(t, h["p"], h["e"], reach)
-    first = lambda name, test: F.get(F.filter(F.col(name), test), F.lit(0))["p"]
-    plain = lambda h: ~descriptive(t, h["p"])
+    ranged = lambda h, reach: window(h["near"], h["at"], h["at"] + h["e"] - h["p"], reach)
+    described = lambda h: descriptive(h["near"], h["at"])
+    firsts = {
+        "__selfref": (L.SELF_REFERENCE, lambda h: ranged(h, 160).rlike(L.COPY_VERB) & ranged(h, 300).rlike(L.COPY_TARGET) & ~described(h)),
+        "__override": (L.OVERRIDE, lambda h: ~described(h)),
+        "__secret": (L.SECRET, lambda h: ranged(h, 200).rlike(L.SEND_VERB) & ranged(h, 300).rlike(L.DESTINATION) & ~(ranged(h, 300).rlike(L.PLACEHOLDER) & described(h))),
+        "__conceal": (L.CONCEAL, lambda h: (ranged(h, 250).rlike(L.SEND_VERB) | ranged(h, 250).rlike(L.SECRET) | ranged(h, 250).rlike(L.COPY_VERB)) & ~described(h)),
+        "__role": (L.ROLE, lambda h: F.lit(True)),
+    }
+    df = with_firsts(df, t, firsts)
     at = {
-        "INJ-001": first("__selfref", lambda h: ranged(h, 160).rlike(L.COPY_VERB) & ranged(h, 300).rlike(L.COPY_TARGET) & plain(h)),
-        "INJ-002": first("__override", plain),
-        "INJ-003": first("__secret", lambda h: ranged(h, 200).rlike(L.SEND_VERB) & ranged(h, 300).rlike(L.DESTINATION) & ~(ranged(h, 300).rlike(L.PLACEHOLDER) & descriptive(t, h["p"]))),
+        "INJ-001": F.col("__selfref"),
+        "INJ-002": F.col("__override"),
+        "INJ-003": F.col("__secret"),
         "INJ-004": F.when(F.exists(comments(F.col(t)), hostile_comment), F.instr(t, "<!--") - 1),
         "INJ-005": F.when(F.col(t).rlike(L.ZERO_WIDTH), F.length(F.get(F.split(t, L.ZERO_WIDTH, 2), F.lit(0)))),
         "INJ-006": F.when(F.col(t).rlike(L.TAG_BLOCK), F.length(F.get(F.split(t, L.TAG_BLOCK, 2), F.lit(0)))),
-        "INJ-007": first("__conceal", lambda h: (ranged(h, 250).rlike(L.SEND_VERB) | ranged(h, 250).rlike(L.SECRET) | ranged(h, 250).rlike(L.COPY_VERB)) & plain(h)),
-        "INJ-008": F.when(F.size("__role") > 0, F.get("__role", F.lit(0))["p"]),
+        "INJ-007": F.col("__conceal"),
+        "INJ-008": F.col("__role"),
     }
     at["INJ-008"] = F.when(~descriptive(t, at["INJ-008"]), at["INJ-008"])
     made = [F.when(at[r].isNotNull(), F.struct(F.lit(r).alias("rule_id"), F.lit(L.RULES[r][1]).alias("severity"), at[r].alias("at"))) for r in kept]
@@ -64,7 +68,7 @@ def scan(df: DataFrame, text: str, channel: str = "scan") -> DataFrame:
 
     status = F.when(F.col(text).isNull(), "missing").when(F.length(text) > cap, "truncated").otherwise("ok")
     out = df.withColumns({"status": status, "findings": F.transform(F.filter("__f", lambda f: ~allowed(f)), full), "suppressed": F.transform(F.filter("__f", allowed), lambda f: f["rule_id"])})
-    return out.drop("__cut", t, "__f", *PATTERNS)
+    return out.drop("__cut", t, "__f", *firsts)
 
 
 def findings(scanned: DataFrame, *keys: str) -> DataFrame:
