@@ -2,11 +2,13 @@
 
 Words of documents and benchmark items are made canonical: numbers become '#', units after numbers '#u', names (words
 with a capital that do not begin a sentence) '@', all others lose punctuation at their ends and are lower-cased. Windows of
-WIDTH canonical words are hashed and joined. Windows with fewer than LITERALS ordinary words say nothing and are not used.
-An item leaks into a document that holds at least LEAK of its usable windows, if its slots are consistent: over the
-matched windows, the values of the item's numbers, units and names map to values of the document so that the most
-frequent partner of each accounts for at least CONSISTENT of all slot pairs. Verbatim copies map every value to itself;
-re-parameterised ones to another value each.
+WIDTH canonical words are hashed and joined. Those with fewer than LITERALS ordinary words say nothing and are not used.
+
+The matched windows of an item and a document are judged by occurrence: those of one alignment (position in the document
+less position in the item), those of a run of alignments at most SHIFT apart (words were put in or left out), and all of
+them. An item leaks if one of these is consistent and holds at least LEAK of the item's usable windows. Consistent means that the values of the item's numbers, units and names map to values of
+the document so that the most frequent partner of each accounts for at least CONSISTENT of all slot pairs. Verbatim copies
+map every value to itself; re-parameterised ones to another value each. The figures are those of the best occurrence.
 
 The benchmark's windows are broadcast in blocks of at most BROADCAST_WINDOWS; a larger benchmark takes more passes over the
 documents (a stated query set against all rows). An item of fewer than WIDTH words is one window of its own length.
@@ -18,11 +20,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrel.llm.common import BROADCAST_ROWS, semi_by_id, settle
 
 WIDTH, LITERALS, LEAK, CONSISTENT = 5, 2, 0.8, 0.5
+SHIFT = 2
 BROADCAST_WINDOWS = 200_000
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi g kg mg lb oz t s sec min h hr hrs ms l ml dl w kw kwh v a hz khz mhz ghz b kb mb gb tb usd eur gbp percent meters metres kilometers miles inches feet hours minutes seconds days weeks months years dollars euros degrees".split()
@@ -54,68 +58,94 @@ def with_canon(df: DataFrame, text: str) -> DataFrame:
     return once(df, "canon", F.transform(zipped, one))
 
 
+def with_literal(df: DataFrame) -> DataFrame:
+    """Adds literal, whether each canonical word is an ordinary one."""
+    return once(df, "literal", F.transform("canon", lambda c: ~c.isin("#", "#u", "@")))
+
+
 def window_hashes(width: int) -> Column:
     """Hashes of the windows of column canon."""
     parts = ", ".join(f"get(canon, i + {j})" for j in range(width))
-    return F.expr(f"if(size(canon) >= {width}, transform(sequence(0, size(canon) - {width}), i -> xxhash64({parts})), array())")
+    hashed = f"xxhash64({parts})"
+    return F.expr(f"if(size(canon) >= {width}, transform(sequence(0, size(canon) - {width}), i -> {hashed}), array())")
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, width, at, window, canon, raw of each usable window."""
+    """item_id, width, at, window, canon, raw, counted of each usable window; counted is whether it counts towards containment."""
     items = with_canon(benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")), "text")
-    items = settle(items.select("item_id", "canon", "raw").where("size(canon) > 0"), "items")
+    items = with_literal(settle(items.select("item_id", "canon", "raw").where("size(canon) > 0"), "items"))
     out = []
     for width in range(1, WIDTH + 1):
         own = items.where(F.size("canon") >= WIDTH if width == WIDTH else F.size("canon") == width)
         rows = own.select("item_id", F.lit(width).alias("width"), F.posexplode(window_hashes(width)).alias("at", "window"), "canon", "raw")
         rows = rows.withColumns({"canon": F.slice("canon", F.col("at") + 1, width), "raw": F.slice("raw", F.col("at") + 1, width)})
         literals = F.size(F.filter("canon", lambda c: ~c.isin("#", "#u", "@")))
-        out.append(rows.where(literals >= min(LITERALS, width)))
-    return settle(reduce(DataFrame.unionByName, out), "windows")
+        rows = rows.withColumn("template", literals >= min(LITERALS, width))
+        out.append(rows.where("template"))
+    rows = settle(reduce(DataFrame.unionByName, out), "windows")
+    some = rows.groupBy(F.col("item_id").alias("own")).agg(F.max("template").alias("some"))
+    few = some.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(some) if few else some, F.col("item_id").eqNullSafe(F.col("own")))
+    return settle(rows.withColumn("counted", F.col("template") | ~F.col("some")).drop("own", "some", "template"), "windows")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, matched, windows, containment, slots, consistency: one row per document and leaked item."""
     known = item_windows(benchmark, item_col, item_text)
-    sizes = known.groupBy("item_id").agg(F.count_distinct("window").alias("windows"))
-    keys = known.select("item_id", "width", "window").distinct()
+    sizes = known.where("counted").groupBy("item_id").agg(F.count_distinct("window").alias("windows"))
+    keys = known.select("item_id", "width", "window", "counted").distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    canon = with_canon(source, "text").select("doc_id", "canon")
+    canon = with_literal(with_canon(source, "text").select("doc_id", "canon", "raw"))
     widths = sorted(r.width for r in keys.select("width").distinct().collect())  # at most WIDTH
     found = []
     for width in widths:
-        own = settle(keys.where(F.col("width") == width).select("item_id", "window"), "keys")
+        own = settle(keys.where(F.col("width") == width).select("item_id", "window", "counted"), "keys")
         passes = -(-own.count() // BROADCAST_WINDOWS)
         windows = canon.select("doc_id", F.explode(window_hashes(width)).alias("window"))
         for i in range(passes):
             block = own.where(F.pmod(F.hash("item_id"), F.lit(passes)) == i)  # whole items, at most about BROADCAST_WINDOWS rows
             hits = windows.join(F.broadcast(block), "window")
-            found.append(settle(hits.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("matched")), "hits"))
+            found.append(settle(hits.groupBy("doc_id", "item_id").agg(F.count_distinct(F.when(F.col("counted"), F.col("window"))).alias("matched"), F.count("*").alias("met")), "hits"))
     if not found:
         return source.select("doc_id", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *[F.lit(0).cast(t).alias(n) for n, t in (("matched", "long"), ("windows", "long"), ("containment", "double"), ("slots", "long"), ("consistency", "double"))]).where("false")
     hits = reduce(DataFrame.unionByName, found)
     few = sizes.count() <= BROADCAST_ROWS
     hits = hits.join(F.broadcast(sizes) if few else sizes, hits.item_id.eqNullSafe(sizes.item_id)).drop(sizes.item_id)
-    close = settle(hits.withColumn("containment", F.col("matched") / F.col("windows")).where(F.col("containment") >= LEAK), "close")
-    return close.join(slots(source, known, close), ["doc_id", "item_id"], "left").where(F.coalesce("consistency", F.lit(1.0)) >= CONSISTENT).select("doc_id", "item_id", "matched", "windows", F.round("containment", 9).alias("containment"), F.coalesce("slots", F.lit(0)).alias("slots"), F.round(F.coalesce("consistency", F.lit(1.0)), 9).alias("consistency"))
+    close = settle(hits.withColumn("containment", F.col("matched") / F.col("windows")).where((F.col("containment") >= LEAK)), "close")
+    found = occurrences(source, known, close)
+    bare = close.where("doc_id is null or item_id is null").where(F.col("containment") >= LEAK).select("doc_id", "item_id", "matched", "windows", "containment", F.lit(0).cast("long").alias("slots"), F.lit(1.0).alias("consistency"))
+    return found.unionByName(bare).withColumns({"containment": F.round("containment", 9), "consistency": F.round("consistency", 9)})
 
 
-def slots(source: DataFrame, known: DataFrame, close: DataFrame) -> DataFrame:
-    """doc_id, item_id, slots, consistency of candidates; only documents with a candidate are read again."""
-    slotted = known.where(F.exists("canon", lambda c: c.isin("#", "#u", "@")))
+def occurrences(source: DataFrame, known: DataFrame, close: DataFrame) -> DataFrame:
+    """doc_id, item_id, matched, windows, containment, slots, consistency of the best occurrence of candidates that leak;
+    only documents with a candidate are read again. copy tells documents with the same doc_id apart."""
     ids = close.select("doc_id").where("doc_id is not null").distinct()
-    own = with_canon(semi_by_id(source, ids, "doc_id"), "text").select("doc_id", "canon", "raw")
+    own = with_literal(with_canon(semi_by_id(source, ids, "doc_id"), "text").select("doc_id", "canon", "raw", F.xxhash64("raw").alias("copy")))
     out = []
     for width in range(1, WIDTH + 1):
-        rows = own.select("doc_id", F.posexplode(window_hashes(width)).alias("at", "window"), "raw")
-        rows = rows.select("doc_id", "window", F.slice("raw", F.col("at") + 1, width).alias("seen"))
-        mine = slotted.where(F.col("width") == width).select("item_id", "window", "canon", F.col("raw").alias("meant"))
+        rows = own.select("doc_id", "copy", F.posexplode(window_hashes(width)).alias("at", "window"), "raw")
+        rows = rows.select("doc_id", "copy", "at", "window", F.slice("raw", F.col("at") + 1, width).alias("seen"))
+        mine = known.where(F.col("width") == width).select("item_id", "window", F.col("at").alias("item_at"), "counted", "canon", F.col("raw").alias("meant"))
         out.append(rows.join(mine, "window"))
-    pairs = reduce(DataFrame.unionByName, out).join(close.select("doc_id", "item_id"), ["doc_id", "item_id"])
-    cells = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip("canon", "meant", "seen")).alias("c")).where(F.col("c.canon").isin("#", "#u", "@"))
-    counts = cells.groupBy("doc_id", "item_id", "c.meant", "c.seen").count()
-    best = counts.groupBy("doc_id", "item_id", "meant").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
-    return best.groupBy("doc_id", "item_id").agg(F.sum("n").alias("slots"), (F.sum("top") / F.sum("n")).alias("consistency"))
+    key = ["doc_id", "item_id"]
+    pairs = settle(reduce(DataFrame.unionByName, out).join(close.select(*key), key).withColumn("line", F.col("at") - F.col("item_at")), "pairs")
+    lines = pairs.select(*key, "copy", "line").distinct()
+    along = W.partitionBy(*key, "copy").orderBy("line")
+    jump = lines.withColumn("jump", F.coalesce((F.col("line") - F.lag("line").over(along) > SHIFT).cast("int"), F.lit(1)))
+    lines = jump.select(*key, "copy", "line", F.sum("jump").over(along).alias("near"))
+    part = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("copy"), n.cast("long").alias("n")) for k, c, n in ((0, F.lit(0), F.lit(0)), (1, F.col("copy"), F.col("line")), (2, F.col("copy"), F.col("near")))]))
+    parts = pairs.join(lines, [*key, "copy", "line"]).select(*key, part.alias("part"), "window", "counted", "canon", "meant", "seen")
+    shares = parts.groupBy(*key, "part").agg(F.count_distinct(F.when(F.col("counted"), F.col("window"))).alias("matched"))
+    cells = parts.select(*key, "part", F.explode(F.arrays_zip("canon", "meant", "seen")).alias("c")).where(F.col("c.canon").isin("#", "#u", "@"))
+    counts = cells.groupBy(*key, "part", "c.meant", "c.seen").count()
+    best = counts.groupBy(*key, "part", "meant").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
+    mapped = best.groupBy(*key, "part").agg(F.sum("n").alias("slots"), (F.sum("top") / F.sum("n")).alias("consistency"))
+    judged = shares.join(mapped, [*key, "part"], "left").join(close.select(*key, "windows"), key)
+    judged = judged.withColumns({"containment": F.col("matched") / F.col("windows"), "slots": F.coalesce("slots", F.lit(0)), "consistency": F.coalesce("consistency", F.lit(1.0))})
+    judged = judged.where((F.col("consistency") >= CONSISTENT) & (F.col("containment") >= LEAK))
+    names = ["containment", "consistency", "slots", "matched", "windows"]
+    return judged.groupBy(*key).agg(F.max(F.struct(*names)).alias("b")).select(*key, *[f"b.{n}" for n in ("matched", "windows", "containment", "slots", "consistency")])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
