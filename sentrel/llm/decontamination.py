@@ -2,11 +2,13 @@
 
 Words of documents and benchmark items are made canonical: numbers become '#', units after numbers '#u', names (words
 with a capital that do not begin a sentence) '@', all others lose punctuation at their ends and are lower-cased. Windows of
-WIDTH canonical words are hashed and joined. Those with fewer than LITERALS ordinary words say nothing and are not used.
+WIDTH canonical words are hashed and joined. Those with fewer than LITERALS ordinary words are hashed as they are, without case and punctuation at the ends; they
+count towards containment only for items that have no other windows, so that new values in a template lose nothing.
 
 The matched windows of an item and a document are judged by occurrence: those of one alignment (position in the document
 less position in the item), those of a run of alignments at most SHIFT apart (words were put in or left out), and all of
-them. An item leaks if one of these is consistent and holds at least LEAK of the item's usable windows. Consistent means that the values of the item's numbers, units and names map to values of
+them. An item leaks if one of these is consistent and holds at least LEAK of the item's usable windows, or at least RUN
+words in a row at one alignment. Consistent means that the values of the item's numbers, units and names map to values of
 the document so that the most frequent partner of each accounts for at least CONSISTENT of all slot pairs. Verbatim copies
 map every value to itself; re-parameterised ones to another value each. The figures are those of the best occurrence.
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from sentrel.llm.common import BROADCAST_ROWS, semi_by_id, settle
 
 WIDTH, LITERALS, LEAK, CONSISTENT = 5, 2, 0.8, 0.5
-SHIFT = 2
+RUN, SHIFT = 13, 2
 BROADCAST_WINDOWS = 200_000
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi g kg mg lb oz t s sec min h hr hrs ms l ml dl w kw kwh v a hz khz mhz ghz b kb mb gb tb usd eur gbp percent meters metres kilometers miles inches feet hours minutes seconds days weeks months years dollars euros degrees".split()
@@ -64,9 +66,14 @@ def with_literal(df: DataFrame) -> DataFrame:
 
 
 def window_hashes(width: int) -> Column:
-    """Hashes of the windows of column canon."""
+    """Hashes of the windows of column canon; of column raw where too few words are ordinary (shorter ones stay unused)."""
     parts = ", ".join(f"get(canon, i + {j})" for j in range(width))
-    hashed = f"xxhash64({parts})"
+    if width < WIDTH:
+        hashed = f"xxhash64({parts})"
+    else:
+        bare = ", ".join(f"lower(regexp_replace(get(raw, i + {j}), r'^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', ''))" for j in range(width))
+        enough = f"get(literal, i) AND get(literal, i + 1) OR size(filter(slice(literal, i + 1, {width}), x -> x)) >= {LITERALS}"
+        hashed = f"if({enough}, xxhash64({parts}), xxhash64('raw', {bare}))"
     return F.expr(f"if(size(canon) >= {width}, transform(sequence(0, size(canon) - {width}), i -> {hashed}), array())")
 
 
@@ -81,7 +88,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows = rows.withColumns({"canon": F.slice("canon", F.col("at") + 1, width), "raw": F.slice("raw", F.col("at") + 1, width)})
         literals = F.size(F.filter("canon", lambda c: ~c.isin("#", "#u", "@")))
         rows = rows.withColumn("template", literals >= min(LITERALS, width))
-        out.append(rows.where("template"))
+        out.append(rows if width == WIDTH else rows.where("template"))
     rows = settle(reduce(DataFrame.unionByName, out), "windows")
     some = rows.groupBy(F.col("item_id").alias("own")).agg(F.max("template").alias("some"))
     few = some.count() <= BROADCAST_ROWS
@@ -111,7 +118,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hits = reduce(DataFrame.unionByName, found)
     few = sizes.count() <= BROADCAST_ROWS
     hits = hits.join(F.broadcast(sizes) if few else sizes, hits.item_id.eqNullSafe(sizes.item_id)).drop(sizes.item_id)
-    close = settle(hits.withColumn("containment", F.col("matched") / F.col("windows")).where((F.col("containment") >= LEAK)), "close")
+    close = settle(hits.withColumn("containment", F.col("matched") / F.col("windows")).where((F.col("containment") >= LEAK) | (F.col("met") > RUN - WIDTH)), "close")
     found = occurrences(source, known, close)
     bare = close.where("doc_id is null or item_id is null").where(F.col("containment") >= LEAK).select("doc_id", "item_id", "matched", "windows", "containment", F.lit(0).cast("long").alias("slots"), F.lit(1.0).alias("consistency"))
     return found.unionByName(bare).withColumns({"containment": F.round("containment", 9), "consistency": F.round("consistency", 9)})
@@ -141,9 +148,12 @@ def occurrences(source: DataFrame, known: DataFrame, close: DataFrame) -> DataFr
     counts = cells.groupBy(*key, "part", "c.meant", "c.seen").count()
     best = counts.groupBy(*key, "part", "meant").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
     mapped = best.groupBy(*key, "part").agg(F.sum("n").alias("slots"), (F.sum("top") / F.sum("n")).alias("consistency"))
-    judged = shares.join(mapped, [*key, "part"], "left").join(close.select(*key, "windows"), key)
+    rank = F.dense_rank().over(W.partitionBy(*key, "copy", "line").orderBy("at"))
+    rows = pairs.select(*key, "copy", "line", "at", (F.col("at") - rank).alias("island")).groupBy(*key, "copy", "line", "island").agg(F.count_distinct("at").alias("n"))
+    runs = rows.groupBy(*key, F.struct(F.lit(1).alias("k"), "copy", F.col("line").cast("long").alias("n")).alias("part")).agg((F.max("n") + WIDTH - 1).alias("run"))
+    judged = shares.join(mapped, [*key, "part"], "left").join(runs, [*key, "part"], "left").join(close.select(*key, "windows"), key)
     judged = judged.withColumns({"containment": F.col("matched") / F.col("windows"), "slots": F.coalesce("slots", F.lit(0)), "consistency": F.coalesce("consistency", F.lit(1.0))})
-    judged = judged.where((F.col("consistency") >= CONSISTENT) & (F.col("containment") >= LEAK))
+    judged = judged.where((F.col("consistency") >= CONSISTENT) & ((F.col("containment") >= LEAK) | (F.coalesce("run", F.lit(0)) >= RUN)))
     names = ["containment", "consistency", "slots", "matched", "windows"]
     return judged.groupBy(*key).agg(F.max(F.struct(*names)).alias("b")).select(*key, *[f"b.{n}" for n in ("matched", "windows", "containment", "slots", "consistency")])
 

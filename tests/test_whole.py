@@ -58,3 +58,10 @@ def test_leaks_by_occurrence(spark):
     assert set(found) == {(0, 0), (2, 0)}
     assert all(r.containment == 1 and r.consistency == 1 for r in found.values())
     assert set(leaked(spark, [" . ".join([*versions, *shifted])], [item])) == {(0, 0)}
+
+
+def test_leaks_of_parts_and_numbers(spark):
+    words = [f"{c}{v}{d}o" for c in "bdfgklm" for v in "aeiou" for d in "rst"][:55]
+    numbers = "12 13 14 15 16 17 18 19"
+    texts = ["opening " + " ".join(words[5:45]) + " closing", "opening " + " ".join(words[5:17]) + " closing", "so the row goes (12, 13, 14, 15, 16, 17, 18, 19), he said", "the row 22 23 24 25 26 27 28 29 is another"]
+    assert set(leaked(spark, texts, [" ".join(words), numbers, "42"])) == {(0, 0), (2, 1)}
