@@ -4,23 +4,24 @@ A byte goes if some SPAN-byte string that covers it also starts in a document wi
 suffixes of a corpus in one place is impossible, so equal strings are first brought together by content:
 
 1. Each SPAN-byte string is led by the least hash among its GRAM-byte grams (the leftmost of equals). Runs of strings with
-   one leader form a context. Equal strings have equal leaders, at equal offsets. Leaders and 64-bit names of contexts go
-   to buckets by leader hash, once for each block of text.
-2. In a bucket, every context is owned by the smallest document that holds it; in all others, all its strings go. Only
-   owners of contexts whose leader has several different contexts need more: their bytes are fetched in a second pass.
-3. Those contexts are sorted as suffixes in two stages: suffixes smaller than their successors are sorted directly, all
-   others are induced by a scan over first-byte buckets in ascending order. Neighbours with a common prefix of SPAN bytes
-   are equal strings, which go in all documents but the smallest.
-
-Spans are then the unions of the strings that go. Null is the empty text; rows that share a doc_id never remove from each
-other, and each is judged by itself. Null doc_ids count as larger than all others. Texts shorter than SPAN stay whole.
-
-Buckets are numbered by the corpus's size (BUCKET_BYTES of text each). A leader that very many documents share arrives
-once for each block and context, as tasks drop repeats before the shuffle; in step 3 only different contexts of it meet."""
+   one leader form a context; equal strings have equal leaders, at equal offsets. Documents are dealt into groups of about
+   GROUP_BYTES by a hash of the row. A group sends each leader once, as four bytes and the number of its documents, to a
+   bucket by leader hash, which answers with the leaders that two documents have, and which of them are hot.
+2. Groups send the bytes of contexts with such leaders, each different context once with its smallest document, to buckets
+   again. Contexts of a hot leader (HOT documents or more, whatever their edges hold) are sent string by string, dealt by
+   the string's own hash, so that no bucket holds a hot leader's edges.
+3. A bucket compares bytes: contexts that a smaller document holds whole go. The different contexts of one leader are then
+   sorted as suffixes in two stages: suffixes smaller than their successors are sorted directly, all others are induced by
+   a scan over first-byte buckets in ascending order. Neighbours with a common prefix of SPAN bytes are equal strings, which
+   go in all documents but the smallest.
+4. Groups take the spans that go out of their texts.
+
+Nothing goes on a hash alone: hashes only bring strings together. Texts are shuffled once, as all steps read one exchange.
+Null is the empty text; rows that share a doc_id never remove from each other, and each is judged by itself. Null doc_ids
+count as larger than all others. Texts shorter than SPAN stay whole."""
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -30,15 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.llm import textkit
-from sentrel.llm.common import forget, schema, settle, work_folder
+from sentrel.llm.common import schema
 
-SPAN, GRAM, BUCKET_BYTES = 50, 26, 16 << 20
+SPAN, GRAM, GROUP_BYTES, BUCKET_BYTES = 50, 16, 8 << 20, 16 << 20
+#: Documents of a leader from which its strings are dealt one by one.
+HOT = 2048
 #: Bytes of contexts sorted at a time in step 3, in whole groups of a leader.
 SORTED = 1 << 20
+#: No context is longer: strings with one leader start within SPAN - GRAM bytes before it.
+LONGEST = 2 * SPAN - GRAM
 _POSITION = np.uint64((1 << 24) - 1)
 _LAST = np.iinfo(np.int64).max
 
-
 def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last string start, leader hash and context name of each context in a block, in ascending order."""
     out = []
@@ -80,119 +84,223 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
 
 
-def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Step 1: one row for each block and bucket, with parallel arrays of leaders, names and documents, and the contexts
-    that a smaller document of the block holds too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in textkit.blocks(batch):
-                ids = np.array([_LAST if i is None else i for i in part.column(0).to_pylist()], np.int64)
-                a, _, lead, name = contexts(data, offsets)
-                doc = ids[np.searchsorted(offsets, a, "right") - 1]
-                order = np.lexsort((doc, name, lead))
-                lead, name, doc = lead[order], name[order], doc[order]
-                same = np.zeros(len(lead), bool)
-                same[1:] = (lead[1:] == lead[:-1]) & (name[1:] == name[:-1])
-                heads = np.flatnonzero(~same)
-                least = doc[heads][np.cumsum(~same) - 1] if len(heads) else doc
-                gone = doc > least
-                bucket = (lead % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows: list[tuple] = []
-                for k in range(buckets):
-                    own = order[bounds[k] : bounds[k + 1]]
-                    if len(own):
-                        keep, out = own[~same[own]], own[gone[own]]
-                        rows.append((k, (lead[keep] >> np.uint64(32)).astype(np.uint32).tobytes(), name[keep].tobytes(), doc[keep].tobytes(), doc[out].tobytes(), name[out].tobytes()))
-                columns = list(zip(*rows)) or [[]] * 6
-                yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "lead", "name", "doc", "out_doc", "out_name"])
-
-    return docs.mapInArrow(run, schema("bucket int, lead binary, name binary, doc binary, out_doc binary, out_name binary"))
-
-
-def by_document(doc: np.ndarray, name: np.ndarray) -> dict[int, bytes]:
-    order = np.lexsort((name, doc))
-    doc, name = doc[order], name[order]
-    fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])
-    doc, name = doc[fresh], name[fresh]
-    heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
-    return {int(doc[a]): name[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(doc)))}
-
-
-def resolve(table: pa.Table) -> pa.Table:
-    """Step 2 for one bucket: for each document the names of contexts that go, and of those to look into."""
-    def read(column: str, kind: type) -> np.ndarray:
-        return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
-
-    lead, name, doc = read("lead", np.uint32), read("name", np.uint64), read("doc", np.int64)
+def opened(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (null: the largest number), UTF-8 bytes and offsets of a group's rows, in an order that every step finds again:
+    by id, equal ids by text."""
+    ids = texts.column("doc_id").to_numpy(zero_copy_only=False) if not texts.column("doc_id").null_count else np.array([_LAST if i is None else i for i in texts.column("doc_id").to_pylist()])
+    ids = ids.astype(np.int64)
+    column = texts.column("text").combine_chunks()
+    order = np.argsort(ids, kind="stable")
+    tied = np.flatnonzero(ids[order][1:] == ids[order][:-1])
+    for a in tied[np.append(True, np.diff(tied) > 1)].tolist() if len(tied) else []:
+        b = a + 1
+        while b + 1 < len(order) and ids[order[b + 1]] == ids[order[a]]:
+            b += 1
+        order[a : b + 1] = sorted(order[a : b + 1].tolist(), key=lambda i: column[i].as_py() or "")
+    data, offsets = textkit.buffers(column.take(pa.array(order)))
+    return ids[order], data, offsets
+
+
+def cut_rows(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
+    """The different keys, ascending, and each column's values of a key as one binary."""
+    order = np.argsort(key, kind="stable")
+    heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+    bounds = np.append(heads, len(key))
+    return key[order][heads], [packed(c[order], bounds) for c in columns]
+
+
+def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary array of values[bounds[i] : bounds[i + 1]]."""
+    ends = pa.array((bounds * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... n[i] numbers for each i."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def asked(buckets: int):
+    """Step 1 of a group: its leaders and their numbers of documents, by bucket."""
+
+    def run(texts: pa.Table) -> pa.Table:
+        ids, data, offsets = opened(texts)
+        first, _, lead, _ = contexts(data, offsets)
+        doc = ids[np.searchsorted(offsets, first, "right") - 1]
+        order = np.lexsort((doc, lead))
+        lead, doc = lead[order], doc[order]
+        head = np.append(True, lead[1:] != lead[:-1]) if len(lead) else np.zeros(0, bool)
+        fresh = head.copy()
+        fresh[1:] |= doc[1:] != doc[:-1]
+        n = np.diff(np.append(np.cumsum(fresh)[head] - 1, fresh.sum()))
+        lead = lead[head]
+        key, columns = cut_rows((lead % np.uint64(buckets)).astype(np.int64), [(lead >> np.uint64(32)).astype(np.uint32), np.minimum(n, 65535).astype(np.uint16)])
+        return pa.table([pa.array(key.astype(np.int32)), pa.array(np.full(len(key), texts.column("home")[0].as_py(), np.int32)), *columns], ["bucket", "home", "lead", "docs"])
+
+    return run
+
+
+def answered(hot: int):
+    """Step 1 of a bucket: for each group its leaders that two documents have (or two groups, which is nearly the same),
+    and those that are hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = np.array([len(x) // 4 for x in table.column("lead").to_pylist()], np.int64)
+        lead, docs = joined(table, "lead", np.uint32), joined(table, "docs", np.uint16)
+        home = np.repeat(table.column("home").to_numpy(), sizes)
+        _, back = np.unique(lead, return_inverse=True)
+        many = np.bincount(back, docs).astype(np.int64)[back] if len(lead) else np.zeros(0, np.int64)
+        keep = many > 1
+        key, columns = cut_rows(home[keep].astype(np.int64), [lead[keep], (many[keep] >= hot).astype(np.uint8)])
+        return pa.table([pa.array(key.astype(np.int32)), *columns], ["home", "lead", "hot"])
+
+    return run
+
+
+def distinct(payload: np.ndarray, head: np.ndarray, size: np.ndarray, lead: np.ndarray, name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of contexts that brings those with equal bytes and leader together, smallest document first, and whether
+    each has the bytes of the one before it. Hashes make the order, bytes decide."""
     order = np.lexsort((doc, name, lead))
-    lead, name, doc = lead[order], name[order], doc[order]
-    head = np.ones(len(lead), bool)
-    head[1:] = (lead[1:] != lead[:-1]) | (name[1:] != name[:-1])
-    owner = doc[np.flatnonzero(head)][np.cumsum(head) - 1] if len(doc) else doc
-    out = doc > owner
-    own = np.flatnonzero(head)
-    group = np.cumsum(np.append(True, lead[own][1:] != lead[own][:-1])) - 1 if len(own) else own
-    several = np.bincount(group)[group] > 1 if len(own) else np.zeros(0, bool)
-    # a leader all of whose contexts have one owner has nothing to find
-    top, low = np.full(len(own), -1), np.full(len(own), _LAST)
-    np.maximum.at(top, group, doc[own])
-    np.minimum.at(low, group, doc[own])
-    look = own[several & (top[group] != low[group])]
-    gone = by_document(np.concatenate([read("out_doc", np.int64), doc[out]]), np.concatenate([read("out_name", np.uint64), name[out]]))
-    seek = by_document(doc[look], name[look])
-    ids = sorted(gone.keys() | seek.keys())
-    return pa.table([pa.array([None if i == _LAST else i for i in ids], pa.int64()), pa.array([gone.get(i, b"") for i in ids], pa.binary()), pa.array([seek.get(i, b"") for i in ids], pa.binary())], ["doc_id", "gone", "seek"])
-
-
-def result_row(raw: bytes, starts: np.ndarray) -> tuple[int, int, int, str]:
-    """n_bytes, n_removed, n_spans and hash of what is left of a text, of which the SPAN-byte strings at starts go."""
-    if not len(starts):
-        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
-    starts = np.unique(starts)
-    cover = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + SPAN, -1)
-    gone = np.cumsum(cover)[:-1] > 0
-    spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-    left = np.frombuffer(raw, np.uint8)[~gone]
-    return len(raw), int(gone.sum()), spans, hashlib.sha256(left.tobytes()).hexdigest()
-
-
-SECOND = "kind string, doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, starts binary, lead long, context binary, at long"
-
-
-def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, row, gone, seek. Documents without contexts to look into are finished here; others go on with
-    their text and the strings that are known to go, and their contexts as rows of their own."""
-    arrow = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    names, types = zip(*(field.split() for field in SECOND.split(", ")))
-    for batch in batches:
-        for part, data, offsets in textkit.blocks(batch):
-            rows: list[tuple] = []
-            first, last, lead, name = contexts(data, offsets)
-            bounds = np.searchsorted(first, offsets)
-            ids, numbers, gone, seek = (part.column(i).to_pylist() for i in (0, 2, 3, 4))
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                raw, starts = data[a:b].tobytes(), np.zeros(0, np.int64)
-                f, l, h, c = (x[bounds[i] : bounds[i + 1]] for x in (first, last, lead, name))
-                if gone[i]:
-                    hit = np.isin(c, np.frombuffer(b"".join(gone[i]), np.uint64))
-                    n = (l - f + 1)[hit]
-                    starts = np.repeat(f[hit] - a - np.cumsum(n) + n, n) + np.arange(n.sum())
-                found = np.flatnonzero(np.isin(c, np.frombuffer(b"".join(seek[i]), np.uint64))) if seek[i] else []
-                if not len(found):
-                    rows.append(("done", ids[i], numbers[i], *result_row(raw, starts), None, None, None, None, None))
-                    continue
-                rows.append(("open", ids[i], numbers[i], None, None, None, None, raw.decode(), starts.astype(np.int64).tobytes(), None, None, None))
-                for k in found:
-                    rows.append(("part", ids[i], numbers[i], None, None, None, None, None, None, int(h[k].view(np.int64)), data[f[k] : l[k] + SPAN].tobytes(), int(f[k] - a)))
-            columns = list(zip(*rows))
-            if columns:
-                yield pa.record_batch([pa.array(c, arrow[t]) for c, t in zip(columns, types)], names)
+    same = np.zeros(len(order), bool)
+    if len(order):
+        a, b = order[1:], order[:-1]
+        same[1:] = (lead[a] == lead[b]) & (name[a] == name[b]) & (size[a] == size[b])
+        spots = np.flatnonzero(same)
+        for at in range(0, len(spots), 1 << 16):
+            own = spots[at : at + (1 << 16)]
+            x, y = order[own], order[own - 1]
+            n = size[x]
+            differ = payload[spread(head[x], n)] != payload[spread(head[y], n)]
+            same[own[np.add.reduceat(differ, np.cumsum(n) - n) > 0]] = False
+    return order, same
+
+
+def named(payload: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces of at most LONGEST bytes, whose heads and ends ascend."""
+    out, at, ends = np.zeros(len(head), np.uint64), 0, head + size
+    while at < len(head):
+        end = max(at + 1, int(np.searchsorted(ends, head[at] + textkit.BLOCK, "right")))
+        lo, hi = head[at], ends[end - 1]
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(textkit.RAW_CODES[payload[lo:hi]] * textkit.powers(textkit.BASE, hi - lo), out=sums[1:])
+        a, b = head[at:end] - lo, ends[at:end] - lo
+        out[at:end] = (sums[b] - sums[a]) * textkit.powers(textkit.INVERSE, hi - lo)[a] + (b - a).astype(np.uint64)
+        at = end
+    return textkit.mix(out)
+
+
+SENT = "bucket int, home int, lead binary, size binary, doc binary, row binary, at binary, bytes binary, n binary"
+
+
+def sent(buckets: int):
+    """Step 2 of a group: different contexts with their smallest documents by bucket, and what goes inside the group, which
+    passes under a number of its own below 0."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        if not texts.num_rows:
+            return schema_table(SENT)
+        ids, data, offsets = opened(texts)
+        first, last, lead, _ = contexts(data, offsets)
+        wanted, hot = joined(answers, "lead", np.uint32), joined(answers, "hot", np.uint8)
+        order = np.argsort(wanted)
+        wanted, hot = wanted[order], hot[order]
+        short = (lead >> np.uint64(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(wanted, short), max(0, len(wanted) - 1))
+        found = wanted[at] == short if len(wanted) else np.zeros(len(short), bool)
+        first, last, lead, dealt = first[found], last[found], lead[found], (hot[at[found]] > 0) if len(wanted) else np.zeros(0, bool)
+        # strings of hot leaders one by one
+        n = (last - first + 1)[dealt]
+        single = spread(first[dealt], n)
+        head = np.concatenate([first[~dealt], single])
+        size = np.concatenate([(last - first)[~dealt] + SPAN, np.full(len(single), SPAN)]).astype(np.int64)
+        order = np.argsort(head, kind="stable")
+        head, size = head[order], size[order]
+        name = named(data, head, size)
+        lead = np.concatenate([lead[~dealt], np.zeros(len(single), np.uint64)])[order]
+        lead = np.where(order >= len(lead) - len(single), name, lead)
+        row = np.searchsorted(offsets, head, "right") - 1
+        order, same = distinct(data, head, size, lead, name, ids[row])
+        head, size, lead, row, doc = head[order], size[order], lead[order], row[order], ids[row[order]]
+        least = doc[np.flatnonzero(~same)][np.cumsum(~same) - 1] if len(doc) else doc
+        gone = doc > least
+        keep = np.flatnonzero(~gone)
+        bucket = (lead[keep] % np.uint64(buckets)).astype(np.int64)
+        keep = keep[np.lexsort((head[keep], bucket))]
+        bucket = (lead[keep] % np.uint64(buckets)).astype(np.int64)
+        key, columns = cut_rows(bucket, [(lead[keep] >> np.uint64(32)).astype(np.uint32), size[keep].astype(np.uint8), doc[keep], row[keep].astype(np.uint32), (head[keep] - offsets[row[keep]]).astype(np.uint32)])
+        bounds = np.append(np.searchsorted(bucket, key), len(bucket))
+        blobs = [press.compress(data[spread(head[keep[a:b]], size[keep[a:b]])].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        home = texts.column("home")[0].as_py()
+        none = pa.array([None] * len(key), pa.binary())
+        out = pa.table([pa.array(key.astype(np.int32)), pa.array(np.full(len(key), home, np.int32)), *columns, pa.array(blobs, pa.binary()), none], SENT_NAMES)
+        if gone.any():
+            inside = [np.ascontiguousarray(c).tobytes() for c in (row[gone].astype(np.uint32), (head[gone] - offsets[row[gone]]).astype(np.uint32), (size[gone] - SPAN + 1).astype(np.uint8))]
+            own = [pa.array([-1 - home], pa.int32()), pa.array([home], pa.int32()), *[pa.array([x], pa.binary()) for x in (None, None, None, inside[0], inside[1], None, inside[2])]]
+            out = pa.concat_tables([out, pa.table(own, SENT_NAMES)])
+        return out
+
+    return run
+
+
+SENT_NAMES = [f.split()[0] for f in SENT.split(", ")]
+
+
+def schema_table(text: str) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema(text)).empty_table()
+
+
+def settled(table: pa.Table) -> pa.Table:
+    """Step 3 of a bucket: for each group the rows (numbers in the group), places and numbers of strings that go."""
+    inside = table.column("lead").null_count == table.num_rows
+    if inside:
+        return table.select(["home", "row", "at", "n"])
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    counts = np.array([len(x) for x in table.column("size").to_pylist()], np.int64)
+    payload = np.frombuffer(b"".join(press.decompress(x) for x in table.column("bytes").to_pylist()), np.uint8)
+    home = np.repeat(table.column("home").to_numpy(), counts)
+    lead, size, doc = joined(table, "lead", np.uint32), joined(table, "size", np.uint8).astype(np.int64), joined(table, "doc", np.int64)
+    row, at = joined(table, "row", np.uint32), joined(table, "at", np.uint32)
+    head = np.cumsum(size) - size
+    order, same = distinct(payload, head, size, lead, named(payload, head, size), doc)
+    top = np.flatnonzero(~same)
+    which = np.cumsum(~same) - 1
+    owner = doc[order[top]]
+    gone = doc[order] > owner[which]
+    out = [(order[gone], at[order[gone]], size[order[gone]] - SPAN + 1)]
+    # leaders with several contexts of several documents are sorted
+    group_of = lead[order[top]]
+    cuts = np.flatnonzero(np.append(True, group_of[1:] != group_of[:-1]))
+    bounds = np.append(cuts, len(top))
+    look = np.flatnonzero((np.diff(bounds) > 1) & (np.maximum.reduceat(owner, cuts) > np.minimum.reduceat(owner, cuts))) if len(cuts) else cuts
+    begun, held = [], 0
+    rank = np.append(top, len(order))
+    for g in [*look.tolist(), None]:
+        if g is None or held >= SORTED:
+            if begun:
+                hits = repeated([payload[head[i] : head[i] + size[i]].tobytes() for i in order[top[begun]].tolist()], owner[begun])
+                for t, starts in zip(begun, hits):
+                    if len(starts):
+                        for i in order[rank[t] : rank[t + 1]].tolist():
+                            if doc[i] == owner[t]:
+                                out.append((np.full(len(starts), i), at[i] + starts, np.ones(len(starts), np.int64)))
+            begun, held = [], 0
+        if g is not None:
+            begun.extend(range(bounds[g], bounds[g + 1]))
+            held += int(size[order[top[bounds[g] : bounds[g + 1]]]].sum())
+    entry, place, n = (np.concatenate([o[k] for o in out]) for k in range(3))
+    key, columns = cut_rows(home[entry].astype(np.int64), [row[entry], place.astype(np.uint32), n.astype(np.uint8)])
+    return pa.table([pa.array(key.astype(np.int32)), *columns], ["home", "row", "at", "n"])
 
 
 def sort_suffixes(text: np.ndarray) -> np.ndarray:
@@ -272,69 +380,41 @@ def repeated(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [hit_at[by[cuts[i] : cuts[i + 1]]] for i in range(len(texts))]
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3 over rows (lead, doc_id, row, at, context) in order of lead; whole groups, about SORTED bytes at a time.
-    A group holds each different context of a leader once, however many documents have it."""
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        docs = np.array([_LAST if r[1] is None else r[1] for r in rows], np.int64)
-        found = repeated([r[4] for r in rows], docs)
-        kept = [(r[1], r[2], (f + r[3]).astype(np.int64).tobytes()) for r, f in zip(rows, found) if len(f)]
-        columns = list(zip(*kept)) or [[]] * 3
-        return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["doc_id", "row", "more"])
-
-    rows: list[tuple] = []
-    held = 0
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if held >= SORTED and rows[-1][0] != row[0]:
-                yield flush(rows)
-                rows, held = [], 0
-            rows.append(row)
-            held += len(row[4])
-    if rows:
-        yield flush(rows)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of finished steps now rather than at the driver's next collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def taken_out(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """Step 4 of a group."""
+    if not texts.num_rows:
+        return schema_table(RESULT)
+    ids, data, offsets = opened(texts)
+    row, at, n = joined(answers, "row", np.uint32), joined(answers, "at", np.uint32).astype(np.int64), joined(answers, "n", np.uint8).astype(np.int64)
+    change = np.zeros(len(data) + 1, np.int32)
+    start = offsets[row] + at
+    np.add.at(change, start, 1)
+    np.add.at(change, start + n - 1 + SPAN, -1)
+    gone = np.cumsum(change)[:-1] > 0
+    first = gone.copy()
+    first[1:] &= ~gone[:-1]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    first[edges] = gone[edges]
+    removed, spans = (np.diff(np.append(0, np.cumsum(x))[offsets]) for x in (gone, first))
+    rows = [hashlib.sha256((data[a:b][~gone[a:b]] if r else data[a:b]).tobytes()).hexdigest() for a, b, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist())]
+    return pa.table([pa.array(ids, mask=ids == _LAST), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(rows, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; see the module's text."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, -(-size // BUCKET_BYTES))
-    # no variable holds a finished step's frame, so release() can free its shuffle files
-    replies = settle(bucketed(source, buckets).groupBy("bucket").applyInArrow(resolve, schema("doc_id long, gone binary, seek binary")), "replies")
-    release(spark)
-    by_doc = replies.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"), F.collect_list("seek").alias("seek"))
-    numbered = source.withColumn("row", F.monotonically_increasing_id())
-    joined = numbered.join(by_doc, numbered.doc_id.eqNullSafe(by_doc.doc_id), "left").select(numbered.doc_id, "text", "row", "gone", F.filter("seek", lambda s: F.length(s) > 0).alias("seek"))
-    path = work_folder(spark, "strings")
-    joined.mapInArrow(second_pass, schema(SECOND)).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    del by_doc, numbered, joined
-    forget(replies)
-    release(spark)
-    second = spark.read.schema(schema(SECOND.replace("kind string, ", "") + ", kind string")).parquet(path)
-    parts = second.where("kind = 'part'").select("lead", "doc_id", "row", "at", "context")
-    more = parts.repartition("lead").sortWithinPartitions("lead", "doc_id").mapInArrow(sorted_groups, schema("doc_id long, row long, more binary"))
-    more = more.groupBy("row").agg(F.collect_list("more").alias("more"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                rows = []
-                for doc, text, starts, extra in zip(*(part.column(i).to_pylist() for i in range(4))):
-                    rows.append((doc, *result_row(text.encode(), np.frombuffer(starts + b"".join(extra or []), np.int64))))
-                columns = list(zip(*rows))
-                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    open_ = second.where("kind = 'open'").select("doc_id", "text", "starts", "row").join(more, "row", "left").select("doc_id", "text", "starts", "more")
-    return second.where("kind = 'done'").select(*names).unionByName(open_.mapInArrow(finish, schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")))
+    homes, buckets = max(16, -(-size // GROUP_BYTES)), max(16, -(-size // BUCKET_BYTES))
+    texts = source.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(homes)).cast("int").alias("home"), "doc_id", "text")
+    grouped = texts.groupBy("home")
+    leads = grouped.applyInArrow(asked(buckets), schema("bucket int, home int, lead binary, docs binary"))
+    answers = leads.groupBy("bucket").applyInArrow(answered(hot), schema("home int, lead binary, hot binary"))
+    strings = grouped.cogroup(answers.groupBy("home")).applyInArrow(sent(buckets), schema(SENT))
+    going = strings.groupBy("bucket").applyInArrow(settled, schema("home int, row binary, at binary, n binary"))
+    return grouped.cogroup(going.groupBy("home")).applyInArrow(taken_out, schema(RESULT))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

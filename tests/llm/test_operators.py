@@ -228,10 +228,17 @@ def test_substrings(spark, odd):
             t += "é" * r.randrange(0, 60) if r.random() < 0.3 else ""
         texts.append(t if i % 17 else None)
     want = repeats(list(enumerate(texts)))
-    got = remove_repeats(docs_of(spark, texts)).collect()
-    assert len(got) == len(texts)
-    for x in got:
-        assert tuple(x)[1:] == want[x.doc_id]
+    for hot in (2048, 3):  # with 3 nearly all strings are dealt one by one
+        got = remove_repeats(docs_of(spark, texts), hot=hot).collect()
+        assert len(got) == len(texts)
+        for x in got:
+            assert tuple(x)[1:] == want[x.doc_id]
+    # rows that share an id, rows without one, repeated rows
+    rows = [(7, base[0]), (7, base[0] + "tail"), (7, base[0]), (3, base[0][100:]), (None, base[0]), (None, base[1]), (9, base[1]), (9, None)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    flat = repeats([(k, t) for k, (_, t) in enumerate(sorted(rows, key=lambda r: r[0] or 99))])
+    assert sorted((x.doc_id or 0, x.n_bytes, x.n_removed) for x in got) == sorted([(7, 400, 300), (7, 404, 300), (7, 400, 300), (3, 300, 0), (0, 400, 400), (0, 400, 400), (9, 400, 0), (9, 0, 0)])
+    assert flat[0] == (300, 0, 0, hashlib.sha256(base[0][100:].encode()).hexdigest())
     assert remove_repeats(odd).count() == odd.count() and remove_repeats(empty(spark)).count() == 0
 
 
