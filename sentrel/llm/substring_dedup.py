@@ -355,8 +355,41 @@ def key_words(padded: np.ndarray, at: np.ndarray, word: int) -> np.ndarray:
     return key
 
 
+def worth_sorting(texts: list[bytes]) -> list[tuple[int, int]]:
+    """For each context the bounds of its part between the first and last string whose hash another start has too. Equal
+    strings have equal hashes, so nothing that repeats lies outside; (0, 0) where nothing can."""
+    size = np.array([len(t) for t in texts])
+    text = np.frombuffer(b"".join(texts), np.uint8)
+    head = np.cumsum(size) - size
+    n = size - SPAN + 1
+    start = spread(head, n)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(textkit.RAW_CODES[text] * textkit.powers(textkit.BASE, len(text)), out=sums[1:])
+    name = (sums[start + SPAN] - sums[start]) * textkit.powers(textkit.INVERSE, len(text))[start]
+    order = np.argsort(name)
+    equal = name[order][1:] == name[order][:-1]
+    often = np.zeros(len(name), bool)
+    often[order[1:][equal]] = often[order[:-1][equal]] = True
+    cuts = np.cumsum(n) - n
+    place = start - np.repeat(head, n)
+    low = np.minimum.reduceat(np.where(often, place, 1 << 40), cuts)
+    high = np.maximum.reduceat(np.where(often, place, -1), cuts)
+    return [(a, b + SPAN) if b >= 0 else (0, 0) for a, b in zip(low.tolist(), high.tolist())]
+
+
 def repeated(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For each context, the starts of SPAN-byte strings that a context of a smaller document holds too."""
+    bounds = worth_sorting(texts)
+    some = [i for i, (a, b) in enumerate(bounds) if b]
+    out = [np.zeros(0, np.int64)] * len(texts)
+    if some:
+        for i, starts in zip(some, sorted_repeats([texts[i][slice(*bounds[i])] for i in some], docs[some])):
+            out[i] = starts + bounds[i][0]
+    return out
+
+
+def sorted_repeats(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
+    """The same for all that the contexts hold, by neighbours in the order of their suffixes."""
     text = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
     size = np.array([len(t) for t in texts])
     head = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
