@@ -1,14 +1,16 @@
 """Personal data: exact base patterns, and boosted trees over further candidates. DataFrame functions and Spark ML only.
 
 Base spans are the leftmost non-overlapping matches of four patterns, of which those failing a check (octets, Luhn, digit
-counts) are dropped. High-recall generators propose more: addresses written out or spaced, cards and phones with other
-separators, masked ends or no plus sign. Candidates that touch a base span or a better candidate go. Gradient-boosted
-trees, trained here on EXAMPLES generated look-alikes with known answers, score the rest from their format (digit groups,
-separators, checks) and context (words and characters around); those above a threshold calibrated for PRECISION on held-out
-examples are added. Base spans always stay.
+counts) are dropped. High-recall generators propose more, whose spans may overlap: addresses written out or spaced, masked
+or spaced network addresses and those of version 6, cards and phones with other separators, two groups or none, and
+secrets (long mixed tokens, values set behind a telling word). Gradient-boosted trees, trained here on EXAMPLES generated
+from RECIPES in and out of telling contexts, score them from their format (groups, separators, checks, letters) and
+context (words and characters around); those above their kind's threshold, calibrated for PRECISION on held-out examples,
+are redactions. Base spans always stay; a candidate that touches one goes, and of candidates that overlap the better stays.
 
 Positions are code points. They come from the lengths of what a split leaves between matches, summed by a window over a
-row's matches, so a text with very many matches costs in proportion. Null is the empty text; repeated rows are kept."""
+row's matches, so a text with very many matches costs in proportion. Null is the empty text; repeated rows are kept.
+Secrets are no kind of the contract's spans and have columns of their own."""
 
 from __future__ import annotations
 
@@ -21,23 +23,60 @@ from pyspark.sql import functions as F
 from sentrel.llm.common import settle
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fixed values of the contract, with possessive runs that match the same and never search a run twice.
+EVERY = (*KINDS, "secret")
+#: Fixed values of the contract, with possessive runs that match the same, never search a run twice and need no stack.
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Generators of further candidates, by the kind they may be.
-WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+ ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z]{2,24}",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}[./_ -]{1,2}[0-9]{4}[./_ -]{1,2}[0-9]{4}[./_ -]{1,2}[0-9]{1,7}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])[(]?[0-9]{2,5}[)]?[ ./-]{1,2}[0-9]{2,5}[ ./-][0-9]{2,6}(?:[ ./-][0-9]{2,5})?(?![0-9A-Za-z])",
+_AT, _DOT = r" ?(?:@|[(\[{] ?at ?[)\]}]) ?", r" ?(?:\.|[(\[{] ?(?:dot|\.) ?[)\]}]) ?"
+_TOLD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)"
+#: Generators of further candidates: kind, name, pattern, and a cheap test that a text with a match passes.
+WIDE = [
+    ("email", "written", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{2,24}}){{1,5}}+", r"@|[(\[{] ?at ?[)\]}]"),
+    ("ip", "masked", rf"(?<![0-9A-Za-z.])[0-9]{{1,3}}+(?:{_DOT}[0-9]{{1,3}}+){{3}}(?![0-9A-Za-z])", r"[0-9] ?[(\[{ .]"),
+    ("ip", "six", r"(?i)(?<![0-9a-z:])(?:[0-9a-f]{1,4}+:){7}[0-9a-f]{1,4}+(?![0-9a-z:])|(?<![0-9a-z:])(?:[0-9a-f]{1,4}+:){1,6}:(?:[0-9a-f]{1,4}+:){0,5}[0-9a-f]{1,4}+(?![0-9a-z:])", r"[0-9A-Fa-f]:"),
+    ("card", "grouped", r"(?<![0-9A-Za-z])[0-9]{4}[./_ -]{1,2}[0-9]{4}[./_ -]{1,2}[0-9]{4}[./_ -]{1,2}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}[./_ -]{1,2}[0-9]{6}[./_ -]{1,2}[0-9]{5}(?![0-9A-Za-z])", r"[0-9]{4}[./_ -]"),
+    ("phone", "groups", r"(?<![0-9A-Za-z+])[(]?[0-9]{2,5}+[)]?(?:[ ./-]{1,2}[0-9]{2,8}+){1,5}(?![0-9A-Za-z])", r"[0-9]{2}[) ./-]"),
+    ("phone", "bare", r"(?<![0-9A-Za-z+.,])[0-9]{7,13}+(?![0-9A-Za-z])", r"[0-9]{7}"),
+    ("secret", "mixed", r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}", r"[A-Za-z0-9_+/-]{20}"),
+    ("secret", "told", rf"(?<={_TOLD}[\"']? ?[:=] ?[\"']?)[^\x20\t\r\n\"'<>,;=]{{6,64}}+", _TOLD),
+]
+EXAMPLES, PRECISION, BEFORE, AFTER = 8000, 0.995, 24, 12
+#: Words of a context that speak for a kind, and those that speak against numbers being anyone's.
+CUES = {
+    "email": r"(?i)(mail|contact|write|reach|courriel|correo|kontakt)", "ip": r"(?i)(\bip\b|address|host|server|login|from|adresse|addr|peer|client)",
+    "card": r"(?i)(card|visa|carte|karte|tarjeta|credit|master)", "phone": r"(?i)(phone|call|tel|mobile|cell|fax|telefon|whatsapp|sms|ring|appel|llama|anruf|mobil)",
+    "secret": r"(?i)(token|secret|key|passw|pwd|bearer|credential|auth)",
 }
-EXAMPLES, PRECISION, BEFORE, AFTER = 4000, 0.995, 24, 12
-CUES = {"email": r"(?i)(mail|contact|write|courriel|correo)", "card": r"(?i)(card|visa|carte|karte|tarjeta|credit)", "phone": r"(?i)(phone|call|tel|mobile|fax|t.l.phone|telefon|whatsapp)"}
+AGAINST = r"(?i)(version|release|page|seite|order|invoice|isbn|part|serial|section|chapter|price|total|sum|id|no\.|\$|€|year|between|from|figure|table|sha|commit|hash|path|file)[^A-Za-z0-9]{0,4}$"
 #: Format and context, as the trees see them.
-FEATURES = ("is_email", "is_card", "is_phone", "digits", "groups", "longest", "dots", "dashes", "spaces", "slashes", "parens", "ats", "luhn", "cue", "touches", "after", "year", "length")
+FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "is_secret", "digits", "groups", "longest", "dots", "dashes", "spaces", "slashes", "parens", "ats", "colons", "luhn", "octets", "upper", "lower", "kinds", "variety", "cue", "against", "touches", "after", "year", "length")
+#: Training recipes: kind, label, shape, context (c telling, n plain, a against, any letters of these). In a shape # is a
+#: digit, % one from 1 to 9, & a letter, ^ a hex digit, ~ a letter or digit of either case, $ the digit that makes the
+#: check sum right, ! one that does not; all else stands for itself.
+RECIPES = [
+    ("email", 1, "&&&&.##(at)&&&&&(dot)com", "cn"), ("email", 1, "&&&&& [at] &&&& [dot] org", "cn"), ("email", 1, "&&&(at)&&&&(dot)co(dot)uk", "cn"), ("email", 1, "&(at)&&&&&&.net", "cn"),
+    ("email", 1, "&&&&&&{at}&&&{dot}&&&{dot}de", "cn"), ("email", 1, "&&&&_&&& @ &&&&&.com", "c"), ("email", 0, "&&&& @ &&&& . &&&&", "na"), ("email", 0, "## @ &&&&. &&&", "na"), ("email", 0, "&& @ &&&& . &&", "a"),
+    ("ip", 1, "1##[.]##[.]1##[.]%#", "cn"), ("ip", 1, "%#(dot)1##(dot)%(dot)1##", "cn"), ("ip", 1, "1## . %# . %# . 1##", "c"), ("ip", 1, "^^^^:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^", "cn"), ("ip", 1, "fe80::^^^^:^^^^:^^^^:^^^^", "cn"), ("ip", 1, "2001:db8:^^^^::%", "cn"),
+    ("ip", 0, "9%#[.]8##[.]7##[.]9##", "cn"), ("ip", 0, "%# . %# . %# . %#", "na"), ("ip", 0, "%. %. %. %", "na"), ("ip", 0, "1#:5#::%", "na"),
+    ("card", 1, "4###.####.####.###$", "cn"), ("card", 1, "5%##/####/####/###$", "cn"), ("card", 1, "4###  ####  ####  ###$", "cn"), ("card", 1, "4###_####_####_###$", "cn"), ("card", 1, "37##.######.####$", "cn"),
+    ("card", 0, "4###.####.####.###!", "na"), ("card", 0, "####/####/####/###!", "na"), ("card", 0, "20##.20##.20##.%%%", "na"), ("card", 0, "####_####_####_###!", "cna"),
+    ("phone", 1, "(###) ###-####", "cn"), ("phone", 1, "###-###-####", "cn"), ("phone", 1, "### ### ####", "c"), ("phone", 1, "###.###.####", "c"), ("phone", 1, "0# ## ## ## ##", "cn"), ("phone", 1, "0## #######", "c"), ("phone", 1, "### ####", "c"),
+    ("phone", 1, "0### / ######", "c"), ("phone", 1, "##########", "c"), ("phone", 1, "0#########", "c"), ("phone", 1, "#######", "c"), ("phone", 1, "0##-####-####", "cn"),
+    ("phone", 0, "20##-0%-1#", "cna"), ("phone", 0, "1#.0%.20##", "cna"), ("phone", 0, "19##-20##", "cna"), ("phone", 0, "##########", "na"), ("phone", 0, "#######", "na"), ("phone", 0, "### ###", "na"), ("phone", 0, "### ### ###", "na"),
+    ("phone", 0, "##.##", "na"), ("phone", 0, "##/##", "cna"), ("phone", 0, "### ####", "na"), ("phone", 0, "## ## ##", "na"), ("phone", 0, "###.###.###", "na"), ("phone", 0, "## ##", "cna"), ("phone", 0, "##########", "a"), ("phone", 0, "#############", "na"), ("phone", 0, "%#.## ### ##", "na"),
+    ("secret", 1, "^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^", "c"), ("secret", 1, "AKIA~~~~~~~~~~~~~~~~", "cn"), ("secret", 1, "ghp_~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~", "cn"), ("secret", 1, "~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~", "c"), ("secret", 1, "sk-~~~~~~~~~~~~~~~~~~~~~~~~", "cn"), ("secret", 1, "&&&&##~~", "c"), ("secret", 1, "&&&&&&~~", "c"),
+    ("secret", 0, "^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^", "na"), ("secret", 0, "&&&&&&&&&-&&&&&&&&&-&&&&&&-20##", "na"), ("secret", 0, "/&&&&/&&&&&/&&&&&&/&&&##", "na"), ("secret", 0, "####################", "na"), ("secret", 0, "&&&&&&_&&&&&&&&_&&&&&&_##", "na"),
+]
+TELLING = {
+    "email": ["mail ", "contact: ", "write to ", "e-mail: ", "correo "], "ip": ["host ", "from server ", "ip: ", "login from ", "address "], "card": ["card ", "visa ", "credit card number ", "Karte: ", "tarjeta "],
+    "phone": ["call me at ", "phone: ", "tel. ", "my mobile is ", "tel ", "Telefon ", "fax: ", "cell "], "secret": ['token = "', "api_key=", "password: ", "secret ", "Bearer "],
+}
+PLAIN = ["the values were ", "of the thing ", "and then ", "", "in all ", "so that ", "la que ", "und die "]
+COUNTER = ["in version ", "see page ", "order ", "serial no. ", "ISBN ", "price $", "commit ", "in the file ", "between ", "part "]
 
 
 def digits_of(text: Column) -> Column:
@@ -50,6 +89,10 @@ def luhn(digits: Column) -> Column:
     return F.coalesce(F.aggregate(F.filter(places, lambda p: p.isNotNull()), F.lit(0), lambda s, p: s + p) % 10 == 0, F.lit(False))
 
 
+def octets(match: Column) -> Column:
+    return F.forall(F.filter(F.split(match, "[^0-9]+"), lambda p: p != ""), lambda p: F.length(F.regexp_replace(p, "^0+(?=[0-9])", "")) < F.when(F.regexp_replace(p, "^0+(?=[0-9])", "") <= "255", 4).otherwise(3))
+
+
 def passes(kind: Column, match: Column) -> Column:
     digits = digits_of(match)
     n = F.length(digits)
@@ -74,8 +117,7 @@ def proposals(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     text = F.coalesce(F.col(text_col), F.lit(""))
     digit = text.rlike("[0-9]")
     worth = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
-    at = text.rlike(r"@|[(\[{]at[)\]}]")
-    arrays = [matches(text, k, "base", BASE[k], worth[k]) for k in KINDS] + [matches(text, k, "wide", p, at if k == "email" else digit) for k, p in WIDE.items()]
+    arrays = [matches(text, k, "base", BASE[k], worth[k]) for k in KINDS] + [matches(text, k, name, p, text.rlike(cheap)) for k, name, p, cheap in WIDE]
     seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rowno"), F.concat(*arrays).alias("found"))
     rows = settle(seen, "found")
     flat = rows.where(F.size("found") > 0).select("rowno", F.explode("found").alias("f")).select("rowno", "f.*")
@@ -91,52 +133,48 @@ def with_features(spans: DataFrame) -> DataFrame:
     count = lambda p: F.regexp_count(m, F.lit(p))
     cue = reduce(lambda a, b: a | b, [(F.col("kind") == k) & F.col("before").rlike(p) for k, p in CUES.items()])
     n = F.length(digits)
-    values = {
-        "is_email": F.col("kind") == "email", "is_card": F.col("kind") == "card", "is_phone": F.col("kind") == "phone", "digits": n, "groups": F.size(groups),
+    kinds = {f"is_{k}": F.col("kind") == k for k in EVERY}
+    values = kinds | {
+        "digits": n, "groups": F.size(groups),
         "longest": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), "dots": count(r"\."), "dashes": count("-"), "spaces": count(" "), "slashes": count("[/_]"),
-        "parens": count(r"[()\[\]{}]"), "ats": count("@|at"), "luhn": F.when((n >= 12) & (n <= 19), luhn(F.when(n <= 19, digits))).otherwise(F.lit(False)), "cue": cue,
+        "parens": count(r"[()\[\]{}]"), "ats": count("@|at"), "colons": count(":"), "luhn": F.when((n >= 12) & (n <= 19), luhn(F.when(n <= 19, digits))).otherwise(F.lit(False)),
+        "octets": F.when(F.col("kind") == "ip", octets(m)).otherwise(F.lit(False)), "upper": count("[A-Z]"), "lower": count("[a-z]"),
+        "kinds": m.rlike("[A-Z]").cast("int") + m.rlike("[a-z]").cast("int") + m.rlike("[0-9]").cast("int"),
+        "variety": F.size(F.array_distinct(F.split(F.substring(m, 1, 64), ""))) / F.least(F.length(m) + 1, F.lit(65)), "cue": cue, "against": F.col("before").rlike(AGAINST) & ~cue,
         "touches": F.col("before").rlike(r"[0-9A-Za-z.,/:=#-]$"), "after": F.col("after").rlike(r"^[0-9A-Za-z/:=%-]"), "year": m.rlike(r"(?<![0-9])(19|20)[0-9]{2}(?![0-9])"), "length": F.length(m),
     }
-    return spans.withColumns({f: values[f].cast("double") for f in FEATURES})
+    return spans.withColumns({f: F.coalesce(values[f].cast("double"), F.lit(0.0)) for f in FEATURES})
 
 
 def examples(spark: SparkSession) -> DataFrame:
-    """EXAMPLES generated candidates: kind, match, before, after, label, from formats of each kind and their look-alikes."""
-    def pick(options: list[str], salt: int) -> Column:
-        return F.get(F.array(*[F.lit(o) for o in options]), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(options))).cast("int"))
-
-    def number(n: int, salt: int) -> Column:
-        return F.lpad(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(10**n)).cast("string"), n, "0")
-
-    word = pick("anna marc ines otto petra louis carla bruno".split(), 1)
-    host = pick("mail post web home corp".split(), 2)
-    card = F.concat(F.lit("4"), number(3, 3), F.lit("S"), number(4, 4), F.lit("S"), number(4, 5), F.lit("S"), number(3, 6))
-    sep = pick([".", "/", "_", "  "], 7)
-    body = digits_of(card)
-    total = F.aggregate(F.transform(F.reverse(F.split(body, "")), lambda d, i: F.when(i % 2 == 0, F.when(d.cast("int") > 4, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)).otherwise(d.cast("int"))), F.lit(0), lambda s, p: s + F.coalesce(p, F.lit(0)))
-    good_card = F.concat(F.replace(card, F.lit("S"), sep), F.pmod(-total, F.lit(10)).cast("string"))
-    bad_card = F.concat(F.replace(card, F.lit("S"), sep), F.pmod(1 - total, F.lit(10)).cast("string"))
-    called = pick(["call me at ", "phone: ", "tel. ", "my mobile is "], 8)
-    plain = pick(["the values were ", "in version ", "on ", "of the table ", "see pages ", ""], 9)
-    rows = spark.range(EXAMPLES)
-    case = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(8))
-    made = [
-        ("email", F.concat(word, F.lit("."), number(2, 11), pick(["(at)", " (at) ", "[at]", " [at] "], 12), host, pick(["(dot)", " (dot) ", "[dot]", " [dot] "], 13), pick(["com", "org", "net"], 14)), pick(["mail ", "contact ", "", "write to "], 15), 1),
-        ("email", F.concat(word, F.lit(" @ "), host, F.lit(" . "), word), pick(["", "price ", "at "], 16), 0),
-        ("card", good_card, pick(["card ", "visa ", "", "credit card number "], 17), 1),
-        ("card", bad_card, pick(["part ", "", "serial ", "card "], 18), 0),
-        ("phone", F.concat(F.lit("("), number(3, 19), F.lit(") "), number(3, 20), F.lit("-"), number(4, 21)), called, 1),
-        ("phone", F.concat(number(3, 22), pick(["-", ".", " "], 23), number(3, 24), pick(["-", "."], 25), number(4, 26)), called, 1),
-        ("phone", F.concat(pick(["19", "20"], 27), number(2, 28), pick(["-", "/", "."], 29), number(2, 30), pick(["-", "/", "."], 29), number(2, 31)), plain, 0),
-        ("phone", F.concat(number(3, 32), pick([" ", ".", "/"], 33), number(3, 34), pick([" ", "."], 35), number(3, 36)), plain, 0),
-    ]
-    fields = {"kind": lambda m: F.lit(m[0]), "match": lambda m: m[1], "before": lambda m: m[2], "label": lambda m: F.lit(float(m[3]))}
-    chosen = {n: reduce(lambda other, im: F.when(case == im[0], f(im[1])).otherwise(other), enumerate(made), F.lit(None)) for n, f in fields.items()}
-    return rows.withColumns(chosen).withColumn("after", pick([" and", ".", ", ", " "], 37))
+    """EXAMPLES generated candidates: kind, match, before, after, label, from RECIPES."""
+    draw = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+    pick = lambda options, salt: F.get(F.array(*[F.lit(o) for o in options]), draw(len(options), salt))
+    recipe = F.get(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(y)).alias("label"), F.lit(shape).alias("shape"), F.lit(where).alias("where")) for k, y, shape, where in RECIPES]), draw(len(RECIPES), 1))
+    rows = spark.range(EXAMPLES).withColumn("r", recipe).select("id", "r.*")
+    signs = {"#": "0123456789", "%": "123456789", "&": "abcdefghijklmnopqrstuvwxyz", "^": "0123456789abcdef", "~": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+
+    def made(c: Column, i: Column) -> Column:
+        out = c
+        for sign, letters in signs.items():
+            at = F.pmod(F.xxhash64("id", i, F.lit(7)), F.lit(len(letters))).cast("int")
+            out = F.when(c == sign, F.substring(F.lit(letters), at + 1, F.lit(1))).otherwise(out)
+        return out
+
+    rows = rows.withColumn("match", F.array_join(F.transform(F.split("shape", ""), made), ""))
+    double = lambda d: F.when(d.cast("int") > 4, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)
+    places = F.filter(F.split(F.reverse(digits_of(F.col("match"))), ""), lambda d: d != "")
+    total = F.aggregate(F.transform(places, lambda d, i: F.when(i % 2 == 0, double(d)).otherwise(d.cast("int"))), F.lit(0), lambda s, p: s + p)
+    right, wrong = F.pmod(-total, F.lit(10)).cast("string"), F.pmod(1 + draw(9, 5) - total, F.lit(10)).cast("string")
+    match = F.when(F.contains("match", F.lit("$")), F.replace("match", F.lit("$"), right)).otherwise(F.replace("match", F.lit("!"), wrong))
+    mode = F.substring("where", F.pmod(F.xxhash64("id", F.lit(3)), F.length("where")).cast("int") + 1, F.lit(1))
+    told = reduce(lambda other, k: F.when(F.col("kind") == k, pick(TELLING[k], 4)).otherwise(other), TELLING, F.lit(""))
+    before = F.when(mode == "c", told).when(mode == "n", pick(PLAIN, 5)).otherwise(pick(COUNTER, 6))
+    return rows.select("id", "kind", "label", match.alias("match"), before.alias("before"), pick([" and", ".", ", ", " ", "\n", ' "'], 8).alias("after"))
 
 
 def trained(spark: SparkSession):
-    """The boosted trees and their calibrated threshold."""
+    """The boosted trees and each kind's calibrated threshold."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -144,15 +182,41 @@ def trained(spark: SparkSession):
     known = settle(with_features(examples(spark)).repartition(2, "id"), "examples")
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     fit = F.pmod(F.xxhash64("id", F.lit(99)), F.lit(4)) > 0
-    model = GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.3, seed=7).fit(gather.transform(known.where(fit)))
-    held = model.transform(gather.transform(known.where(~fit))).select("label", vector_to_array("probability")[1].alias("p"))
-    ranked = held.groupBy(F.round("p", 4).alias("p")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # at most EXAMPLES / 4 rows
-    threshold, good, n = 1.0, 0.0, 0
-    for r in sorted(ranked, key=lambda r: -r.p):
-        good, n = good + r.good, n + r.n
-        if good >= PRECISION * n and r.p > 0.5:
-            threshold = r.p
-    return model, gather, threshold
+    model = GBTClassifier(maxIter=14, maxDepth=5, stepSize=0.3, seed=7).fit(gather.transform(known.where(fit)))
+    held = model.transform(gather.transform(known.where(~fit))).select("kind", "label", vector_to_array("probability")[1].alias("p"))
+    ranked = held.groupBy("kind", F.round("p", 4).alias("p")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # at most EXAMPLES / 4 rows
+    thresholds = {}
+    for kind in EVERY:
+        thresholds[kind], good, n = 1.0, 0.0, 0
+        for r in sorted((r for r in ranked if r.kind == kind), key=lambda r: -r.p):
+            good, n = good + r.good, n + r.n
+            if good >= PRECISION * n and r.p > 0.5:
+                thresholds[kind] = r.p
+    return model, gather, thresholds
+
+
+def clear_of(every: DataFrame) -> DataFrame:
+    """Spans that stay: all base ones, candidates that touch none, and of candidates that overlap each other, from left to
+    right, the one with the better score (the earlier one of equals)."""
+    ahead = W.partitionBy("rowno").orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow)
+    behind = W.partitionBy("rowno").orderBy("end").rangeBetween(W.currentRow, W.unboundedFollowing)
+    base = F.col("base")
+    # a base span that starts before the candidate's end and ends after its start touches it
+    reach = F.max(F.when(base, F.col("end"))).over(ahead)
+    inside = F.min(F.when(base, F.col("start"))).over(behind)
+    touched = (F.coalesce(reach, F.lit(-1)) > F.col("start")) | (F.coalesce(inside, F.lit(1 << 60)) < F.col("end"))
+    kept = settle(every.withColumn("touched", ~base & touched).where("not touched").drop("touched"), "spans")
+    order = W.partitionBy("rowno").orderBy("start", "end", "kind")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    opens = (F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int")
+    islands = kept.where(~base).withColumn("opens", opens).withColumn("island", F.sum("opens").over(order)).groupBy("rowno", "island").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "p"))).alias("s"))
+    last = lambda a: F.element_at(a, -1)
+    fold = F.aggregate(
+        F.slice("s", 2, 1 << 30), F.slice("s", 1, 1),
+        lambda a, x: F.when(x["start"] >= last(a)["end"], F.concat(a, F.array(x))).when(x["p"] > last(a)["p"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(x))).otherwise(a),
+    )
+    chosen = islands.select("rowno", F.explode(F.when(F.size("s") > 1, fold).otherwise(F.col("s"))).alias("x")).select("rowno", "x.kind", "x.start", "x.end", F.lit(False).alias("base"))
+    return kept.where(base).select("rowno", "kind", "start", "end", "base").unionByName(chosen)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -160,31 +224,28 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     rows, spans = proposals(docs, id_col, text_col)
     base = spans.where((F.col("source") == "base") & passes(F.col("kind"), F.col("match"))).select("rowno", "kind", "start", "end", F.lit(True).alias("base"), F.lit(2.0).alias("p"))
-    wide = spans.where("source = 'wide'")
+    wide = spans.where("source <> 'base'")
     from pyspark.ml.functions import vector_to_array
 
-    model, gather, threshold = trained(spark)
+    model, gather, thresholds = trained(spark)
     scored = model.transform(gather.transform(with_features(wide))).select("rowno", "kind", "start", "end", F.lit(False).alias("base"), vector_to_array("probability")[1].alias("p"))
-    likely = scored.where(F.col("p") >= threshold - 5e-5)
-    every = settle(base.unionByName(likely), "spans")
-    # a candidate stays unless a span begun before or with it, of higher rank, reaches over it; ends are running maxima
-    before = W.partitionBy("rowno").orderBy("start", F.desc("p"), "kind").rowsBetween(W.unboundedPreceding, -1)
-    behind = W.partitionBy("rowno").orderBy(F.desc("start"), F.desc("p"), "kind").rowsBetween(W.unboundedPreceding, -1)
-    base_start = F.min(F.when(F.col("base"), F.col("start"))).over(behind)
-    clear = F.col("base") | ((F.coalesce(F.max("end").over(before), F.lit(-1)) <= F.col("start")) & (F.coalesce(base_start, F.lit(1 << 60)) >= F.col("end")))
-    return rows, every.withColumn("clear", clear).where("clear").select("rowno", "kind", "start", "end", "base")
+    least = reduce(lambda other, k: F.when(F.col("kind") == k, F.lit(thresholds[k])).otherwise(other), EVERY, F.lit(1.0))
+    return rows, clear_of(base.unionByName(scored.where(F.col("p") >= least - 5e-5)))
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all) for each row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all of these kinds), n_secret and secrets
+    (spans of secrets) for each row of docs."""
     rows, spans = personal_data(docs, id_col, text_col)
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    rank = F.array_position(F.array(*[F.lit(k) for k in EVERY]), F.col("kind"))
     name = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     listed = F.sort_array(F.collect_list(F.struct("start", rank.alias("r"), "end", name.alias("name"), "base")))
-    each = spans.groupBy("rowno").agg(listed.alias("s"), *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in KINDS])
+    secret = F.col("kind") == "secret"
+    each = spans.groupBy("rowno").agg(listed.alias("s"), *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in KINDS], F.count_if(secret).alias("n_secret"))
     out = rows.join(each, "rowno", "left")
-    base = F.array_join(F.transform(F.filter("s", lambda s: s["base"]), lambda s: s["name"]), ",")
-    return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.coalesce(base, F.lit("")), 256).alias("base_sha256"), F.coalesce(F.array_join(F.col("s.name"), ","), F.lit("")).alias("spans"))
+    joined = lambda keep: F.coalesce(F.array_join(F.transform(F.filter("s", keep), lambda s: s["name"]), ","), F.lit(""))
+    counts = [F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined(lambda s: s["base"]), 256).alias("base_sha256"), joined(lambda s: s["r"] <= len(KINDS)).alias("spans"), F.coalesce("n_secret", F.lit(0)).cast("long").alias("n_secret"), joined(lambda s: s["r"] > len(KINDS)).alias("secrets"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
