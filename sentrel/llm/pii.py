@@ -32,17 +32,18 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _AT, _DOT = r" ?(?:@|[(\[{] ?at ?[)\]}]) ?", r" ?(?:\.|[(\[{] ?(?:dot|\.) ?[)\]}]) ?"
-_TOLD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)"
-#: Generators of further candidates: kind, name, pattern, and a cheap test that a text with a match passes.
+_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey")
+_TOLD = f"(?i:{'|'.join(_WORDS)})"
+#: Generators of further candidates: kind, name, pattern.
 WIDE = [
-    ("email", "written", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{2,24}}){{1,5}}+", r"@|[(\[{] ?at ?[)\]}]"),
-    ("ip", "masked", rf"(?<![0-9A-Za-z.])[0-9]{{1,3}}+(?:{_DOT}[0-9]{{1,3}}+){{3}}(?![0-9A-Za-z])", r"[0-9] ?[(\[{ .]"),
-    ("ip", "six", r"(?i)(?<![0-9a-z:])(?:[0-9a-f]{1,4}+:){7}[0-9a-f]{1,4}+(?![0-9a-z:])|(?<![0-9a-z:])(?:[0-9a-f]{1,4}+:){1,6}:(?:[0-9a-f]{1,4}+:){0,5}[0-9a-f]{1,4}+(?![0-9a-z:])", r"[0-9A-Fa-f]:"),
-    ("card", "grouped", r"(?<![0-9A-Za-z])[0-9]{4}[./_ -]{1,2}[0-9]{4}[./_ -]{1,2}[0-9]{4}[./_ -]{1,2}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}[./_ -]{1,2}[0-9]{6}[./_ -]{1,2}[0-9]{5}(?![0-9A-Za-z])", r"[0-9]{4}[./_ -]"),
-    ("phone", "groups", r"(?<![0-9A-Za-z+])[(]?[0-9]{2,5}+[)]?(?:[ ./-]{1,2}[0-9]{2,8}+){1,5}(?![0-9A-Za-z])", r"[0-9]{2}[) ./-]"),
-    ("phone", "bare", r"(?<![0-9A-Za-z+.,])[0-9]{7,13}+(?![0-9A-Za-z])", r"[0-9]{7}"),
-    ("secret", "mixed", r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}", r"[A-Za-z0-9_+/-]{20}"),
-    ("secret", "told", rf"(?<={_TOLD}[\"']? ?[:=] ?[\"']?)[^\x20\t\r\n\"'<>,;=]{{6,64}}+", _TOLD),
+    ("email", "written", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{2,24}}){{1,5}}+"),
+    ("ip", "masked", rf"(?=[0-9])(?<![0-9A-Za-z.])[0-9]{{1,3}}+(?:{_DOT}[0-9]{{1,3}}+){{3}}(?![0-9A-Za-z])"),
+    ("ip", "six", r"(?i)(?<![0-9a-z:])(?:[0-9a-f]{1,4}+:){7}[0-9a-f]{1,4}+(?![0-9a-z:])|(?<![0-9a-z:])(?:[0-9a-f]{1,4}+:){1,6}:(?:[0-9a-f]{1,4}+:){0,5}[0-9a-f]{1,4}+(?![0-9a-z:])"),
+    ("card", "grouped", r"(?=[0-9])(?<![0-9A-Za-z])[0-9]{4}[./_ -]{1,2}(?:[0-9]{4}[./_ -]{1,2}[0-9]{4}[./_ -]{1,2}[0-9]{1,7}|[0-9]{6}[./_ -]{1,2}[0-9]{5})(?![0-9A-Za-z])"),
+    ("phone", "groups", r"(?=[(0-9])(?<![0-9A-Za-z+])[(]?[0-9]{2,5}+[)]?(?:[ ./-]{1,2}[0-9]{2,8}+){1,5}(?![0-9A-Za-z])"),
+    ("phone", "bare", r"(?=[0-9])(?<![0-9A-Za-z+.,])[0-9]{7,13}+(?![0-9A-Za-z])"),
+    ("secret", "mixed", r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}"),
+    ("secret", "told", rf"(?<=[=: \"'])(?<={_TOLD}[\"']? ?[:=] ?[\"']?)[^\x20\t\r\n\"'<>,;=]{{6,64}}+"),
 ]
 EXAMPLES, PRECISION, BEFORE, AFTER = 8000, 0.995, 24, 12
 #: Words of a context that speak for a kind, and those that speak against numbers being anyone's.
@@ -102,24 +103,34 @@ def passes(kind: Column, match: Column) -> Column:
     return F.when(kind == "email", F.lit(True)).when(kind == "ip", good_ip).when(kind == "card", good_card).otherwise((n >= 9) & (n <= 15))
 
 
-def matches(text: Column, kind: str, source: str, pattern: str, worth: Column) -> Column:
-    """Array of (kind, source, i, gap, match, before, after) of one pattern; empty where the cheap test says so."""
-    found = F.when(worth, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    gaps = F.when(worth, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
+def matches(text: Column, found: Column, kind: str, source: str, pattern: str) -> Column:
+    """Array of (kind, source, i, gap, match, before, after) of the matches found of one pattern."""
+    gaps = F.split(text, pattern, -1)
     left = F.transform(gaps, lambda g: F.struct(F.length(g).alias("gap"), F.substring(g, -BEFORE, BEFORE).alias("before")))
     right = F.transform(F.slice(gaps, 2, 1 << 30), lambda g: F.substring(g, 1, AFTER))
     rows = F.arrays_zip(found.alias("match"), F.slice(left, 1, F.size(found)).alias("left"), right.alias("after"))
-    return F.transform(rows, lambda r, i: F.struct(F.lit(kind).alias("kind"), F.lit(source).alias("source"), i.alias("i"), r["left"]["gap"].alias("gap"), r["match"].alias("match"), r["left"]["before"].alias("before"), r["after"].alias("after")))
+    made = F.transform(rows, lambda r, i: F.struct(F.lit(kind).alias("kind"), F.lit(source).alias("source"), i.alias("i"), r["left"]["gap"].alias("gap"), r["match"].alias("match"), r["left"]["before"].alias("before"), r["after"].alias("after")))
+    return F.when(F.size(found) > 0, made)
 
 
 def proposals(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rowno and doc_id of all rows; rowno, kind, source, start, end, match, before, after of all matches."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    digit = text.rlike("[0-9]")
-    worth = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
-    arrays = [matches(text, k, "base", BASE[k], worth[k]) for k in KINDS] + [matches(text, k, name, p, text.rlike(cheap)) for k, name, p, cheap in WIDE]
-    seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rowno"), F.concat(*arrays).alias("found"))
-    rows = settle(seen, "found")
+    """(rows, spans): rowno and doc_id of all rows; rowno, kind, source, start, end, match, before, after of all matches.
+
+    A pattern is run only over texts that pass a cheap test, and texts are split only by patterns that have matches."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rowno"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in words])
+    digit, at = text.rlike("[0-9]"), F.contains(text, F.lit("@"))
+    worth = {
+        "email": at, "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+")), "written": at | text.rlike(r"[(\[{] ?at ?[)\]}]"), "masked": digit, "six": digit & F.contains(text, F.lit(":")),
+        "grouped": digit, "groups": digit, "bare": digit, "mixed": digit, "told": has(*_WORDS),
+    }
+    patterns = [(k, k, "base", BASE[k]) for k in KINDS] + [(name, k, name, p) for k, name, p in WIDE]
+    found = F.struct(*[F.when(worth[n], F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias(n) for n, _, _, p in patterns])
+    # a one-row generator keeps the optimizer from running a pattern for each use of its matches
+    seen = source.select("*", F.explode(F.array(found)).alias("m"))
+    arrays = F.array(*[matches(text, F.col(f"m.{n}"), k, where, p) for n, k, where, p in patterns])
+    rows = settle(seen.select("doc_id", "rowno", F.flatten(F.filter(arrays, lambda a: a.isNotNull())).alias("found")), "found")
     flat = rows.where(F.size("found") > 0).select("rowno", F.explode("found").alias("f")).select("rowno", "f.*")
     so_far = W.partitionBy("rowno", "source", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     ends = F.sum(F.col("gap") + F.length("match")).over(so_far)
