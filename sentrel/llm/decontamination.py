@@ -2,20 +2,24 @@
 
 Words of documents and benchmark items are made canonical: numbers become '#', units after numbers '#u', names (words
 with a capital that do not begin a sentence) '@', all others lose punctuation at their ends and are lower-cased. Windows of
-WIDTH canonical words are hashed and joined. Those with fewer than LITERALS ordinary words are hashed as they are, without case and punctuation at the ends; they
-count towards containment only for items that have no other windows, so that new values in a template lose nothing.
+WIDTH canonical words are hashed and joined. Those with fewer than LITERALS ordinary words are hashed as they are, without
+case and punctuation at the ends; they count towards containment only for items that have no other windows, so that new
+values in a template lose nothing. Items that have fewer than WIDTH words but WIDTH tokens (sums and the like) are looked
+for with their signs, as they are, in a pass of their own.
 
 The matched windows of an item and a document are judged by occurrence: those of one alignment (position in the document
 less position in the item), those of a run of alignments at most SHIFT apart (words were put in or left out), and all of
 them. An item leaks if one of these is consistent and holds at least LEAK of the item's usable windows, or at least RUN
-words in a row at one alignment. Consistent means that the values of the item's numbers, units and names map to values of
-the document so that the most frequent partner of each accounts for at least CONSISTENT of all slot pairs. Verbatim copies
-map every value to itself; re-parameterised ones to another value each. The figures are those of the best occurrence.
+words in a row at one alignment. Consistent means one to one: each slot (a number, unit or name of the item at its place,
+and what the document has there) counts once, and the most frequent partners of the item's values, and those of the
+document's values, account for at least CONSISTENT of the slots. Verbatim copies map every value to itself;
+re-parameterised ones to another value each. The figures are those of the best occurrence.
 
 The benchmark's windows are broadcast in blocks of at most BROADCAST_WINDOWS; a larger benchmark takes more passes over the
-documents (a stated query set against all rows). An item of fewer than WIDTH words is one window of its own length.
-Null and empty texts and items match nothing; items without a usable window are left out; null ids are kept as they are;
-documents that share a doc_id are taken together, and so are items that share an item_id."""
+documents (a stated query set against all rows). An item of fewer than WIDTH words is one window of its own length if
+LITERALS of them are ordinary (or all of fewer); other items without a usable window ('42') are left out. Null and empty
+texts and items match nothing. Rows are told apart by doc_id and text, so rows without an id, and rows that share one, are
+judged each by itself; items that share an item_id are taken together."""
 
 from __future__ import annotations
 
@@ -25,9 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import BROADCAST_ROWS, semi_by_id, settle
+from sentrel.llm.common import BROADCAST_ROWS, settle
 
-WIDTH, LITERALS, LEAK, CONSISTENT = 5, 2, 0.8, 0.5
+WIDTH, LITERALS, LEAK, CONSISTENT = 5, 2, 0.8, 0.8
 RUN, SHIFT = 13, 2
 BROADCAST_WINDOWS = 200_000
 #: Units that may follow a number.
@@ -42,127 +46,162 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_canon(df: DataFrame, text: str) -> DataFrame:
-    """Adds raw and canon, the words of a text as they are and made canonical, of equal length."""
-    split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    df = once(df, "raw", split)
-    bare = F.transform("raw", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+#: What tells documents apart: doc_id (0 for null), whether it is null, and a hash of the text.
+DOC = ["d", "nul", "copy"]
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    nul = F.col(id_col).isNull()
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("d"), nul.alias("nul"), F.xxhash64(text_col).alias("copy"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def with_canon(df: DataFrame, text: str, signs: bool = False) -> DataFrame:
+    """Adds bare and canon, the words of a text without case and punctuation at their ends, and made canonical; with signs
+    tokens without letters and digits are kept as words."""
+    tokens = F.split(F.coalesce(F.col(text), F.lit("")), SPACES)
+    df = once(df, "raw", F.filter(tokens, lambda w: w != "") if signs else F.filter(tokens, lambda w: w.rlike(r"[\p{L}\p{N}]")))
+    stripped = F.transform("raw", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     before = F.concat(F.array(F.lit("")), F.col("raw"))
 
     def one(p: Column) -> Column:
-        bare, low = p["bare"], F.lower(p["bare"])
+        bare = F.when(p["bare"] == "", p["raw"]).otherwise(p["bare"]) if signs else p["bare"]
+        low = F.lower(bare)
         digit = (bare >= "0") & (bare < ":")
         named = (bare != low) & (p["before"] != "") & ~p["before"].rlike(r"[.!?:|]$") & (F.substring(bare, 2, 1 << 30) == F.substring(low, 2, 1 << 30))
         unit = low.isin(UNITS) & p["before"].rlike(r"^[^\p{L}\p{N}]*[0-9]")
-        return F.when(digit, F.lit("#")).when(unit, F.lit("#u")).when(named, F.lit("@")).otherwise(low)
+        canon = F.when(digit, F.lit("#")).when(unit, F.lit("#u")).when(named, F.lit("@")).otherwise(low)
+        return F.struct(low.alias("bare"), canon.alias("canon"))
 
-    zipped = F.arrays_zip(bare.alias("bare"), F.slice(before, 1, F.size("raw")).alias("before"))
-    return once(df, "canon", F.transform(zipped, one))
+    zipped = F.arrays_zip(F.col("raw"), stripped.alias("bare"), F.slice(before, 1, F.size("raw")).alias("before"))
+    df = once(df, "w", F.transform(zipped, one))
+    return df.withColumns({"bare": F.col("w.bare"), "canon": F.col("w.canon")}).drop("raw", "w")
 
 
 def with_literal(df: DataFrame) -> DataFrame:
     """Adds literal, whether each canonical word is an ordinary one."""
-    return once(df, "literal", F.transform("canon", lambda c: ~c.isin("#", "#u", "@")))
+    return once(df, "literal", F.transform("canon", lambda c: ~c.isin("#", "#u", "@") & c.rlike(r"\p{L}")))
 
 
-def window_hashes(width: int) -> Column:
-    """Hashes of the windows of column canon; of column raw where too few words are ordinary (shorter ones stay unused)."""
-    parts = ", ".join(f"get(canon, i + {j})" for j in range(width))
-    if width < WIDTH:
+def window_hashes(width: int, signs: bool = False) -> Column:
+    """Hashes of the windows of column canon; of column bare where too few words are ordinary (shorter ones stay unused)."""
+    parts, bare = (", ".join(f"get({c}, i + {j})" for j in range(width)) for c in ("canon", "bare"))
+    if signs:
+        hashed = f"xxhash64('signs', {bare})"
+    elif width < WIDTH:
         hashed = f"xxhash64({parts})"
     else:
-        bare = ", ".join(f"lower(regexp_replace(get(raw, i + {j}), r'^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', ''))" for j in range(width))
         enough = f"get(literal, i) AND get(literal, i + 1) OR size(filter(slice(literal, i + 1, {width}), x -> x)) >= {LITERALS}"
         hashed = f"if({enough}, xxhash64({parts}), xxhash64('raw', {bare}))"
     return F.expr(f"if(size(canon) >= {width}, transform(sequence(0, size(canon) - {width}), i -> {hashed}), array())")
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, width, at, window, canon, raw, counted of each usable window; counted is whether it counts towards containment."""
-    items = with_canon(benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")), "text")
-    items = with_literal(settle(items.select("item_id", "canon", "raw").where("size(canon) > 0"), "items"))
+    """item, item_id, pass, width, at, window, canon, bare, counted of each usable window; counted is whether it counts
+    towards containment, pass 1 the items that are looked for with their signs."""
+    items = benchmark.select(F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("string")).alias("item"), F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
+    plain = with_literal(settle(with_canon(items, "text").select("item", "item_id", "text", "canon", "bare"), "items"))
     out = []
     for width in range(1, WIDTH + 1):
-        own = items.where(F.size("canon") >= WIDTH if width == WIDTH else F.size("canon") == width)
-        rows = own.select("item_id", F.lit(width).alias("width"), F.posexplode(window_hashes(width)).alias("at", "window"), "canon", "raw")
-        rows = rows.withColumns({"canon": F.slice("canon", F.col("at") + 1, width), "raw": F.slice("raw", F.col("at") + 1, width)})
-        literals = F.size(F.filter("canon", lambda c: ~c.isin("#", "#u", "@")))
-        rows = rows.withColumn("template", literals >= min(LITERALS, width))
+        own = plain.where(F.size("canon") >= WIDTH if width == WIDTH else F.size("canon") == width)
+        rows = own.select("item", "item_id", F.lit(0).alias("pass"), F.lit(width).alias("width"), F.posexplode(window_hashes(width)).alias("at", "window"), "canon", "bare", "literal")
+        rows = rows.withColumns({c: F.slice(c, F.col("at") + 1, width) for c in ("canon", "bare", "literal")})
+        rows = rows.withColumn("template", F.size(F.filter("literal", lambda x: x)) >= min(LITERALS, width)).drop("literal")
         out.append(rows if width == WIDTH else rows.where("template"))
+    usable = F.size(F.filter("literal", lambda x: x)) >= F.least(F.lit(LITERALS), F.size("canon"))
+    signed = with_canon(plain.where((F.size("canon") < WIDTH) & ~(usable & (F.size("canon") > 0))).select("item", "item_id", "text"), "text", True)
+    signed = signed.where(F.size("canon") >= WIDTH).select("item", "item_id", F.lit(1).alias("pass"), F.lit(WIDTH).alias("width"), F.posexplode(window_hashes(WIDTH, True)).alias("at", "window"), "canon", "bare")
+    out.append(signed.withColumns({c: F.slice(c, F.col("at") + 1, WIDTH) for c in ("canon", "bare")}).withColumn("template", F.lit(True)))
     rows = settle(reduce(DataFrame.unionByName, out), "windows")
-    some = rows.groupBy(F.col("item_id").alias("own")).agg(F.max("template").alias("some"))
+    some = rows.groupBy("item").agg(F.max("template").alias("some"))
     few = some.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(some) if few else some, F.col("item_id").eqNullSafe(F.col("own")))
-    return settle(rows.withColumn("counted", F.col("template") | ~F.col("some")).drop("own", "some", "template"), "windows")
+    rows = rows.join(F.broadcast(some) if few else some, "item")
+    return settle(rows.withColumn("counted", F.col("template") | ~F.col("some")).drop("some", "template"), "windows")
+
+
+def windows_of(source: DataFrame, number: int) -> DataFrame:
+    return with_literal(with_canon(source, "text", number == 1).select(*DOC, "canon", "bare"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, matched, windows, containment, slots, consistency: one row per document and leaked item."""
+    found = leaked(docs, benchmark, id_col, text_col, item_col, item_text)
+    return found.select(F.when(~F.col("nul"), F.col("d")).alias("doc_id"), "item_id", "matched", "windows", "containment", "slots", "consistency")
+
+
+def leaked(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """leaks() with the columns DOC in place of doc_id."""
     known = item_windows(benchmark, item_col, item_text)
-    sizes = known.where("counted").groupBy("item_id").agg(F.count_distinct("window").alias("windows"))
-    keys = known.select("item_id", "width", "window", "counted").distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    canon = with_literal(with_canon(source, "text").select("doc_id", "canon", "raw"))
-    widths = sorted(r.width for r in keys.select("width").distinct().collect())  # at most WIDTH
+    sizes = settle(known.where("counted").groupBy("item").agg(F.count_distinct("window").alias("windows"), F.first("item_id").alias("item_id")), "items")
+    keys = known.select("item", "pass", "width", "window", "counted").distinct()
+    source = numbered(docs, id_col, text_col)
     found = []
-    for width in widths:
-        own = settle(keys.where(F.col("width") == width).select("item_id", "window", "counted"), "keys")
+    for number, width in sorted(tuple(r) for r in keys.select("pass", "width").distinct().collect()):  # at most WIDTH + 1
+        own = settle(keys.where((F.col("pass") == number) & (F.col("width") == width)).select("item", "window", "counted"), "keys")
         passes = -(-own.count() // BROADCAST_WINDOWS)
-        windows = canon.select("doc_id", F.explode(window_hashes(width)).alias("window"))
+        windows = windows_of(source, number).select(*DOC, F.explode(window_hashes(width, number == 1)).alias("window"))
         for i in range(passes):
-            block = own.where(F.pmod(F.hash("item_id"), F.lit(passes)) == i)  # whole items, at most about BROADCAST_WINDOWS rows
+            block = own.where(F.pmod(F.hash("window"), F.lit(passes)) == i)  # about BROADCAST_WINDOWS rows of 17 bytes
             hits = windows.join(F.broadcast(block), "window")
-            found.append(settle(hits.groupBy("doc_id", "item_id").agg(F.count_distinct(F.when(F.col("counted"), F.col("window"))).alias("matched"), F.count("*").alias("met")), "hits"))
+            found.append(settle(hits.groupBy(*DOC, "item").agg(F.count_distinct(F.when(F.col("counted"), F.col("window"))).alias("matched"), F.count("*").alias("met")), "hits"))
     if not found:
-        return source.select("doc_id", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *[F.lit(0).cast(t).alias(n) for n, t in (("matched", "long"), ("windows", "long"), ("containment", "double"), ("slots", "long"), ("consistency", "double"))]).where("false")
-    hits = reduce(DataFrame.unionByName, found)
+        none = {"item_id": benchmark.schema[item_col].dataType, "matched": "long", "windows": "long", "containment": "double", "slots": "long", "consistency": "double"}
+        return source.select(*DOC, *[F.lit(None).cast(t).alias(n) for n, t in none.items()]).where("false")
+    hits = reduce(DataFrame.unionByName, found).groupBy(*DOC, "item").agg(F.sum("matched").alias("matched"), F.sum("met").alias("met"))
     few = sizes.count() <= BROADCAST_ROWS
-    hits = hits.join(F.broadcast(sizes) if few else sizes, hits.item_id.eqNullSafe(sizes.item_id)).drop(sizes.item_id)
-    close = settle(hits.withColumn("containment", F.col("matched") / F.col("windows")).where((F.col("containment") >= LEAK) | (F.col("met") > RUN - WIDTH)), "close")
-    found = occurrences(source, known, close)
-    bare = close.where("doc_id is null or item_id is null").where(F.col("containment") >= LEAK).select("doc_id", "item_id", "matched", "windows", "containment", F.lit(0).cast("long").alias("slots"), F.lit(1.0).alias("consistency"))
-    return found.unionByName(bare).withColumns({"containment": F.round("containment", 9), "consistency": F.round("consistency", 9)})
+    hits = hits.join(F.broadcast(sizes) if few else sizes, "item")
+    close = settle(hits.where((F.col("matched") / F.col("windows") >= LEAK) | (F.col("met") > RUN - WIDTH)), "close")
+    return occurrences(source, known, close).withColumns({"containment": F.round("containment", 9), "consistency": F.round("consistency", 9)})
 
 
 def occurrences(source: DataFrame, known: DataFrame, close: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched, windows, containment, slots, consistency of the best occurrence of candidates that leak;
-    only documents with a candidate are read again. copy tells documents with the same doc_id apart."""
-    ids = close.select("doc_id").where("doc_id is not null").distinct()
-    own = with_literal(with_canon(semi_by_id(source, ids, "doc_id"), "text").select("doc_id", "canon", "raw", F.xxhash64("raw").alias("copy")))
+    """DOC, item_id, matched, windows, containment, slots, consistency of the best occurrence of candidates that leak; only
+    documents with a candidate are read again."""
+    ids = close.select(*DOC).distinct()
+    few = ids.count() <= BROADCAST_ROWS
+    texts = source.join(F.broadcast(ids) if few else ids, DOC, "left_semi").dropDuplicates(DOC)
     out = []
-    for width in range(1, WIDTH + 1):
-        rows = own.select("doc_id", "copy", F.posexplode(window_hashes(width)).alias("at", "window"), "raw")
-        rows = rows.select("doc_id", "copy", "at", "window", F.slice("raw", F.col("at") + 1, width).alias("seen"))
-        mine = known.where(F.col("width") == width).select("item_id", "window", F.col("at").alias("item_at"), "counted", "canon", F.col("raw").alias("meant"))
+    for number, width in sorted(tuple(r) for r in known.select("pass", "width").distinct().collect()):  # at most WIDTH + 1
+        rows = windows_of(texts, number).select(*DOC, F.posexplode(window_hashes(width, number == 1)).alias("at", "window"), "bare")
+        rows = rows.select(*DOC, "at", "window", F.slice("bare", F.col("at") + 1, width).alias("seen"))
+        mine = known.where((F.col("pass") == number) & (F.col("width") == width)).select("item", "window", F.col("at").alias("item_at"), "counted", "canon", F.col("bare").alias("meant"))
         out.append(rows.join(mine, "window"))
-    key = ["doc_id", "item_id"]
+    key = [*DOC, "item"]
     pairs = settle(reduce(DataFrame.unionByName, out).join(close.select(*key), key).withColumn("line", F.col("at") - F.col("item_at")), "pairs")
-    lines = pairs.select(*key, "copy", "line").distinct()
-    along = W.partitionBy(*key, "copy").orderBy("line")
+    lines = pairs.select(*key, "line").distinct()
+    along = W.partitionBy(*key).orderBy("line")
     jump = lines.withColumn("jump", F.coalesce((F.col("line") - F.lag("line").over(along) > SHIFT).cast("int"), F.lit(1)))
-    lines = jump.select(*key, "copy", "line", F.sum("jump").over(along).alias("near"))
-    part = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("copy"), n.cast("long").alias("n")) for k, c, n in ((0, F.lit(0), F.lit(0)), (1, F.col("copy"), F.col("line")), (2, F.col("copy"), F.col("near")))]))
-    parts = pairs.join(lines, [*key, "copy", "line"]).select(*key, part.alias("part"), "window", "counted", "canon", "meant", "seen")
+    lines = jump.select(*key, "line", F.sum("jump").over(along).alias("near"))
+    part = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), n.cast("long").alias("n")) for k, n in ((0, F.lit(0)), (1, F.col("line")), (2, F.col("near")))]))
+    parts = pairs.join(lines, [*key, "line"]).select(*key, part.alias("part"), "window", "counted", "at", "item_at", "canon", "meant", "seen")
     shares = parts.groupBy(*key, "part").agg(F.count_distinct(F.when(F.col("counted"), F.col("window"))).alias("matched"))
-    cells = parts.select(*key, "part", F.explode(F.arrays_zip("canon", "meant", "seen")).alias("c")).where(F.col("c.canon").isin("#", "#u", "@"))
-    counts = cells.groupBy(*key, "part", "c.meant", "c.seen").count()
-    best = counts.groupBy(*key, "part", "meant").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
-    mapped = best.groupBy(*key, "part").agg(F.sum("n").alias("slots"), (F.sum("top") / F.sum("n")).alias("consistency"))
-    rank = F.dense_rank().over(W.partitionBy(*key, "copy", "line").orderBy("at"))
-    rows = pairs.select(*key, "copy", "line", "at", (F.col("at") - rank).alias("island")).groupBy(*key, "copy", "line", "island").agg(F.count_distinct("at").alias("n"))
-    runs = rows.groupBy(*key, F.struct(F.lit(1).alias("k"), "copy", F.col("line").cast("long").alias("n")).alias("part")).agg((F.max("n") + WIDTH - 1).alias("run"))
-    judged = shares.join(mapped, [*key, "part"], "left").join(runs, [*key, "part"], "left").join(close.select(*key, "windows"), key)
+    cells = parts.select(*key, "part", "at", "item_at", F.posexplode(F.arrays_zip("canon", "meant", "seen")).alias("j", "c")).where(F.col("c.canon").isin("#", "#u", "@"))
+    slots = cells.select(*key, "part", (F.col("item_at") + F.col("j")).alias("x"), (F.col("at") + F.col("j")).alias("y"), "c.meant", "c.seen").distinct()
+    counts = slots.groupBy(*key, "part", "meant", "seen").count()
+
+    def share(side: str) -> DataFrame:
+        top = counts.groupBy(*key, "part", side).agg(F.max("count").alias("top"), F.sum("count").alias("n"))
+        return top.groupBy(*key, "part").agg(F.sum("n").alias("slots"), (F.sum("top") / F.sum("n")).alias(f"by_{side}"))
+
+    mapped = share("meant").join(share("seen").drop("slots"), [*key, "part"]).withColumn("consistency", F.least("by_meant", "by_seen"))
+    rank = F.dense_rank().over(W.partitionBy(*key, "line").orderBy("at"))
+    rows = pairs.select(*key, "line", "at", (F.col("at") - rank).alias("island")).groupBy(*key, "line", "island").agg(F.count_distinct("at").alias("n"))
+    runs = rows.groupBy(*key, F.struct(F.lit(1).alias("k"), F.col("line").cast("long").alias("n")).alias("part")).agg((F.max("n") + WIDTH - 1).alias("run"))
+    judged = shares.join(mapped, [*key, "part"], "left").join(runs, [*key, "part"], "left").join(close.select(*key, "item_id", "windows"), key)
     judged = judged.withColumns({"containment": F.col("matched") / F.col("windows"), "slots": F.coalesce("slots", F.lit(0)), "consistency": F.coalesce("consistency", F.lit(1.0))})
     judged = judged.where((F.col("consistency") >= CONSISTENT) & ((F.col("containment") >= LEAK) | (F.coalesce("run", F.lit(0)) >= RUN)))
     names = ["containment", "consistency", "slots", "matched", "windows"]
-    return judged.groupBy(*key).agg(F.max(F.struct(*names)).alias("b")).select(*key, *[f"b.{n}" for n in ("matched", "windows", "containment", "slots", "consistency")])
+    best = judged.groupBy(*key).agg(F.max(F.struct(*names)).alias("b"), F.first("item_id").alias("item_id"))
+    return best.select(*DOC, "item_id", *[f"b.{n}" for n in ("matched", "windows", "containment", "slots", "consistency")])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item leaks, with all their columns."""
-    bad = settle(leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "leaks")
+    bad = settle(leaked(docs, benchmark, "doc_id", "text", "item_id", "text").select(*DOC).distinct(), "leaks")
     few = bad.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(bad) if few else bad, "doc_id", "left_anti").select(docs.columns)
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.xxhash64("text")]
+    bad = bad.toDF(*[f"__{c}" for c in DOC])
+    same = reduce(lambda a, b: a & b, [o == bad[f"__{c}"] for o, c in zip(own, DOC)])
+    return docs.join(F.broadcast(bad) if few else bad, same, "left_anti").select(docs.columns)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

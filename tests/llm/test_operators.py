@@ -114,7 +114,8 @@ def test_pii(spark, odd):
         return [f"{k}:{s}:{e}" for s, _, e, k in found]
 
     rows = [(i, t) for i, t in enumerate(texts)] + [(x.doc_id, x.text) for x in odd.collect()]
-    want = collections.Counter((i, hashlib.sha256(",".join(base_of(t or "")).encode()).hexdigest(), *[sum(n.startswith(k) for n in base_of(t or "")) for k in PII]) for i, t in rows)
+    based = [(i, base_of(t or "")) for i, t in rows]
+    want = collections.Counter((i, hashlib.sha256(",".join(b).encode()).hexdigest(), *[sum(n.startswith(k) for n in b) for k in PII]) for i, b in based)
     got = pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert collections.Counter((x.doc_id, x.base_sha256, x.n_email, x.n_ip, x.n_card, x.n_phone) for x in got) == want
     for x in got:
@@ -311,6 +312,129 @@ def test_leaks(spark, odd):
     assert leaks(odd, bench.where("false")).count() == 0 and leaks(empty(spark), bench).count() == 0
 
 
+def leaked(spark, texts, items):
+    from sentrel.llm.decontamination import leaks
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): r for r in rows}
+
+
+def test_leaks_by_occurrence(spark):
+    """One verbatim item and its re-parameterised versions in one document, with and without a word put in."""
+    item = "a farmer packs 12 crates with 34 pears each then sells 56 crates and keeps 78 pears for the long winter at home"
+    versions = [item, *[item.replace("12", str(a)).replace("34", str(a + 1)).replace("56", str(a + 2)).replace("78", str(a + 3)) for a in (101, 205, 307)]]
+    shifted = [v.replace("and keeps", "and later keeps") for v in versions[1:]]
+    texts = [" ; next question ".join(versions), "only prose about nothing of the kind", "\n".join(["intro", *versions[1:]]), "a farmer packs 12 crates with care"]
+    found = leaked(spark, texts, [item])
+    assert set(found) == {(0, 0), (2, 0)}
+    assert all(r.containment == 1 and r.consistency == 1 for r in found.values())
+    assert set(leaked(spark, [" . ".join([*versions, *shifted])], [item])) == {(0, 0)}
+
+
+def test_leaks_of_parts_and_numbers(spark):
+    words = [f"{c}{v}{d}o" for c in "bdfgklm" for v in "aeiou" for d in "rst"][:55]
+    numbers = "12 13 14 15 16 17 18 19"
+    texts = ["opening " + " ".join(words[5:45]) + " closing", "opening " + " ".join(words[5:17]) + " closing", "so the row goes (12, 13, 14, 15, 16, 17, 18, 19), he said", "the row 22 23 24 25 26 27 28 29 is another"]
+    assert set(leaked(spark, texts, [" ".join(words), numbers, "42"])) == {(0, 0), (2, 1)}
+
+
+def test_leaks_of_rows_and_signs(spark):
+    """Rows without an id, rows that share one, sums with signs, and slots that do not map one to one."""
+    from sentrel.llm.decontamination import clean_documents, leaks
+
+    item = "In this tale Tom has 3 apples and then Ann has 4 apples more so that Tom and Ann have 7 apples in all"
+    bench = spark.createDataFrame([(1, item), (2, "12 + 13 = 25"), (None, "the quick brown fox jumps over one lazy dog and then sleeps")], "item_id long, text string")
+    wrong = item.replace("Tom has 3", "Tom has 5").replace("Ann has 4", "Bob has 6").replace("Tom and Ann have 7", "Max and Lou have 1")
+    nines = re.sub("[0-9]", "9", item)
+    other = item.replace("Tom", "Eve").replace("Ann", "Kim").replace("3", "8").replace("4", "5").replace("7", "13")
+    rows = [(None, item), (None, "nothing at all"), (5, item), (5, "nothing here"), (6, wrong), (7, nines), (8, other), (9, "so 12 + 13 = 25 holds"), (10, "so 12 and 13 are 25"), (11, "see the quick brown fox jumps over one lazy dog and then sleeps")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", F.lit(1)).withColumn("copy", F.lit("x"))
+    assert sorted((x.doc_id or 0, x.item_id or 0) for x in leaks(docs, bench).collect()) == [(0, 1), (5, 1), (8, 1), (9, 2), (11, 0)]
+    assert sorted(x.text for x in clean_documents(docs, bench).collect()) == sorted([rows[1][1], rows[3][1], wrong, nines, rows[8][1]])
+
+
+def brute_leaks(texts, items):
+    """The definition in plain Python, for items of five words or more."""
+    from sentrel.llm import decontamination as D
+
+    def canon(text):
+        words = [w for w in re.split(D.SPACES, text or "") if re.search(r"[^\W_]", w)]
+        out = []
+        for before, w in zip(["", *words], words):
+            bare = re.sub(r"^[\W_]+|[\W_]+$", "", w)
+            low = bare.lower()
+            if bare[:1].isdigit():
+                c = "#"
+            elif low in D.UNITS and re.match(r"[\W_]*[0-9]", before):
+                c = "#u"
+            elif bare != low and before and before[-1] not in ".!?:|" and bare[1:] == low[1:]:
+                c = "@"
+            else:
+                c = low
+            out.append((c, low))
+        return out
+
+    def windows(words):
+        plain = [c not in ("#", "#u", "@") and re.search(r"[^\W\d_]", c) is not None for c, _ in words]
+        n = D.WIDTH
+        return [("c", *[c for c, _ in words[i : i + n]]) if sum(plain[i : i + n]) >= D.LITERALS else ("r", *[b for _, b in words[i : i + n]]) for i in range(len(words) - n + 1)]
+
+    found = {}
+    for j, item in enumerate(items):
+        meant = canon(item)
+        mine = windows(meant)
+        counted = {w for w in mine if w[0] == "c"} or set(mine)
+        for i, text in enumerate(texts):
+            seen = canon(text)
+            pairs = [(x, y, w) for y, w in enumerate(windows(seen)) for x, v in enumerate(mine) if v == w]
+            parts = collections.defaultdict(list)
+            near, last = 0, None
+            for line in sorted({y - x for x, y, _ in pairs}):
+                near += last is None or line - last > D.SHIFT
+                last = line
+                for x, y, w in pairs:
+                    if y - x == line:
+                        for part in (0, (1, line), (2, near)):
+                            parts[part].append((x, y, w))
+            for part, own in parts.items():
+                slots = {(x + k, y + k) for x, y, _ in own for k in range(D.WIDTH) if meant[x + k][0] in ("#", "#u", "@")}
+                shares = [1.0]
+                for side in (0, 1):
+                    by = collections.defaultdict(collections.Counter)
+                    for x, y in slots:
+                        v = (meant[x][1], seen[y][1])
+                        by[v[side]][v[1 - side]] += 1
+                    shares.append(sum(max(c.values()) for c in by.values()) / max(1, len(slots)) if slots else 1.0)
+                run = best = 0
+                if part and part[0] == 1:
+                    at = sorted({y for _, y, _ in own})
+                    for a, b in zip([None, *at], at):
+                        run = run + 1 if a is not None and b == a + 1 else 1
+                        best = max(best, run + D.WIDTH - 1)
+                share = len({w for _, _, w in own} & counted) / len(counted)
+                if min(shares) >= D.CONSISTENT and (share >= D.LEAK or best >= D.RUN):
+                    found[i, j] = max(found.get((i, j), (0, 0)), (round(share, 9), round(min(shares), 9)))
+    return found
+
+
+def test_leaks_by_brute_force(spark):
+    r = random.Random(12)
+    words = ["the", "a", "then", "Tom", "Ann", "Bob", "12", "13", "5", "7", "km", "kg", "has", "ran", "left", "gave.", "so", "Eve,", "3", "old"]
+    items = [" ".join(r.choice(words) for _ in range(r.randrange(5, 24))) for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        t = []
+        for _ in range(r.randrange(1, 4)):
+            w = r.choice(items).split()
+            swap = {v: r.choice(words) for v in ("Tom", "12", "5", "Bob")} if r.random() < 0.5 else {}
+            w = [swap.get(x, x) if r.random() < 0.9 else r.choice(words) for x in w][r.randrange(3) :]
+            t += w + [r.choice(words) for _ in range(r.randrange(4))]
+        texts.append(" ".join(t))
+    got = {k: (x.containment, x.consistency) for k, x in leaked(spark, texts, items).items()}
+    assert got == brute_leaks(texts, items) and len(got) > 30
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------------
 
 
