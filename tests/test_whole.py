@@ -38,30 +38,3 @@ def test_padding_hides_nothing(spark):
             assert out[i].get(i[:7]) == t.rindex(core) - 1, (channel, i, out[i])
     long = "password " * 20_000 + gap + real["INJ-003"]
     assert [f["at"] for f in scan(spark.createDataFrame([(long,)], "t string"), "t").first().findings] == [long.rindex("password") - 1]
-
-
-def leaked(spark, texts, items):
-    from sentrel.llm.decontamination import leaks
-
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
-    return {(r.doc_id, r.item_id): r for r in rows}
-
-
-def test_leaks_by_occurrence(spark):
-    """One verbatim item and its re-parameterised versions in one document, with and without a word put in."""
-    item = "a farmer packs 12 crates with 34 pears each then sells 56 crates and keeps 78 pears for the long winter at home"
-    versions = [item, *[item.replace("12", str(a)).replace("34", str(a + 1)).replace("56", str(a + 2)).replace("78", str(a + 3)) for a in (101, 205, 307)]]
-    shifted = [v.replace("and keeps", "and later keeps") for v in versions[1:]]
-    texts = [" ; next question ".join(versions), "only prose about nothing of the kind", "\n".join(["intro", *versions[1:]]), "a farmer packs 12 crates with care"]
-    found = leaked(spark, texts, [item])
-    assert set(found) == {(0, 0), (2, 0)}
-    assert all(r.containment == 1 and r.consistency == 1 for r in found.values())
-    assert set(leaked(spark, [" . ".join([*versions, *shifted])], [item])) == {(0, 0)}
-
-
-def test_leaks_of_parts_and_numbers(spark):
-    words = [f"{c}{v}{d}o" for c in "bdfgklm" for v in "aeiou" for d in "rst"][:55]
-    numbers = "12 13 14 15 16 17 18 19"
-    texts = ["opening " + " ".join(words[5:45]) + " closing", "opening " + " ".join(words[5:17]) + " closing", "so the row goes (12, 13, 14, 15, 16, 17, 18, 19), he said", "the row 22 23 24 25 26 27 28 29 is another"]
-    assert set(leaked(spark, texts, [" ".join(words), numbers, "42"])) == {(0, 0), (2, 1)}
