@@ -58,10 +58,10 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def with_canon(df: DataFrame, text: str, signs: bool = False) -> DataFrame:
     """Adds bare and canon, the words of a text without case and punctuation at their ends, and made canonical; with signs
     tokens without letters and digits are kept as words."""
-    tokens = F.split(F.coalesce(F.col(text), F.lit("")), SPACES)
-    df = once(df, "raw", F.filter(tokens, lambda w: w != "") if signs else F.filter(tokens, lambda w: w.rlike(r"[\p{L}\p{N}]")))
-    stripped = F.transform("raw", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    before = F.concat(F.array(F.lit("")), F.col("raw"))
+    strip = lambda w: F.regexp_extract(w, r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)
+    tokens = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), lambda w: F.struct(w.alias("raw"), strip(w).alias("bare")))
+    df = once(df, "t", F.filter(tokens, lambda p: p["raw" if signs else "bare"] != ""))
+    before = F.concat(F.array(F.lit("")), F.col("t.raw"))
 
     def one(p: Column) -> Column:
         bare = F.when(p["bare"] == "", p["raw"]).otherwise(p["bare"]) if signs else p["bare"]
@@ -72,14 +72,14 @@ def with_canon(df: DataFrame, text: str, signs: bool = False) -> DataFrame:
         canon = F.when(digit, F.lit("#")).when(unit, F.lit("#u")).when(named, F.lit("@")).otherwise(low)
         return F.struct(low.alias("bare"), canon.alias("canon"))
 
-    zipped = F.arrays_zip(F.col("raw"), stripped.alias("bare"), F.slice(before, 1, F.size("raw")).alias("before"))
+    zipped = F.arrays_zip(F.col("t.raw").alias("raw"), F.col("t.bare").alias("bare"), F.slice(before, 1, F.size("t")).alias("before"))
     df = once(df, "w", F.transform(zipped, one))
-    return df.withColumns({"bare": F.col("w.bare"), "canon": F.col("w.canon")}).drop("raw", "w")
+    return df.withColumns({"bare": F.col("w.bare"), "canon": F.col("w.canon")}).drop("t", "w")
 
 
 def with_literal(df: DataFrame) -> DataFrame:
     """Adds literal, whether each canonical word is an ordinary one."""
-    return once(df, "literal", F.transform("canon", lambda c: ~c.isin("#", "#u", "@") & c.rlike(r"\p{L}")))
+    return once(df, "literal", F.transform("canon", lambda c: ~c.isin("#", "#u", "@")))
 
 
 def window_hashes(width: int, signs: bool = False) -> Column:

@@ -376,7 +376,7 @@ def brute_leaks(texts, items):
         return out
 
     def windows(words):
-        plain = [c not in ("#", "#u", "@") and re.search(r"[^\W\d_]", c) is not None for c, _ in words]
+        plain = [c not in ("#", "#u", "@") for c, _ in words]
         n = D.WIDTH
         return [("c", *[c for c, _ in words[i : i + n]]) if sum(plain[i : i + n]) >= D.LITERALS else ("r", *[b for _, b in words[i : i + n]]) for i in range(len(words) - n + 1)]
 
