@@ -7,13 +7,19 @@ that the encoding of the prefix gains or loses. Right because a sequence of piec
 exactly when every two neighbours are the encoding of theirs, so each prefix has one fitting last token.
 
 Texts are cut into chunks at points where every state agrees (a space that follows another character), so a chunk's
-state map is constant: its exit state and count do not depend on the entry. The maps compose by a prefix sum; chunks of
-one block advance together, one character a step, as array look-ups, and chunks with equal 64-bit hashes share a walk. A text without such points stays one chunk.
+state map is constant: its exit state and count do not depend on the entry. Chunks of one block advance together, one
+character a step, as array look-ups, and chunks with equal 64-bit hashes share a walk. Chunks of more than PIECE characters
+(text without spaces) are cut into pieces whose maps are worked out for the entry states that can reach them: first for
+the state that WARM characters before the piece lead to, then for every exit of the piece before that is new. All pieces
+advance together, equal pieces share their maps, and the maps compose by a scan over the chunk's pieces that starts in the
+start state; it ends only when each piece's map holds the state that truly enters it, so a wrong guess costs a walk, never
+the count.
 
 Null is the empty text and counts 0; rows, columns and repeats are kept as they are (one result per row)."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +36,8 @@ MAX_STATES = 250_000
 CLASSES = 96
 #: Characters in a block that advances together.
 CHARS = 1 << 21
+#: Characters of a piece of a long chunk, and of the run-up that guesses its entry state.
+PIECE, WARM = 2048, 48
 #: The character that stands for a space in pieces.
 MARK = 0x2581
 
@@ -204,19 +212,33 @@ class Transducer:
             out[~unknown] = self.intern(new[~unknown], mark[~unknown])
         return out, np.where(unknown, kind, gain)
 
-    def chunk_counts(self, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each chunk, all entered in the start state; longest first, so that ended chunks drop off."""
+    def walk(self, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray, entries: list[bytes] | None = None) -> tuple[np.ndarray, list[bytes]]:
+        """Tokens of each stretch, and with entries (states as bytes; else the start state) its exit states. The longest
+        stretches come first, so that ended ones drop off."""
         order = np.argsort(starts - ends, kind="stable")
         length = (ends - starts)[order]
         at = starts[order]
-        state = np.full(len(at), self.start, np.int32)
+        state = np.full(len(at), self.start, np.int64) if entries is None else self.states([entries[i] for i in order.tolist()])
         count = np.zeros(len(at), np.int64)
-        steps = np.arange(length.max(initial=0))
+        exits: list[bytes] = [b""] * len(at)
+        steps = np.arange(length.max(initial=0) + 1)
         lives = len(length) - np.searchsorted(length[::-1], steps, "right")
+        done = len(at)
         for j, live in zip(steps.tolist(), lives.tolist()):
+            if entries is not None:
+                for i in range(live, done):
+                    exits[order[i]] = self.content(int(state[i]))
+            done = live
+            if not live:
+                break
+            if self.n_states > MAX_STATES:
+                held = [self.content(x) for x in np.unique(state[:live]).tolist()]
+                back = np.searchsorted(np.unique(state[:live]), state[:live])
+                self.reset()
+                state[:live] = self.states(held)[back]
             s, k = state[:live], kinds[at[:live] + j]
             column = np.minimum(k, CLASSES - 1)
-            nxt, gain = self.go[s, column], self.gain[s, column].astype(np.int64)
+            nxt, gain = self.go[s, column].astype(np.int64), self.gain[s, column].astype(np.int64)
             miss = np.flatnonzero((nxt < 0) | (k >= CLASSES - 1))
             if len(miss):
                 pairs, back = np.unique(s[miss].astype(np.int64) << 21 | k[miss], return_inverse=True)
@@ -229,12 +251,48 @@ class Transducer:
             state[:live] = nxt
         out = np.empty(len(at), np.int64)
         out[order] = count
-        return out
+        return out, exits
+
+    def content(self, state: int) -> bytes:
+        return self.rows[state].tobytes() + (b"\1" if self.marked[state] else b"\0")
+
+    def states(self, contents: list[bytes]) -> np.ndarray:
+        rows = np.array([np.frombuffer(c[:-1], np.int32).reshape(3, self.wide) for c in contents], np.int32).reshape(-1, 3, self.wide)
+        return self.intern(rows, np.array([c[-1:] == b"\1" for c in contents], bool))
+
+    def long_counts(self, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of long chunks, from the maps of their pieces."""
+        pieces = [(i, p, min(p + PIECE, b)) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())) for p in range(a, b, PIECE)]
+        chunk, low, high = (np.array(x, np.int64) for x in zip(*pieces))
+        names = [hashlib.blake2b(kinds[p:q].tobytes(), digest_size=16).digest() for _, p, q in pieces]
+        first = self.content(self.start)
+        _, guesses = self.walk(kinds, np.maximum(starts[chunk], low - WARM), low, [first] * len(pieces))
+        maps: dict[tuple[bytes, bytes], tuple[bytes, int]] = {}
+        fresh = list(enumerate(guesses))
+        while True:
+            todo: dict[tuple[bytes, bytes], int] = {}
+            for i, entry in fresh:
+                if (names[i], entry) not in maps:
+                    todo.setdefault((names[i], entry), i)
+            if todo:
+                at = np.array(list(todo.values()))
+                got, exits = self.walk(kinds, low[at], high[at], [entry for _, entry in todo])
+                maps |= {key: (e, n) for key, e, n in zip(todo, exits, got.tolist())}
+            total, state, missing = np.zeros(len(starts), np.int64), first, np.zeros(len(starts), bool)
+            for i, (c, p, _) in enumerate(pieces):
+                if p == starts[c]:
+                    state = first
+                if not missing[c] and (names[i], state) in maps:
+                    state, n = maps[names[i], state]
+                    total[c] += n
+                else:
+                    missing[c] = True
+            if not missing.any():
+                return total
+            fresh = [(i + 1, maps[names[i], entry][0]) for i, entry in fresh if i + 1 < len(pieces) and chunk[i + 1] == chunk[i]]
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each row of a block of UTF-8 texts."""
-        if self.n_states > MAX_STATES:
-            self.reset()
         n = np.zeros(len(offsets) - 1, np.int64)
         if not len(data):
             return n
@@ -257,7 +315,12 @@ class Transducer:
         np.cumsum(self.codes[kinds] * textkit.powers(textkit.BASE, len(kinds)), out=sums[1:])
         name = (sums[ends] - sums[starts]) * textkit.powers(textkit.INVERSE, len(kinds))[starts]
         _, some, back = np.unique(name, return_index=True, return_inverse=True)
-        got = self.chunk_counts(kinds, starts[some], ends[some])[back]
+        long_ = ends[some] - starts[some] > PIECE
+        each = np.zeros(len(some), np.int64)
+        each[~long_] = self.walk(kinds, starts[some[~long_]], ends[some[~long_]])[0]
+        if long_.any():
+            each[long_] = self.long_counts(kinds, starts[some[long_]], ends[some[long_]])
+        got = each[back]
         n[full] = np.add.reduceat(got, np.searchsorted(starts, heads))
         return n
 

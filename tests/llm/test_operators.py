@@ -530,7 +530,11 @@ def test_token_counts(spark, odd):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    texts = strange(6000)
+    r = random.Random(8)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    cjk = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(20_000))
+    code = "for(i=0;i<n;i++){a[i]=b[i]*c;}" * 6000
+    texts = strange(6000) + [letters, letters + " " + letters[:9000], cjk, code, "a" * 100_000, "ab" * 30_001, "é的ñ" * 9000, "word " + "x1Y_" * 5000 + " tail"]
     for x in token_counts(docs_of(spark, texts), path, 4096).collect():
         n = len(model.encode(texts[x.doc_id] or ""))
         assert (x.n_bytes, x.n_tokens, x.over_limit) == (len((texts[x.doc_id] or "").encode()), n, n > 4096)
