@@ -16,9 +16,12 @@ SALTS = 16
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared spark.checkpoint.dir; where that is unset (tests), a local one is set."""
+    """A fresh folder below the shared spark.checkpoint.dir. Where that is unset in local mode (tests), one is set; on a
+    cluster a folder of one machine would lose rows, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sentrel-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/sentrel-{name}-{uuid.uuid4().hex[:12]}"
@@ -49,36 +52,37 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     return big.withColumn("__salt", row_salt).join(salted, [*on, "__salt"], how).drop("__salt")
 
 
-def semi_by_id(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of big whose key is in ids; ids are broadcast only when counted to be few."""
-    small = ids.count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(ids) if small else ids, key, "left_semi")
+def join_checked(big: DataFrame, other: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Joins a side that may grow with the data: broadcast only while its counted rows are few, else a shuffled join whose
+    hot keys adaptive execution splits; the side is never copied."""
+    return big.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other, on, how)
 
 
-def source_key(column: Column) -> Column:
-    """A non-null group key that keeps null apart from every string."""
-    return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), column))
-
-
-def exclusive_sums(df: DataFrame, order: str, value: str, out: str, ranges: int = 256) -> DataFrame:
+def exclusive_sums(df: DataFrame, order: str, value: str, out: str, tie: str | None = None, rows: int = 1 << 18) -> DataFrame:
     """Adds the sum of value over all rows before this one in ascending order (nulls first).
 
-    Two levels: at most `ranges` key ranges with near-equal counts, whose totals are one small window, then a window
-    inside each range. Repeated keys fall in one range and are ordered by the value."""
+    Two levels: key ranges of about `rows` rows each, at most 4096, whose totals are one small window, then a window inside
+    each range. A key with more rows than a range (nulls, one id that many rows share) has a range of its own, which is
+    dealt by a hash of the column tie; rows of one key are in no order but that one."""
     from pyspark.sql import Window as W
 
-    cuts = sorted(set(df.select(order).na.drop().stat.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.001) or []))
-    bounds = F.array(*[F.lit(int(c)).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    ranges = min(4096, max(16, -(-df.count() // rows)))
+    found = df.select(order).na.drop().stat.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges) or []
+    hot = {int(c) for c in found if found.count(c) > 1}
+    cuts = sorted({int(c) for c in found} | {c + 1 for c in hot})
     slot = F.when(F.col(order).isNull(), F.lit(-1)).otherwise(_range_of(F.col(order), cuts))
-    ranged = df.withColumn("__range", slot)
-    totals = ranged.groupBy("__range").agg(F.sum(value).alias("__t"))
-    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("__range", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
-    inside = W.partitionBy("__range").orderBy(F.col(order), F.col(value)).rowsBetween(W.unboundedPreceding, -1)
+    dealt = F.col(order).isNull() | (F.col(order).isin(*hot) if hot else F.lit(False))
+    part = F.when(dealt, F.pmod(F.xxhash64(tie), F.lit(ranges))).otherwise(F.lit(0)) if tie else F.lit(0).cast("long")
+    ranged = df.withColumns({"__range": slot, "__part": part})
+    keys = ["__range", "__part"]
+    totals = ranged.groupBy(*keys).agg(F.sum(value).alias("__t"))
+    before = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)  # at most a few ranges squared of sums
+    totals = totals.select(*keys, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
+    inside = W.partitionBy(*keys).orderBy(F.col(order), F.col(value)).rowsBetween(W.unboundedPreceding, -1)
     return (
-        ranged.join(F.broadcast(totals), "__range")
+        join_checked(ranged, totals, keys, "inner")
         .withColumn(out, F.col("__base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("__range", "__base")
+        .drop("__range", "__part", "__base")
     )
 
 

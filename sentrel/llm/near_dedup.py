@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.llm import textkit
-from sentrel.llm.common import components, forget, schema, semi_by_id, settle
+from sentrel.llm.common import BROADCAST_ROWS, components, forget, schema, settle
 
 SAMPLES, BANDS, BITS, SIGMAS = 128, 32, 1024, 6
 #: Classes in a block of a bucket.
@@ -89,24 +89,35 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, schema("doc_id long, n long, h1 long, h2 long, bands array<long>, odd array<long>"))
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and its shingle hashes, ascending, as 8-byte words."""
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """doc_id and its shingle hashes, ascending, as 8-byte words, of the classes in wanted (doc_id, h1, h2, n). Of several
+    texts with that doc_id the one whose set is the class's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in textkit.blocks(batch):
                 starts, ends, first = textkit.word_bounds(data, offsets)
                 sets = textkit.shingles(textkit.word_hashes(data, starts, ends), first, k)
-                yield pa.record_batch({"doc_id": part.column(0), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
+                same = []
+                for s, n, h1, h2 in zip(sets, *(part.column(c).to_pylist() for c in ("n", "h1", "h2"))):
+                    same.append(len(s) == n and tuple(name(s).view(np.int64).tolist()) == (h1, h2))
+                yield pa.record_batch({"doc_id": part.column(0), "grams": pa.array([s.tobytes() for s in sets], pa.binary())}).filter(pa.array(same, pa.bool_()))
 
-    return docs.mapInArrow(run, schema("doc_id long, grams binary"))
+    few = wanted.count() <= BROADCAST_ROWS
+    own = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "n", "h1", "h2")
+    return own.mapInArrow(run, schema("doc_id long, grams binary")).dropDuplicates(["doc_id"])
+
+
+def name(grams: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums that name a shingle set."""
+    return np.array([textkit.mix(grams + np.uint64(1)).sum(), textkit.mix(grams ^ np.uint64(0x5DEECE66D)).sum()], np.uint64)
 
 
 def ones_between(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +132,17 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
             yield pa.record_batch([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = settle(full_sets(semi_by_id(docs, ids, "doc_id").dropDuplicates(["doc_id"]), k), "sets")
+    sets = settle(full_sets(docs, wanted(classes, ids), k), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
     links = settle(pairs.join(right, "b").join(left, "a").select("a", "b", "ga", "gb").mapInArrow(run, schema("u long, v long")), "links")
     forget(sets)
     return links
 
 
+def wanted(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    return settle(classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2").join(ids, "doc_id", "left_semi"), "wanted")
+
+
 def plausible(percent: int) -> Column:
     """Whether sizes and odd sketches of x and y leave the threshold possible."""
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
@@ -178,7 +193,7 @@ def across(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
         return pa.table([pa.array([o[c] for o in out], pa.int64()) for c in range(2)], ["u", "v"])
 
     ids = open_.select(F.col("rep").alias("doc_id")).distinct()
-    sets = settle(full_sets(semi_by_id(docs, ids, "doc_id").dropDuplicates(["doc_id"]), k).join(classes.select(F.col("rep").alias("doc_id"), "n", "bands", "odd"), "doc_id"), "sets")
+    sets = settle(full_sets(docs, wanted(classes, ids), k).join(classes.select(F.col("rep").alias("doc_id"), "n", "bands", "odd"), "doc_id"), "sets")
     blocks = F.ceil(F.col("m") / MEET).cast("int")
     dealt = open_.withColumns({"own": F.pmod(F.xxhash64("rep"), blocks).cast("int"), "blocks": blocks})
     pairs = F.expr("transform(sequence(0, blocks - 1), j -> named_struct('x', least(own, j), 'y', greatest(own, j)))")
@@ -203,7 +218,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     def tested(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(facts.alias("y"), F.col("b") == F.col("y.rep")).join(facts.alias("x"), F.col("a") == F.col("x.rep"))
-        return confirm(settle(joined.where(plausible(percent)).select("a", "b"), "pairs"), docs, k, percent)
+        return confirm(settle(joined.where(plausible(percent)).select("a", "b"), "pairs"), docs, classes, k, percent)
 
     # each class with the smallest of its leaders
     first = shared.groupBy("rep").agg(F.min("leader").alias("leader")).where("rep <> leader")
@@ -230,8 +245,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
     dropped = settle(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    from sentrel.llm.common import BROADCAST_ROWS
-
     few = dropped.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(docs.columns)
 

@@ -33,5 +33,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_CLOSURE = """near(a, b) AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+ reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+ root AS (SELECT a, least(a, min(b)) AS component_id FROM reach GROUP BY a)"""
+
+#: Plain statements of the contracts: all pairs, all shingles, all 50-byte strings.
+SQL = {
+    "op3_vector_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ ok AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.98), {_CLOSURE},
+ n AS (SELECT a, count(*) AS n_links FROM near GROUP BY a)
+ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id)::BIGINT AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+ FROM v LEFT JOIN root ON root.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op5_substring_dedup": """WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ s AS MATERIALIZED (SELECT doc_id, i, substr(h, (2 * i + 1)::INT, 100) AS g FROM d, unnest(range(length(h) // 2 - 49)) AS u(i)),
+ least_ AS (SELECT g, min(doc_id) AS m FROM s GROUP BY g HAVING count(*) > 1),
+ gone AS (SELECT doc_id, i FROM s JOIN least_ USING (g) WHERE doc_id > m),
+ edges AS (SELECT doc_id, i AS a, max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM gone),
+ runs AS (SELECT doc_id, a, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS r FROM edges),
+ spans AS (SELECT doc_id, r, min(a) AS a, max(a) + 50 AS b FROM runs GROUP BY doc_id, r),
+ cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+ kept AS (SELECT c.doc_id, string_agg(substr(h, (2 * before + 1)::INT, (2 * (a - before))::INT), '' ORDER BY a) AS k, max(b) AS last, sum(b - a) AS n, count(*) AS c FROM cuts c JOIN d USING (doc_id) GROUP BY c.doc_id)
+ SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k || substr(h, (2 * last + 1)::INT), h))) AS kept_sha256
+ FROM d LEFT JOIN kept USING (doc_id)""",
+    "op8_minhash_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM d),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+ link AS (SELECT a, b FROM both_ JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)), {_CLOSURE}
+ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id)::BIGINT AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN root ON root.a = d.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

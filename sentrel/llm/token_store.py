@@ -264,7 +264,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     spark = docs.sparkSession
     rows.repartition("key").mapInArrow(once, schema(DRAFT)).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
     drafts = stored(spark, path, "draft").select("doc_id", "n_tokens", "root", "chunks")
-    exclusive_sums(drafts, "doc_id", "n_tokens", "start").repartitionByRange(F.col("start")).sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    exclusive_sums(drafts, "doc_id", "n_tokens", "start", "root").repartitionByRange(F.col("start")).sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
     write_manifest(spark, path)
 
 

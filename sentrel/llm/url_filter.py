@@ -4,9 +4,9 @@ Every url is split into host and path. Rules (host, path, verdict) fit their hos
 with theirs; the longest fitting rule decides, and its urls are the labels of the tree.
 
 The tree has, per host, up to DEPTH levels of path segments; numbers, dates, hex names and file endings after numbers are
-variables from the start. Level by level a segment stays itself only if it is frequent among its siblings (at least 1 in
-WIDE of them, or there are at most WIDE) and is labelled while they are not, or its block rate differs from theirs by
-more than Z standard errors; all others, being variable or statistically alike, are merged into one wildcard branch. A
+variables from the start. Level by level a segment stays itself only if it is labelled while its siblings are not, or its
+block rate differs from theirs by more than Z standard errors; all others, being variable or statistically alike, are
+merged into one wildcard branch, however many or rare they are. Segments beyond DEPTH are one branch, /**. A
 template's purity is its block rate, smoothed by WEIGHT labels that allow; urls of templates with purity of at least
 REJECT are blocked, so nothing is blocked without labels of its own template.
 
@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import join_small, settle
+from sentrel.llm.common import join_checked, settle
 
-DEPTH, WIDE, Z, WEIGHT, REJECT = 6, 32, 1.96, 4.0, 0.5
+DEPTH, Z, WEIGHT, REJECT = 12, 1.96, 4.0, 0.5
 #: Fixed values of the contract: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -67,17 +67,16 @@ def templates(shapes: DataFrame) -> DataFrame:
         seg = F.get("segs", F.lit(level))
         node = now.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")])
         node = settle(node, "nodes")
-        about = node.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_b"), F.sum(F.col("blocked") + F.col("allowed")).alias("all_l"), F.count("*").alias("children"))
-        both = join_small(node, about, ["host", "template"])
+        about = node.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_b"), F.sum(F.col("blocked") + F.col("allowed")).alias("all_l"))
+        both = join_checked(node, about, ["host", "template"])
         labelled = F.col("blocked") + F.col("allowed")
         others = F.col("all_l") - labelled
         rest_rate = (F.col("all_b") - F.col("blocked") + 1) / (others + 2)
         own_rate = (F.col("blocked") + 1) / (labelled + 2)
         error = F.sqrt(rest_rate * (1 - rest_rate) / (others + 2) + own_rate * (1 - own_rate) / (labelled + 2))
-        frequent = (F.col("children") <= WIDE) | (F.col("n") * WIDE >= F.col("all_n"))
         differs = (labelled > 0) & ((others == 0) | (F.abs(own_rate - rest_rate) > Z * error))
-        literal = settle(both.where(frequent & differs).select("host", "template", "seg", F.lit(True).alias("literal")), "literals")
-        next_ = join_small(now.withColumn("seg", seg), literal, ["host", "template", "seg"])
+        literal = settle(both.where(differs).select("host", "template", "seg", F.lit(True).alias("literal")), "literals")
+        next_ = join_checked(now.withColumn("seg", seg), literal, ["host", "template", "seg"])
         shape = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("literal"), F.concat(F.lit("/"), F.col("seg"))).otherwise(F.lit("/*"))
         now = settle(next_.withColumn("template", F.concat("template", shape)).select("host", "segs", "n", "blocked", "allowed", "template"), "shapes")
     deeper = F.when(F.size("segs") > DEPTH, F.lit("/**")).otherwise(F.lit(""))
@@ -93,8 +92,8 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id
     shapes = parsed.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked"), F.count_if(F.col("ruled") == "allow").alias("allowed"))
     shaped = templates(shapes)
     pure = shaped.groupBy("host", "template").agg((F.sum("blocked") / (F.sum(F.col("blocked") + F.col("allowed")) + WEIGHT)).alias("purity"))
-    judged = settle(join_small(shaped.select("host", "segs", "template"), pure, ["host", "template"]), "judged")
-    out = join_small(parsed, judged, ["host", "segs"])
+    judged = settle(join_checked(shaped.select("host", "segs", "template"), pure, ["host", "template"]), "judged")
+    out = join_checked(parsed, judged, ["host", "segs"])
     method = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 

@@ -2,7 +2,7 @@
 
 1. Equal vectors of a label become one class with a count, so copies are never paired.
 2. Labels with more than CELL classes are cut into cells around unit centroids, fitted by Lloyd rounds on at most SAMPLE
-   vectors; at most LABELS labels and CENTROIDS centroids, the rest of the labels is one cell each. Every vector is
+   vectors, a number that grows with the label; at most CENTROIDS centroids in all, dealt by size. Every vector is
    assigned, and also visits each cell whose border is nearer than half the chord of the threshold. Of two vectors that
    are similar enough but live in two cells, at least one visits the other's cell, so no pair is missed.
 3. A cell is compared in blocks of BLOCK rows: every two blocks meet in one task, which takes their product, counts links
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sentrel.llm.common import components, schema, settle
 
-CELL, BLOCK, SAMPLE, LABELS, CENTROIDS, ROUNDS = 2048, 2048, 50_000, 512, 4096, 6
+CELL, BLOCK, SAMPLE, CENTROIDS, ROUNDS = 2048, 2048, 50_000, 8192, 6
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
@@ -57,12 +57,12 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
 
 def fit_cells(classes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """Unit centroids of the large labels."""
-    large = classes.groupBy("label", "width").count().where(F.col("count") > CELL).orderBy(F.desc("count"), "label", "width").limit(LABELS).collect()
+    large = classes.groupBy("label", "width").count().where(F.col("count") > CELL).orderBy(F.desc("count"), "label", "width").limit(CENTROIDS // 2).collect()
     if not large:
         return {}
     wanted = {(r.label, r.width): max(2, math.ceil(2 * r["count"] / CELL)) for r in large}
     share = min(1.0, CENTROIDS / sum(wanted.values()))
-    wanted = {k: min(256, max(2, int(n * share))) for k, n in wanted.items()}
+    wanted = {k: max(2, int(n * share)) for k, n in wanted.items()}
     names = classes.sparkSession.createDataFrame([k for k in wanted], "label string, width int")
     fitted = settle(classes.join(F.broadcast(names), ["label", "width"]).select("label", "width", "unit", "name").orderBy(F.xxhash64("name"), "name").limit(SAMPLE).repartition(8), "sample")
     cells: dict[tuple[str, int], np.ndarray] = {}

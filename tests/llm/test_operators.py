@@ -541,6 +541,22 @@ def test_token_counts(spark, odd):
     assert token_counts(odd, path, 4096).count() == odd.count() and token_counts(empty(spark), path, 1).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op3_vector_dedup", "op5_substring_dedup", "op8_minhash_dedup"])
+def test_sql(spark, name):
+    import duckdb
+
+    from sentrel.llm.queries import SQL, queries
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    columns = sorted(con.sql(SQL[name]).columns)
+    df = queries()[name](spark, d)
+    assert sorted(df.columns) == columns
+    assert sorted(map(tuple, df.select(columns).collect())) == sorted(con.sql(f"select {', '.join(columns)} from ({SQL[name]})").fetchall())
+
+
 # pipeline ---------------------------------------------------------------------------------------------------------------
 
 
