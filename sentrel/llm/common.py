@@ -27,6 +27,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/sentrel-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets Arrow batches of whole texts hold at most so many rows, unless the session asks for fewer: a task holds a batch
+    twice, in the executor and in its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a table in the shared folder: a lost executor costs only its own tasks."""
     path = work_folder(df.sparkSession, name)

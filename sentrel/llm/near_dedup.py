@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.llm import textkit
-from sentrel.llm.common import BROADCAST_ROWS, components, forget, schema, settle
+from sentrel.llm.common import BROADCAST_ROWS, components, forget, schema, settle, short_batches
 
 SAMPLES, BANDS, BITS, SIGMAS = 128, 32, 1024, 6
 #: Classes in a block of a bucket.
@@ -204,6 +204,7 @@ def across(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; see the module's text."""
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = settle(sketch(docs, k), "sketches")
     named = rows.where("n > 0 and doc_id is not null")

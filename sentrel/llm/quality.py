@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.llm import textkit
-from sentrel.llm.common import schema, settle
+from sentrel.llm.common import schema, settle, short_batches
 
 #: Most labelled rows that training reads, cosines, folds, ridge weight per row.
 SAMPLE, FEATURES, FOLDS, RIDGE = 20_000, 256, 4, 1e-4
@@ -118,6 +118,7 @@ def held_out(id_column: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits a model on docs' rows that have a label and are not held out."""
+    short_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Odd multiplier of the polynomial hash, modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))

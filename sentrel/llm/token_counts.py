@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.llm import textkit
-from sentrel.llm.common import schema
+from sentrel.llm.common import schema, short_batches
 
 #: Most transducer states kept by a worker; beyond, the table starts anew (results do not change).
 MAX_STATES = 250_000
@@ -334,6 +334,7 @@ def transducer(path: str) -> Transducer:
 def token_counts(docs: DataFrame, model: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
 
+    short_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
         for batch in batches:

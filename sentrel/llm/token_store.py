@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrel.llm import textkit
-from sentrel.llm.common import exclusive_sums, schema, settle, work_folder
+from sentrel.llm.common import exclusive_sums, schema, settle, short_batches, work_folder
 
 #: Ids under the rolling hash; least, mean (a power of two) and most ids of a chunk.
 SPAN, LEAST, MEAN, MOST = 16, 256, 2048, 8192
@@ -226,6 +226,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     """Encodes docs and writes the store. The payload is shuffled once, by chunk name, after each task has dropped its
     own repeats; a name that many documents share reaches its partition once a task."""
 
+    short_batches(docs.sparkSession)
     def draft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
