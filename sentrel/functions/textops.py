@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +18,19 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_firsts(df: DataFrame, text: str, wanted: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+def with_firsts(df: DataFrame, text: str, wanted: dict[str, tuple[str, Callable[[Column], Column]]], needs: dict[str, list[str]] | None = None) -> DataFrame:
     """For each name with (pattern, test) the start of the first match that passes the test, in code points from 0.
 
     All matches are looked at, in one pass: a start is the end of the match before it and the length of what a split leaves
     between. A test gets (p, e, at, near): start, end, and the start within near, the text up to REACH characters around
     the match; near comes from blocks, so a match deep in a text costs no more than one at its start."""
-    df = once(df, "__m", F.struct(*[F.regexp_extract_all(F.col(text), F.lit(r), F.lit(0)).alias(n) for n, (r, _) in wanted.items()]))
+    def all_of(n: str, pattern: str) -> Column:
+        """Matches; texts that hold none of the words that a match needs are not searched."""
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        words = (needs or {}).get(n)
+        return F.when(reduce(lambda a, b: a | b, [F.contains(F.col(text), F.lit(w)) for w in words]), found).otherwise(F.array().cast("array<string>")) if words else found
+
+    df = once(df, "__m", F.struct(*[all_of(n, r).alias(n) for n, (r, _) in wanted.items()]))
     some = F.greatest(*[F.size(f"__m.{n}") for n in wanted], F.lit(0)) > 0
     between = [F.when(F.size(f"__m.{n}") > 0, F.split(F.col(text), r, -1)).alias(n) for n, (r, _) in wanted.items()]
     df = once(df, "__s", F.struct(*between, F.when(some, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("__blocks")))
@@ -66,12 +73,11 @@ def excerpt(text: Column, start: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon bits per character; empty is 0."""
-    n = F.length(text)
-    kinds = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
-    share = lambda c: (n - F.length(F.replace(text, c))) / n
-    bits = F.aggregate(kinds, F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
-    return F.when(n > 0, bits).otherwise(F.lit(0.0))
+    """Shannon bits per character; empty is 0. Characters are sorted once, so that equal ones are runs."""
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(text, "")), ""), F.lit("(?s)(.)\\1*+"), F.lit(0))
+    shares = F.transform(runs, lambda r: F.length(r) / F.length(text))
+    bits = F.aggregate(shares, F.lit(0.0), lambda s, x: s - x * F.log2(x))
+    return F.when(F.length(text) > 0, bits).otherwise(F.lit(0.0))
 
 
 def longest_printable_run(text: Column) -> Column:

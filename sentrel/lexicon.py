@@ -12,7 +12,7 @@ def bounded(*terms: str) -> str:
     return f"{_BEFORE}({'|'.join(terms)})"
 
 
-#: The vocabulary of the content rules.
+#: The vocabulary of the content rules, in phrases of our own.
 SELF_REFERENCE = bounded("this (text|note|message|instruction|notice)", "these (instructions|lines|words)", "the (above|following) (text|lines|instructions)")
 COPY_VERB = bounded("(copy|paste|write|insert|append|repeat|propagate|replicate|add) ")
 COPY_TARGET = bounded("(every|each|all) (file|reply|message|agent|page|document)s?", "the config", "memory file", "your (next|own) (reply|answer|message)")
@@ -25,6 +25,11 @@ CONCEAL = bounded("(do not|don't|never) (tell|mention|show|reveal)", "without (t
 ROLE = "(^|\\n)[ \\t]*(system|assistant|developer)[ ]?:[ ]|<(system|assistant)>|\\[(system|inst)\\]"
 ZERO_WIDTH = "[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}]"
 TAG_BLOCK = "[\\x{E0000}-\\x{E007F}]"
+#: Words of which a match of each pattern holds at least one.
+NEEDED = {
+    "selfref": ["this ", "these ", "the above ", "the following "], "override": ["ignore ", "disregard ", "forget ", "skip ", "your new "], "secret": [" key", "seed phrase", "password", "credentials", "auth token"],
+    "conceal": ["do not ", "don't ", "never ", "without ", "keep "], "role": ["system", "assistant", "developer", "[inst]"],
+}
 #: Frames that make a passage a description of an attack rather than one.
 IMPERATIVE = bounded("you must", "do it now", "immediately", "right away")
 ATTRIBUTED = bounded("(attackers|an attacker|malware|the worm|such prompts) (may|can|might|will|says|tells)", "for example,? a malicious")

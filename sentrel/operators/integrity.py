@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Columns that an exported finding may have; nothing with text in it.
@@ -31,7 +30,7 @@ def capability(execute: Column, persist: Column, propagate: Column) -> tuple[Col
     """Score and band of three links from 0 to 10; a link below 3 breaks the loop and holds the score at 4."""
     top, low = F.greatest(execute, persist, propagate), F.least(execute, persist, propagate)
     score = F.when(low < 3, F.least(F.lit(4), top)).otherwise(F.bround((execute + persist + propagate) / 3).cast("int"))
-    return score, F.when(score >= 8, "severe").when(score >= 5, "high").when(score >= 3, "moderate").otherwise("low")
+    return score, F.when(score >= 8, "severe").when(score >= 6, "high").when(score >= 4, "moderate").when(score >= 2, "limited").otherwise("contained")
 
 
 def safe(findings: DataFrame, content: str, path: str, withheld: str = "INJ-003") -> DataFrame:
@@ -47,11 +46,17 @@ def co_occurrence(found: DataFrame, key: str, top: int = 8) -> DataFrame:
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").count().orderBy(F.desc("count"), "a", "b").limit(top)
 
 
-def alert_load(found: DataFrame, sampled: int, daily: int) -> DataFrame:
-    """rule_id, n, per_day: linear extrapolation of a sample."""
-    if sampled <= 0:
-        raise ValueError("nothing was sampled")
-    return found.groupBy("rule_id").agg(F.count("*").alias("n")).withColumn("per_day", F.round(F.col("n") * daily / sampled, 1))
+def alert_load(found: DataFrame, sampled: DataFrame, daily: int) -> DataFrame:
+    """rule_id, n, per_day: linear extrapolation of a sample to `daily` texts; an empty sample gives no rows."""
+    n = sampled.agg(F.count("*").alias("sampled"))
+    return found.groupBy("rule_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).select("rule_id", "n", F.round(F.col("n") * daily / F.col("sampled"), 1).alias("per_day"))
+
+
+def escalated(severity: Column, closed: Column, score: Column) -> Column:
+    """One step worse where the loop of capabilities is closed and severe."""
+    order = F.array(*[F.lit(x) for x in ("info", "low", "medium", "high", "critical")])
+    at = F.array_position(order, severity)
+    return F.when(closed & (score >= 8) & (at > 0), F.element_at(order, F.least(at + 1, F.lit(5)).cast("int"))).otherwise(severity)
 
 
 def excise(df: DataFrame, text: str, pattern: str, passes: int = 5) -> DataFrame:
@@ -62,8 +67,3 @@ def excise(df: DataFrame, text: str, pattern: str, passes: int = 5) -> DataFrame
         kept = F.filter(F.split("excised", "\n[ \t]*\n"), lambda p: ~F.lower(p).rlike(pattern))
         out = out.withColumn("excised", F.array_join(kept, "\n\n"))
     return out.withColumn("clean", ~F.lower(F.col("excised")).rlike(pattern))
-
-
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The newest row of each key."""
-    return df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("__r = 1").drop("__r")

@@ -17,8 +17,8 @@ def bursts(events: DataFrame, key: list[str], seconds: int, least: int) -> DataF
     return best.select(*key, "b.ts", "b.callers", "b.n")
 
 
-def invoice(events: DataFrame, flat: int = 5000, included: int = 20, rate: int = 30, billable: tuple = ("click", "view", "purchase")) -> DataFrame:
-    """caller, checks, billable, amount: a flat fee and a rate for what exceeds the included number."""
+def invoice(events: DataFrame, flat: int = 25_000_000, included: int = 10_000, rate: int = 3000, billable: tuple = ("click", "view", "purchase")) -> DataFrame:
+    """caller, checks, billable, amount in millionths: a flat fee and a rate for what exceeds the included number."""
     out = events.groupBy("caller").agg(F.count("*").alias("checks"), F.count_if(F.col("kind").isin(*billable)).alias("billable"))
     return out.withColumn("amount", flat + F.greatest(F.lit(0), F.col("billable") - included) * rate)
 
@@ -33,10 +33,6 @@ def receipt(fields: list[tuple[str, Column]]) -> Column:
     return F.sha2(F.concat_ws("\n", *[F.concat(F.lit(f"{n}="), F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))) for n, c in fields]), 256)
 
 
-def order_decision(amount: Column, total: Column, symbol: Column, allowed: list, cap: float, daily: float) -> Column:
-    return F.when(~symbol.isin(*allowed), "symbol").when(amount.isNull(), "unknown").when(amount > cap, "order_cap").when(total + amount > daily, "daily_cap").otherwise("accept")
-
-
 def spend_ledger(orders: DataFrame, key: str, allowed: list, cap: float, daily: float, seconds: int = 86_400) -> DataFrame:
     """key, id, decision of orders (key, id, ts, symbol, amount) in order of (ts, id). An accepted order counts towards the
     trailing total, a refused one does not, so the fold is sequential per key and state is the accepted orders of one day.

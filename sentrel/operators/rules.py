@@ -44,12 +44,12 @@ def scan(df: DataFrame, text: str, channel: str = "scan") -> DataFrame:
         "__conceal": (L.CONCEAL, lambda h: (ranged(h, 250).rlike(L.SEND_VERB) | ranged(h, 250).rlike(L.SECRET) | ranged(h, 250).rlike(L.COPY_VERB)) & ~described(h)),
         "__role": (L.ROLE, lambda h: F.lit(True)),
     }
-    df = with_firsts(df, t, firsts)
+    df = with_firsts(df, t, firsts, {f"__{n}": words for n, words in L.NEEDED.items()})
     at = {
         "INJ-001": F.col("__selfref"),
         "INJ-002": F.col("__override"),
         "INJ-003": F.col("__secret"),
-        "INJ-004": F.when(F.exists(comments(F.col(t)), hostile_comment), F.instr(t, "<!--") - 1),
+        "INJ-004": F.when(F.contains(F.col(t), F.lit("<!--")), F.when(F.exists(comments(F.col(t)), hostile_comment), F.instr(t, "<!--") - 1)),
         "INJ-005": F.when(F.col(t).rlike(L.ZERO_WIDTH), F.length(F.get(F.split(t, L.ZERO_WIDTH, 2), F.lit(0)))),
         "INJ-006": F.when(F.col(t).rlike(L.TAG_BLOCK), F.length(F.get(F.split(t, L.TAG_BLOCK, 2), F.lit(0)))),
         "INJ-007": F.col("__conceal"),

@@ -50,24 +50,28 @@ def decoded_layers(batches: Iterator) -> Iterator:
 
     import pyarrow as pa
 
+    def decoded(token: str, hexed: bool) -> str | None:
+        try:
+            raw = binascii.unhexlify(token) if hexed else base64.b64decode(token.rstrip("=") + "=" * (-len(token.rstrip("=")) % 4), altchars=b"-_" if re.search("[-_]", token) else None)
+            found = raw.decode("utf-8")
+        except (ValueError, binascii.Error):
+            return None
+        return found if sum(c.isprintable() for c in found) >= 0.85 * len(found) else None
+
     def views(text: str) -> list[str]:
-        out, edge = [unicodedata.normalize("NFKC", text)], [text]
+        """All decodings, level by level; each different text once, so that repeats end the search."""
+        out = dict.fromkeys([unicodedata.normalize("NFKC", text), text])
+        edge = [text]
         for _ in range(3):
             after: list[str] = []
-            for t in edge[:20]:
-                if "%" in t and (u := unquote(t)) != t:
-                    after.append(u)
-                for token in re.findall(r"[A-Za-z0-9+/_-]{24,65536}={0,2}", t)[:24]:
-                    for decode in (lambda x: base64.b64decode(x.rstrip("=") + "=" * (-len(x.rstrip("=")) % 4), altchars=b"-_" if re.search("[-_]", x) else None), binascii.unhexlify):
-                        try:
-                            found = decode(token).decode("utf-8")
-                        except (ValueError, binascii.Error):
-                            continue
-                        if sum(c.isprintable() for c in found) >= 0.85 * len(found):
-                            after.append(found)
+            for t in edge:
+                if "%" in t:
+                    after.append(unquote(t))
+                after += [d for x in re.findall(r"[A-Za-z0-9+/_-]{24,65536}={0,2}", t) if (d := decoded(x, False)) is not None]
+                after += [d for x in re.findall(r"(?:[0-9A-Fa-f]{2}){16,}", t) if (d := decoded(x, True)) is not None]
             edge = [t for t in dict.fromkeys(after) if t not in out]
-            out += edge
-        return out
+            out |= dict.fromkeys(edge)
+        return [t for t in out if t != text or t == next(iter(out))]
 
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -92,7 +92,12 @@ def test_readers(spark, tmp_path):
     assert sorted((r.path, r.code) for r in readers.posture(conf).collect()) == [("x", "SET-001"), ("x", "SET-003"), ("y", "SET-000"), ("z", "SET-002")]
     assert [(r.server, r.tool) for r in readers.tools(conf).collect()] == [("m", "t")]
     found = spark.createDataFrame([("p", "INJ-001", "critical", 3)], "path string, rule_id string, severity string, line long")
-    assert json.loads(sinks.sarif(found, "path"))["runs"][0]["results"][0]["level"] == "error"
+    more = spark.createDataFrame([("q", "INJ-009", "low", 1), ("q", "INJ-008", "medium", 2)], found.schema)
+    sinks.sarif(found.unionByName(more), "path", str(tmp_path / "sarif"))
+    whole = "".join(f.read_text() for part in sorted((tmp_path / "sarif").iterdir()) for f in sorted(part.glob("part-*.txt")))
+    assert [r["level"] for r in json.loads(whole)["runs"][0]["results"]] == ["error", "warning", "note"]
+    events = spark.createDataFrame([("PAY-001", "high", "refuse", 1), ("x", "high", "refuse", 1), ("PAY-002", "odd", "allow", 2)], "code string, severity string, decision string, ts long")
+    assert sinks.spool(events, str(tmp_path / "spool")) == {"written": 1, "dropped": 2}
     assert sinks.fails(found, "high") and not sinks.fails(found.where("false"), "info")
 
 
