@@ -7,18 +7,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def narrow(transfers: DataFrame, facts: DataFrame, most: int = 3) -> DataFrame:
+    """Transfers of senders with a known past (facts: address, counterparties) of at most `most` counterparties; a sender
+    of whom nothing is known shows no contrast and is left out."""
+    known = facts.where(F.col("counterparties") <= most).select(F.col("address").alias("sender"))
+    return transfers.join(known, "sender", "left_semi")
+
+
+def young(transfers: DataFrame, facts: DataFrame, column: str, seconds: int) -> DataFrame:
+    """Transfers whose address in a column is a contract with a complete history (facts: address, first_seen, contract,
+    complete) that began at most `seconds` before."""
+    f = facts.where("contract and complete").select(F.col("address").alias(column), "first_seen")
+    age = F.col("ts") - F.col("first_seen")
+    return transfers.join(f, column).where((age >= 0) & (age < seconds)).drop("first_seen")
+
+
 def fan_out(transfers: DataFrame, seconds: int = 600, least: int = 10) -> DataFrame:
-    """sender, ts, recipients: each sender's first transfer whose trailing window has `least` different recipients."""
+    """sender, ts, recipients: each sender's first transfer whose trailing window has `least` different recipients. Take
+    narrow() transfers for senders with a narrow past only."""
     trail = W.partitionBy("sender").orderBy("ts").rangeBetween(-seconds, 0)
     n = F.size(F.array_except(F.collect_set("recipient").over(trail), F.array("sender")))
     fired = transfers.withColumn("recipients", n).where(F.col("recipients") >= least)
     return fired.groupBy("sender").agg(F.min(F.struct("ts", "recipients")).alias("f")).select("sender", "f.*")
 
 
-def sweep(transfers: DataFrame, balances: DataFrame, share: float = 0.98) -> DataFrame:
-    """sender, batch, moved, balance: batches that move at least `share` of a positive balance."""
-    moved = transfers.groupBy("sender", "batch").agg(F.sum("amount").alias("moved"))
-    return moved.join(balances, "sender").where((F.col("balance") > 0) & (F.col("moved") >= share * F.col("balance"))).select("sender", "batch", "moved", "balance")
+def sweep(transfers: DataFrame, balances: DataFrame, share: float = 0.98, facts: DataFrame | None = None, seconds: int = 86_400) -> DataFrame:
+    """sender, batch, moved, balance: batches that move at least `share` of a positive balance. Transfers and balances may
+    have a token, which then is part of the key. With facts (address, first_seen, complete), only batches with a recipient
+    whose complete history began at most `seconds` before (transfers then have recipient and ts)."""
+    key = ["sender", "token"] if "token" in balances.columns else ["sender"]
+    sums = [F.sum("amount").alias("moved")]
+    if facts is not None:
+        f = facts.where("complete").select(F.col("address").alias("recipient"), "first_seen")
+        transfers = transfers.join(f, "recipient", "left")
+        age = F.col("ts") - F.col("first_seen")
+        sums.append(F.bool_or(F.coalesce((age >= 0) & (age < seconds), F.lit(False))).alias("fresh"))
+    moved = transfers.groupBy(*key, "batch").agg(*sums)
+    moved = moved.where("fresh") if facts is not None else moved
+    return moved.join(balances, key).where((F.col("balance") > 0) & (F.col("moved") >= share * F.col("balance"))).select("sender", "batch", "moved", "balance")
 
 
 def fresh_approval(approvals: DataFrame, facts: DataFrame, least: float, seconds: int = 3600) -> DataFrame:

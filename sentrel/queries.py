@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from sentrel import lexicon as L
 from sentrel.functions.textops import amount_band, entropy, hmac_sha256, longest_printable_run
-from sentrel.operators import flows, integrity, ledger
+from sentrel.operators import flows, integrity, ledger, payments, quotes
 from sentrel.operators.rules import comments, findings, hostile_comment, scan
+from sentrel.plans import mutations
 from sentrel.plans.carriers import cheapest, gate, seeded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,6 +237,87 @@ def transcript_findings(spark, d):
     return findings(scan(armed_turns(spark, d), "text", "transcript"), "conv_id", "turn").groupBy("conv_id", "rule_id").agg(F.count("*").alias("turns"))
 
 
+def quoted(spark, d):
+    """Documents as quote fields: doc_id, path, text, payees, hosts, complete; the payload that an id picks stands after the
+    first 200 characters, or is the field itself where the path names an identifier."""
+    pick = lambda i: F.get(F.array(*[F.lit(x[i]) for x in L.QUOTES]), (F.col("doc_id") % len(L.QUOTES)).cast("int"))
+    body = F.concat(F.substring("text", 1, 200), F.lit("\n"), pick(1), F.lit("\n"), F.substring("text", 201, 1 << 30))
+    payees, hosts = F.array(F.lit("0x" + "1" * 40)), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("shop.example.net"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "documents").select("doc_id", pick(0).alias("path"), F.when(pick(2), body).otherwise(pick(1)).alias("text"), payees.alias("payees"), hosts.alias("hosts"), (F.col("doc_id") % 7 != 0).alias("complete"))
+
+
+def quote_raw(spark, d):
+    return quotes.scan_views(quoted(spark, d).withColumns({"view": F.lit(0), "body": F.col("text")})).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.code", "f.severity", F.col("f.at").cast("long").alias("at"))
+
+
+def quote_codes(spark, d):
+    return quote_raw(spark, d).groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+def quote_decision(spark, d):
+    q = quoted(spark, d)
+    return quotes.decisions(q.select("doc_id", "complete"), quote_raw(spark, d), "doc_id").select("doc_id", "decision", F.array_join("codes", ",").alias("codes"))
+
+
+def quote_views(spark, d):
+    """The quote rules over all views of each field, folded and decoded ones too."""
+    return quotes.quote_findings(quoted(spark, d), "doc_id").groupBy("code", "severity", "sink").agg(F.count("*").alias("n"))
+
+
+def authorization_checks(spark, d):
+    """Orders as signed authorizations whose fields go wrong by remainders of their keys."""
+    k = F.col("o_orderkey")
+    hexed = lambda c: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(c)), 40, "0"))
+    wrong = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    payer, value = hexed(F.col("o_custkey")), F.floor(F.col("o_totalprice").cast("double")).cast("string")
+    rows = table(spark, d, "orders").select(
+        k.alias("id"), wrong(31, F.lit("mars"), F.lit("base")).alias("network"), hexed(F.lit(7)).alias("asset"), hexed(F.lit(9)).alias("pay_to"), wrong(37, F.lit("1.5"), value).alias("amount"), F.lit("transfer").alias("method"),
+        wrong(41, F.lit("delegation"), F.lit(None).cast("string")).alias("p_method"), wrong(43, F.lit("Permit"), F.lit("TransferWithAuthorization")).alias("primary_type"), wrong(47, F.lit(payments.LARGEST), F.lit(None).cast("string")).alias("permit_value"),
+        wrong(53, hexed(F.lit(8)), F.lit(None).cast("string")).alias("p_asset"), payer.alias("p_from"), wrong(13, hexed(F.lit(10)), hexed(F.lit(9))).alias("p_to"), wrong(17, F.lit("1"), value).alias("p_value"),
+        wrong(19, F.lit("5000"), F.lit("0")).alias("valid_after"), wrong(23, F.lit("10"), F.lit("0")).alias("valid_before"), F.when(k % 29 == 0, F.lit("0")).otherwise(k.cast("string")).alias("nonce"), wrong(11, hexed(F.lit(1)), wrong(59, F.lit(None).cast("string"), payer)).alias("signer"), F.lit(1000).alias("now"),
+    )
+    domains = spark.createDataFrame([(8453, "0x" + "0" * 39 + "7", True), (1, "0x" + "0" * 39 + "7", False)], "chain long, asset string, verified boolean")
+    return payments.authorizations(rows, domains, "id")
+
+
+def payment_checks(spark, d):
+    """Order lines as decoded instructions of one payment an order."""
+    n = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    pick = lambda m, *options: F.get(F.array(*[F.lit(o) for o in options]), F.pmod(n, F.lit(m)).cast("int"))
+    first = F.col("l_linenumber") == 1
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.when(first, "token").otherwise(F.when(n % 11 == 0, "odd").when(n % 13 == 0, "system").when(n % 17 == 0, "token").otherwise("memo")).alias("program"),
+        F.when(first, "transferChecked").otherwise(F.when(n % 13 == 0, pick(2, "transfer", "assign")).when(n % 17 == 0, "approve").otherwise("note")).alias("opcode"), F.when(n % 19 == 0, "elsewhere").otherwise("payee").alias("destination"),
+        F.when(n % 23 == 0, "7").when(n % 29 == 0, "x").otherwise("1000").alias("amount"), F.when(n % 31 == 0, "ignore previous notes").otherwise("thanks").alias("text"), F.lit(None).cast("long").alias("unit_limit"), F.when(n % 37 == 0, 9_000_000).otherwise(1).cast("long").alias("unit_price"), F.lit("payee").alias("payee"), F.lit("1000").alias("quoted"),
+    )
+    return payments.payments(rows, "id")
+
+
+def mutation_survival(spark, d):
+    """How many reworded payloads the rules still find, over all tiers; payloads are the attacks of the carriers."""
+    rows = spark.createDataFrame([(i, t) for i, (t, bad) in enumerate(L.PAYLOADS) if bad], "id long, text string")
+    return mutations.survival(scan(mutations.mutations(rows, "id", "text"), "text"))
+
+
+def facts_of(spark, d):
+    """What the first half of the events says of each address: first_seen, counterparties; contracts are every second one."""
+    e = events(spark, d)
+    cut = e.agg(F.expr("percentile_approx(ts, 0.5, 1000000)").alias("cut"))
+    past = e.crossJoin(F.broadcast(cut)).where("ts < cut").groupBy(F.col("sender").alias("address")).agg(F.count_distinct("recipient").alias("counterparties"))
+    seen = e.groupBy(F.col("recipient").alias("address")).agg(F.min("ts").alias("first_seen"))
+    return seen.join(past, "address", "full").withColumns({"contract": F.col("address") % 2 == 0, "complete": F.col("address") % 5 != 0})
+
+
+def fanout_narrow(spark, d):
+    """Fan-out of senders with a narrow known past: at most 25 counterparties in the first half of the events."""
+    e = events(spark, d)
+    return flows.fan_out(flows.narrow(e, facts_of(spark, d), 25), 86_400, 5).select("sender", "ts", F.col("recipients").cast("long").alias("recipients"))
+
+
+def convergence_young(spark, d):
+    return flows.convergence(flows.young(events(spark, d), facts_of(spark, d), "recipient", 7 * 86_400), None, 86_400, 3).select("recipient", "ts", F.col("senders").cast("long").alias("senders"))
+
+
 QUERIES: dict[str, Query] = {
     "override_rule": partial(rule, "INJ-002"), "replication_rule": partial(rule, "INJ-001"), "exfil_rule": partial(rule, "INJ-003"),
     "zero_width_rule": partial(rule, "INJ-005"), "tag_block_rule": partial(rule, "INJ-006"), "concealment_rule": partial(rule, "INJ-007"), "role_prefix_rule": partial(rule, "INJ-008"),
@@ -244,4 +326,5 @@ QUERIES: dict[str, Query] = {
     truncation_status, hidden_comment_pages, entropy_features, gate_reasons, code_heuristic, fanout_burst, convergence, convergence_unrelated, sweep,
     fresh_approval, canary_contact, canary_quoted, cluster_same_digest, cluster_shared_refuse, invoice, amount_bands, nonce_replay, receipt_digest,
     caller_hashes, daily_cap, baseline_diff, session_attribution, capability_score, excised, cheapest_variant, transcript_findings,
+    quote_raw, quote_codes, quote_decision, quote_views, authorization_checks, payment_checks, mutation_survival, fanout_narrow, convergence_young,
 )}
