@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sentrel.llm import textkit
 from sentrel.llm.common import schema
 
-SPAN, GRAM, GROUP_BYTES, BUCKET_BYTES = 50, 16, 8 << 20, 16 << 20
+SPAN, GRAM, GROUP_BYTES, BUCKET_BYTES = 50, 16, 8 << 20, 8 << 20
 #: Documents of a leader from which its strings are dealt one by one.
 HOT = 2048
 #: Bytes of contexts sorted at a time in step 3, in whole groups of a leader.
