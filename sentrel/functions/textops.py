@@ -68,8 +68,10 @@ def line_of(text: Column, start: Column) -> Column:
 
 
 def excerpt(text: Column, start: Column) -> Column:
+    """36 characters before a start to 110 after it on one line; dots where the text goes on."""
     left = F.greatest(start - 36, F.lit(0))
-    return F.trim(F.regexp_replace(F.substring(text, left + 1, start + 110 - left), "[ \\t\\n\\r]+", " "))
+    inner = F.trim(F.regexp_replace(F.substring(text, left + 1, start + 110 - left), "\\s+", " "))
+    return F.concat(F.when(left > 0, "...").otherwise(""), inner, F.when(start + 110 < F.length(text), "...").otherwise(""))
 
 
 def entropy(text: Column) -> Column:

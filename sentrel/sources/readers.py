@@ -70,21 +70,6 @@ def transcripts(spark: SparkSession, path: str, lines: int | None = None) -> Dat
     return b.select("path", "line", "type", "ts", kind.alias("channel"), F.try_variant_get("b", "$.name", "string").alias("tool"), text.alias("text")).where("text is not null")
 
 
-def posture(settings: DataFrame) -> DataFrame:
-    """path, code, severity of agent settings (path, text): unreadable, wildcard shell, outbound commands, no deny list,
-    commands that run by themselves and fetch what they run."""
-    s = settings.select("path", F.try_parse_json("text").alias("v"))
-    allow = F.coalesce(F.try_variant_get("v", "$.permissions.allow", "array<string>"), F.array().cast("array<string>"))
-    deny = F.coalesce(F.try_variant_get("v", "$.permissions.deny", "array<string>"), F.array().cast("array<string>"))
-    wild = F.exists(allow, lambda a: a.rlike(r"^Bash(\(\*?\)|\(\*:\*\))?$"))
-    out = F.exists(allow, lambda a: a.rlike(r"(curl|wget|nc|scp|ssh)"))
-    hooks = F.coalesce(F.to_json(F.try_variant_get("v", "$.hooks", "variant")), F.lit(""))
-    fetch = hooks.rlike(r"(curl|wget)[^\"]*\|[^\"]*(sh|bash|python)")
-    codes = [(F.col("v").isNull(), "SET-000", "info"), (wild, "SET-001", "critical"), (out & ~wild, "SET-002", "medium"), (F.col("v").isNotNull() & (F.size(deny) == 0), "SET-003", "low"), (fetch, "AUTO-001", "critical")]
-    found = F.filter(F.array(*[F.when(c, F.struct(F.lit(i).alias("code"), F.lit(sev).alias("severity"))) for c, i, sev in codes]), lambda x: x.isNotNull())
-    return s.select("path", F.explode(found).alias("f")).select("path", "f.*")
-
-
 def tools(configs: DataFrame) -> DataFrame:
     """server, tool, description, sha256 of tool definitions in configs (path, text)."""
     servers = F.try_variant_get(F.try_parse_json("text"), "$.mcpServers", "map<string,variant>")

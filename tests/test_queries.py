@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from sentrel.oracle import SQL
-from sentrel.queries import QUERIES
+from sentrel import host_queries, oracle, queries
+
+QUERIES, SQL = queries.QUERIES | host_queries.QUERIES, oracle.SQL | host_queries.SQL
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -89,7 +90,6 @@ def test_readers(spark, tmp_path):
     log.write_text('{"type":"user","message":{"content":[{"type":"tool_result","content":[{"type":"text","text":"r1"}]},{"type":"tool_use","name":"Task","input":{"prompt":"p"}}]}}\n\nbad\n{"type":"user","message":{"content":"plain"}}\n')
     assert sorted(r.text for r in readers.transcripts(spark, str(log)).collect()) == ["p", "plain", "r1"]
     conf = spark.createDataFrame([("x", '{"permissions":{"allow":["Bash(*)"]}}'), ("y", "oops"), ("z", '{"permissions":{"allow":["Bash(curl:*)"],"deny":["a"]},"mcpServers":{"m":{"tools":[{"name":"t","description":"d"}]}}}')], "path string, text string")
-    assert sorted((r.path, r.code) for r in readers.posture(conf).collect()) == [("x", "SET-001"), ("x", "SET-003"), ("y", "SET-000"), ("z", "SET-002")]
     assert [(r.server, r.tool) for r in readers.tools(conf).collect()] == [("m", "t")]
     found = spark.createDataFrame([("p", "INJ-001", "critical", 3)], "path string, rule_id string, severity string, line long")
     more = spark.createDataFrame([("q", "INJ-009", "low", 1), ("q", "INJ-008", "medium", 2)], found.schema)
