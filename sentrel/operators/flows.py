@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sentrel.operators.windows import moving_counts
+
 
 def narrow(transfers: DataFrame, facts: DataFrame, most: int = 3) -> DataFrame:
     """Transfers of senders with a known past (facts: address, counterparties) of at most `most` counterparties; a sender
@@ -25,9 +27,8 @@ def young(transfers: DataFrame, facts: DataFrame, column: str, seconds: int) ->
 def fan_out(transfers: DataFrame, seconds: int = 600, least: int = 10) -> DataFrame:
     """sender, ts, recipients: each sender's first transfer whose trailing window has `least` different recipients. Take
     narrow() transfers for senders with a narrow past only."""
-    trail = W.partitionBy("sender").orderBy("ts").rangeBetween(-seconds, 0)
-    n = F.size(F.array_except(F.collect_set("recipient").over(trail), F.array("sender")))
-    fired = transfers.withColumn("recipients", n).where(F.col("recipients") >= least)
+    counts = moving_counts(transfers.where("recipient <> sender"), ["sender"], "recipient", seconds, 0)
+    fired = counts.withColumnRenamed("different", "recipients").where(F.col("recipients") >= least)
     return fired.groupBy("sender").agg(F.min(F.struct("ts", "recipients")).alias("f")).select("sender", "f.*")
 
 
@@ -57,16 +58,18 @@ def fresh_approval(approvals: DataFrame, facts: DataFrame, least: float, seconds
 def convergence(transfers: DataFrame, prior: DataFrame | None = None, seconds: int = 3600, least: int = 5) -> DataFrame:
     """recipient, ts, senders: each recipient's first window with `least` different senders. With prior pairs (a, b),
     senders count only if a fold in ascending order finds them unrelated to those already taken."""
-    trail = W.partitionBy("recipient").orderBy("ts").rangeBetween(-seconds, 0)
-    known = F.array_except(F.array_sort(F.collect_set("sender").over(trail)), F.array("recipient"))
-    rows = transfers.withColumn("who", known)
+    counts = moving_counts(transfers.where("recipient <> sender"), ["recipient"], "sender", seconds, 0).where(F.col("different") >= least)
+    fired = counts.select("recipient", "ts", F.col("different").alias("senders"))
     if prior is not None:
+        trail = W.partitionBy("recipient").orderBy("ts").rangeBetween(-seconds, 0)
+        busy = transfers.join(counts.select("recipient").distinct(), "recipient", "left_semi")
+        known = F.array_except(F.array_sort(F.collect_set("sender").over(trail)), F.array("recipient"))
+        rows = busy.withColumn("who", known)
         friends = prior.select("a", "b").unionByName(prior.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("related"))
         rows = rows.where(F.size("who") >= least).select("recipient", "ts", F.explode("who").alias("a"))
         rows = rows.join(friends, "a", "left").groupBy("recipient", "ts").agg(F.array_sort(F.collect_list(F.struct("a", F.coalesce("related", F.array().cast(friends.schema["related"].dataType)).alias("related")))).alias("w"))
         taken = F.aggregate("w", F.array().cast("array<long>"), lambda s, x: F.when(F.arrays_overlap(s, x["related"].cast("array<long>")), s).otherwise(F.concat(s, F.array(x["a"].cast("long")))))
-        rows = rows.withColumn("who", taken)
-    fired = rows.withColumn("senders", F.size("who")).where(F.col("senders") >= least)
+        fired = rows.withColumn("senders", F.size(taken)).where(F.col("senders") >= least)
     return fired.groupBy("recipient").agg(F.min(F.struct("ts", "senders")).alias("f")).select("recipient", "f.*")
 
 

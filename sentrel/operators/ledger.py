@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sentrel.operators.windows import moving_counts
+
 
 def bursts(events: DataFrame, key: list[str], seconds: int, least: int) -> DataFrame:
     """key, ts, callers, n: per key the fullest forward window with `least` different callers; ties go to the earliest."""
-    ahead = W.partitionBy(*key).orderBy("ts").rangeBetween(0, seconds)
-    seen = events.select(*key, "ts", F.size(F.collect_set("caller").over(ahead)).alias("callers"), F.count("*").over(ahead).alias("n"))
+    seen = moving_counts(events, key, "caller", 0, seconds).withColumnRenamed("different", "callers")
     best = seen.where(F.col("callers") >= least).groupBy(*key).agg(F.min(F.struct((-F.col("n")).alias("o"), "ts", "callers", "n")).alias("b"))
     return best.select(*key, "b.ts", "b.callers", "b.n")
 
