@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel import lexicon as L
+from sentrel.functions import decode
 from sentrel.operators import host
 from sentrel.operators.rules import findings, scan
 from sentrel.oracle import AT, EVENTS, FOUND, has
@@ -104,7 +105,14 @@ def header_decisions(spark, d):
     return table(spark, d, "orders").select("o_orderkey", host.header_decision(host.header(value)).alias("decision"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (host_findings, host_radius, always_applied, handoff_findings, snapshot_findings, tool_answers, capture_entries, capture_summary, carrier_rollup, header_decisions)}
+def carried_messages(spark, d):
+    """Documents as carried hex data: plain, with zeros at the end, with an odd digit, and with a byte that is no UTF-8."""
+    tail = pick(["", "00000000", "0", "ff"], F.col("doc_id"))
+    data = F.concat(F.lit("0x"), F.lower(F.hex(F.encode("text", "UTF-8"))), tail)
+    return table(spark, d, "documents").select("doc_id", F.sha2(decode.calldata(data), 256).alias("sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (host_findings, host_radius, always_applied, handoff_findings, snapshot_findings, tool_answers, capture_entries, capture_summary, carrier_rollup, header_decisions, carried_messages)}
 
 SETTINGS = """h AS (SELECT c_custkey AS k, c_custkey % 17 = 0 OR c_custkey % 19 = 0 OR c_custkey % 29 = 0 AS bad FROM customer),
 a AS (SELECT k, CASE WHEN k % 6 IN (0, 4) THEN 'AUTO-001' WHEN k % 6 = 1 THEN 'AUTO-002' WHEN k % 6 = 2 THEN 'AUTO-003' END AS code FROM h WHERE NOT bad AND k % 4 = 0 UNION ALL SELECT k, 'AUTO-003' FROM h WHERE NOT bad AND k % 23 = 0),
@@ -135,5 +143,6 @@ SQL: dict[str, str] = {
  k AS (SELECT kind, name, count(*) AS n FROM l GROUP BY ALL) SELECT * FROM k QUALIFY kind <> 'target' OR row_number() OVER (PARTITION BY kind ORDER BY n DESC, name) <= 10""",
     "carrier_rollup": FOUND + """, r AS (SELECT lang, count(*) AS signatures, count(*) FILTER (doc_id % 3 <> 0 AND body IS NOT NULL) AS memos, count(*) FILTER (doc_id % 3 <> 0 AND body IS NOT NULL AND doc_id IN (SELECT doc_id FROM f)) AS flagged FROM c GROUP BY 1)
  SELECT *, coalesce(round(memos * 100.0 / signatures, 4), 0)::DOUBLE AS memo_percent, CASE WHEN memos = 0 THEN 0 ELSE round(flagged * 100.0 / memos, 6) END::DOUBLE AS flagged_percent FROM r""",
+    "carried_messages": "SELECT doc_id, CASE WHEN doc_id % 4 < 2 AND length(trim(text, e' \\t\\n\\r\\x0b\\x0c')) >= 24 THEN sha256(trim(text, e' \\t\\n\\r\\x0b\\x0c')) END AS sha256 FROM documents",
     "header_decisions": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 6 >= 4 THEN 'abstain:unreadable' WHEN o_orderkey % 6 = 3 THEN 'abstain:no scheme' WHEN o_orderkey % 6 = 2 THEN 'abstain:scheme' ELSE 'check' END AS decision FROM orders",
 }

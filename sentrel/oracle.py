@@ -137,6 +137,8 @@ SQL: dict[str, str] = {
     "rule_cooccurrence": FOUND + "SELECT x.rule_id AS a, y.rule_id AS b, count(*) AS n FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.rule_id < y.rule_id GROUP BY ALL ORDER BY n DESC, a, b LIMIT 8",
     "base_rate": FOUND + "SELECT (SELECT count(*) FROM c) AS carriers, count(DISTINCT doc_id) AS hits, round(100.0 * count(DISTINCT doc_id) / (SELECT count(*) FROM c), 6) AS pct FROM f",
     "label_confusion": FOUND + ", h AS (SELECT malicious, doc_id IN (SELECT doc_id FROM f) AS hit FROM c) SELECT count(*) FILTER (malicious AND hit) AS tp, count(*) FILTER (malicious AND NOT hit) AS fn, count(*) FILTER (NOT malicious AND hit) AS fp, count(*) FILTER (NOT malicious AND NOT hit) AS tn FROM h",
+    "confusion_by_label": FOUND + """, b AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1), h AS (SELECT quality, toxic, malicious, c.doc_id IN (SELECT doc_id FROM f) AS hit FROM c LEFT JOIN b ON b.doc_id = c.doc_id)
+ SELECT quality, toxic, count(*) FILTER (malicious AND hit) AS tp, count(*) FILTER (malicious AND NOT hit) AS fn, count(*) FILTER (NOT malicious AND hit) AS fp, count(*) FILTER (NOT malicious AND NOT hit) AS tn FROM h GROUP BY ALL""",
     "suppression_audit": f'''WITH {CARRIERS}, o AS (SELECT *, ({AT['INJ-002']})::BIGINT AS pos FROM c) SELECT doc_id, 'INJ-002' AS rule_id FROM o WHERE pos IS NOT NULL AND {ALLOWED}''',
     "alert_load": FOUND + "SELECT rule_id, count(*) AS n, round(count(*) * 250000.0 / (SELECT count(*) FROM c), 1) AS per_day FROM f GROUP BY rule_id",
     "safe_projection": FOUND + "SELECT rule_id, severity, line, sha256(body) AS content_hash, sha256(doc_id::VARCHAR) AS path_hash FROM f WHERE rule_id <> 'INJ-003'",

@@ -68,6 +68,14 @@ def label_confusion(spark, d):
     return scanned(spark, d).agg(F.count_if(m & hit).alias("tp"), F.count_if(m & ~hit).alias("fn"), F.count_if(~m & hit).alias("fp"), F.count_if(~m & ~hit).alias("tn"))
 
 
+def confusion_by_label(spark, d):
+    """The confusion of findings with planted payloads, by the labels of the documents; a document's largest labels hold."""
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    hit, m = F.size("findings") > 0, F.col("malicious")
+    flags = scanned(spark, d).select("doc_id", "malicious", "findings").join(labels, "doc_id", "left")
+    return flags.groupBy("quality", "toxic").agg(F.count_if(m & hit).alias("tp"), F.count_if(m & ~hit).alias("fn"), F.count_if(~m & hit).alias("fp"), F.count_if(~m & ~hit).alias("tn"))
+
+
 def suppression_audit(spark, d):
     return scanned(spark, d).where(F.size("suppressed") > 0).select("doc_id", F.explode("suppressed").alias("rule_id"))
 
@@ -322,7 +330,7 @@ QUERIES: dict[str, Query] = {
     "override_rule": partial(rule, "INJ-002"), "replication_rule": partial(rule, "INJ-001"), "exfil_rule": partial(rule, "INJ-003"),
     "zero_width_rule": partial(rule, "INJ-005"), "tag_block_rule": partial(rule, "INJ-006"), "concealment_rule": partial(rule, "INJ-007"), "role_prefix_rule": partial(rule, "INJ-008"),
 } | {f.__name__: f for f in (
-    override_by_lang, findings_by_rule, rule_cooccurrence, silent_rules, base_rate, label_confusion, suppression_audit, alert_load, safe_projection,
+    override_by_lang, findings_by_rule, rule_cooccurrence, silent_rules, base_rate, label_confusion, confusion_by_label, suppression_audit, alert_load, safe_projection,
     truncation_status, hidden_comment_pages, entropy_features, gate_reasons, code_heuristic, fanout_burst, convergence, convergence_unrelated, sweep,
     fresh_approval, canary_contact, canary_quoted, cluster_same_digest, cluster_shared_refuse, invoice, amount_bands, nonce_replay, receipt_digest,
     caller_hashes, daily_cap, baseline_diff, session_attribution, capability_score, excised, cheapest_variant, transcript_findings,
