@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sentrel.llm.decontamination import op7_decontaminate
+from sentrel.llm.hard_negatives import op12_hard_negatives
 from sentrel.llm.mixing import op1_mix_sources
 from sentrel.llm.near_dedup import op8_minhash_dedup
 from sentrel.llm.pii import op2_pii
 from sentrel.llm.quality import op6_quality_classifier
+from sentrel.llm.scoring import op13_lm_scoring
 from sentrel.llm.substring_dedup import op5_substring_dedup
 from sentrel.llm.token_counts import op10_token_counts
 from sentrel.llm.token_store import op9_token_store
 from sentrel.llm.url_filter import op4_url_filter
+from sentrel.llm.vector_codes import op11_vector_codes
 from sentrel.llm.vector_dedup import op3_vector_dedup
 
 
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_token_store": op9_token_store,
         "op10_token_counts": op10_token_counts,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_lm_scoring": op13_lm_scoring,
     }
 
 
@@ -37,8 +43,37 @@ _CLOSURE = """near(a, b) AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
  reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
  root AS (SELECT a, least(a, min(b)) AS component_id FROM reach GROUP BY a)"""
 
-#: Plain statements of the contracts: all pairs, all shingles, all 50-byte strings.
+
+
+def _rounds(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Lloyd rounds as one pair of common tables each: all distances to all entries, then floors of means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (SELECT id, p, any_value(x) AS x, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), k := k)) AS b
+  FROM part JOIN book{i} USING (p) GROUP BY id, p)""")
+        if i < rounds:
+            steps.append(f"""sum{i} AS (SELECT p, b.k AS k, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM near{i}, unnest(range(1, len(x) + 1)) AS u(j) GROUP BY ALL),
+ mean{i} AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM sum{i} GROUP BY p, k),
+ book{i + 1} AS MATERIALIZED (SELECT p, k, coalesce(m, c) AS c FROM book{i} LEFT JOIN mean{i} USING (p, k))""")
+    return f"""ok AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ part AS MATERIALIZED (SELECT id, p, q[p * (len(q) // {parts}) + 1:(p + 1) * (len(q) // {parts})] AS x FROM ok, unnest(range({parts})) AS u(p)),
+ seeds AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM ok QUALIFY k < {entries}),
+ book0 AS (SELECT p, k, x AS c FROM part JOIN seeds USING (id)), {", ".join(steps)},
+ coded AS (SELECT id, string_agg(printf('%02x', b.k::INT), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM near{rounds} GROUP BY id),
+ name AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, k, j)) AS h FROM (SELECT p, k, unnest(c) AS v, unnest(range(len(c))) AS j FROM book{rounds}))
+ SELECT id AS vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM coded JOIN ok USING (id), name"""
+
+
+#: Plain statements of the contracts: all pairs, all shingles, all 50-byte strings, all distances.
 SQL = {
+    "op11_vector_codes": f"WITH {_rounds()}",
+    "op12_hard_negatives": """WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS s FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ pos AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+ SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b))::INT AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+ FROM pos p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND 100 * n.s <= 100 * p.s QUALIFY rank <= 5""",
     "op3_vector_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
  ok AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
   WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
