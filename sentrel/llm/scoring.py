@@ -12,7 +12,8 @@ unigram score.
    times: each task trains numpy copies of the model on its own documents by noise-contrastive estimation (NOISE classes
    drawn from the unigram distribution for each step), and rows are averaged by how often a task touched them. The driver
    gets one row for each class.
-4. Scoring takes matrix products of many positions with all classes and normalises each row exactly.
+4. Scoring takes matrix products of many contexts with all classes and normalises each row exactly; equal contexts of a
+   task share a row.
 
 Words are runs other than the six ASCII white-space characters, A-Z folded; each document ends in one end token. Null is
 empty: only the end token. A document without id counts as id '' and is trained on. Rows that repeat count each time.
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 from sentrel.llm.common import forget, schema, settle, short_batches
 
 HEAD, LONGEST = 1 << 16, 64
-CLASSES, WIDTH, ORDER = 8, 16, 3
-ROUNDS, NOISE, STEP, RATE = 2, 64, 512, 0.3
+CLASSES, WIDTH, ORDER = 8, 16, 2
+ROUNDS, NOISE, STEP, RATE = 1, 32, 1024, 0.5
 #: Words that a task counts before it hands them on, and positions of one product.
-FLUSH, CHUNK = 400_000, 2048
+FLUSH, CHUNK = 400_000, 512
+#: Contexts whose normalisers a task keeps; with more possible ones, each batch takes those of its own different contexts.
+KEPT = 1 << 24
 END = b"\n"
 
 
@@ -256,15 +259,35 @@ def trained(ids: DataFrame, model: Model, mass: np.ndarray, turn: int) -> Model:
     return out
 
 
-def log_shares(model: Model, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log10 probability of each target class, normalised over all classes."""
-    out = np.empty(len(target))
-    for i in range(0, len(target), CHUNK):
-        s = model.predicted(before[i : i + CHUNK]) @ model.outputs.T + model.bias
-        s -= s.max(1, keepdims=True)
-        own = s[np.arange(len(s)), target[i : i + CHUNK]].astype(float)
-        out[i : i + CHUNK] = own - np.log(np.exp(s, out=s).sum(1, dtype=float))
-    return out / math.log(10)
+class Normalised:
+    """log10 probabilities of classes after contexts, normalised over all classes. A context's normaliser is a row of a
+    product of many different contexts with all classes; positions that share a context share it."""
+
+    def __init__(self, model: Model):
+        self.m, self.base, order = model, len(model.outputs) + 1, len(model.place)
+        self.powers = self.base ** np.arange(order, dtype=np.int64)
+        self.kept = np.full(self.base**order, np.nan) if self.base**order <= KEPT else None
+
+    def normalisers(self, codes: np.ndarray) -> np.ndarray:
+        out = np.empty(len(codes))
+        for i in range(0, len(codes), CHUNK):
+            before = codes[i : i + CHUNK, None] // self.powers % self.base
+            s = self.m.predicted(before) @ self.m.outputs.T + self.m.bias
+            top = s.max(1, keepdims=True)
+            out[i : i + CHUNK] = top[:, 0] + np.log(np.exp(s - top).sum(1, dtype=float))
+        return out
+
+    def logs(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
+        codes = before.astype(np.int64) @ self.powers
+        if self.kept is not None:
+            new = np.unique(codes[np.isnan(self.kept[codes])])
+            self.kept[new] = self.normalisers(new)
+            norm = self.kept[codes]
+        else:
+            each, at = np.unique(codes, return_inverse=True)
+            norm = self.normalisers(each)[at]
+        own = (self.m.predicted(before) * self.m.outputs[target]).sum(1, dtype=float) + self.m.bias[target]
+        return (own - norm) / math.log(10)
 
 
 def class_scores(rows: DataFrame, model: Model) -> DataFrame:
@@ -272,11 +295,12 @@ def class_scores(rows: DataFrame, model: Model) -> DataFrame:
     order = len(model.place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = Normalised(model)
         for batch in batches:
             found = []
             for i in range(0, len(batch), 64):
                 target, before, first = positions(batch.column(0).slice(i, 64), len(model.outputs), order)
-                found.append(np.add.reduceat(log_shares(model, before, target), first))
+                found.append(np.add.reduceat(normal.logs(before, target), first))
             columns = [*batch.columns[1:], pa.array(np.concatenate(found) if found else np.zeros(0))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], "class_score"])
 

@@ -172,15 +172,16 @@ def test_base_scores(spark, prose, head):
     c = collections.Counter(w for i, t in rows if not left_out(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), left_out(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 5)) for i, t in rows)
-    got = text_scores(prose, held_out_by("doc_id"), head=head).collect()
+    got = text_scores(prose, held_out_by("doc_id"), head=head, rounds=8 if head > 1000 else 1).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
     assert all(r.score < 0 for r in got)
-    if head > 1:  # the context tells the two languages apart
+    if head > 1000:  # the context tells the two languages apart
         held = [r for r in got if r.held_out and 5 < r.n_tokens < 200]
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_sum_to_one(spark, prose):
+@pytest.mark.parametrize("kept", [True, False])
+def test_probabilities_sum_to_one(spark, prose, kept):
     from sentrel.llm import scoring as S
 
     docs = prose.select("doc_id", S.held_out_by("doc_id").alias("held_out"), "text")
@@ -190,9 +191,12 @@ def test_probabilities_sum_to_one(spark, prose):
     model = S.trained(rows.where(~F.col("held_out")).select("ids"), S.start(known.mass), known.mass, 0)
     r = np.random.default_rng(1)
     before = r.integers(0, len(known.mass) + 1, (5, S.ORDER))
+    normal = S.Normalised(model)
+    if not kept:
+        normal.kept = None
     for h in before:
         classes = np.arange(len(known.mass))
-        share = 10 ** S.log_shares(model, np.repeat(h[None], len(classes), 0), classes)
+        share = 10 ** normal.logs(np.repeat(h[None], len(classes), 0), classes)
         assert abs(share.sum() - 1) < 1e-5
         head = (share[known.class_of] * 10**known.share).sum()
         rest = {x.word: x.n for x in counts.collect() if bytes(x.word) not in known.head}
@@ -206,7 +210,7 @@ def test_gradients():
 
     mass = np.array([50.0, 30, 20, 5, 5])
     model = S.start(mass, 4)
-    target, before = np.array([1, 2, 0, 1]), np.array([[0, 5, 5], [1, 0, 5], [2, 1, 0], [3, 3, 4]])
+    target, before = np.array([1, 2, 0, 1]), np.array([[0, 5], [1, 0], [2, 1], [3, 4]])
     p = (mass + 1) / (mass + 1).sum()
     t = S.Trainer(model.copy(), p, 3)
     drawn = np.minimum(np.searchsorted(t.sums, np.random.Generator(np.random.PCG64(3)).random(S.NOISE) * t.sums[-1], side="right"), 4)
@@ -237,4 +241,4 @@ def test_scores_of_odd_tables(spark, prose):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert text_scores(empty, F.lit(False)).count() == 0
     unlearnt = text_scores(prose.where("doc_id < 5"), F.lit(True)).collect()
-    assert all((r.base_score, r.score, r.n_known, r.train_tokens) == (0, 0, 0, 0) for r in unlearnt) and len(unlearnt) == 6
+    assert all((r.base_score, r.n_known, r.train_tokens) == (0, 0, 0) and abs(r.score) < 1e-5 for r in unlearnt) and len(unlearnt) == 6
