@@ -1,8 +1,9 @@
 """Scores of texts by a log-bilinear model of word classes, trained by noise-contrastive estimation, beside a smoothed
 unigram score.
 
-1. Words are counted over all training documents, one row for each word of a task, merged by a shuffle. The HEAD most
-   frequent words (of at most LONGEST bytes each) are known to every task; all others are met by a join on the word.
+1. Words are counted over all training documents, one row for each word of a task, merged by a shuffle. The most frequent
+   words, at most HEAD (of at most LONGEST bytes each, equally frequent ones together), are known to every task; all others
+   are met by a join on the word.
 2. Classes follow frequency: CLASSES * N ** (1/4) of them for N training tokens; the most frequent words have one each,
    the rest of the head shares classes of equal mass, and one class holds all other words and what was never seen. So the
    model, like the counts, grows with the corpus. A word's probability is that of its class, given the classes of the
@@ -96,7 +97,15 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, head: int = HEAD) -> Lexicon:
     facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    rows = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(head).collect()  # at most HEAD words of LONGEST bytes
+    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("step", F.floor(F.log2("n") * 16))
+    steps, taken, least = short.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect(), 0, None  # a few hundred
+    for r in steps:
+        taken += r.words
+        if taken > head:
+            break
+        least = r.step
+    rows = [] if least is None else short.where(F.col("step") >= least).select("word", "n").collect()  # at most HEAD words of LONGEST bytes
+    rows.sort(key=lambda r: (-r.n, bytes(r.word)))
     words, n = [bytes(r.word) for r in rows], np.array([r.n for r in rows], np.int64)
     classes = max(1, min(len(words), int(CLASSES * max(facts.total, 1) ** 0.25)))
     single = min(len(words), classes * 3 // 4)
