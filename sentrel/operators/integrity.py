@@ -16,11 +16,29 @@ def drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return b.join(c, "key", "full").select("key", state.alias("state")).where("state is not null")
 
 
+def newest(sessions: DataFrame, k: int = 40, key: str = "actor") -> DataFrame:
+    """The k sessions of each key that end last (then start last); each task keeps its own k before the shuffle."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy(key).orderBy(F.desc("end"), F.desc("start"))
+    return sessions.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
+
+
 def attribute(changes: DataFrame, sessions: DataFrame, slack: int = 900) -> DataFrame:
-    """Each change (id, actor, ts) with the newest session (actor, day, start, end) whose span, widened by slack, holds it.
-    Sessions are joined by actor and day, and by the days next to it, so the range condition meets few rows."""
-    near = sessions.withColumn("d", F.explode(F.array(*[F.col("day") + i for i in (-1, 0, 1)])))
-    hit = changes.withColumn("d", F.floor(F.col("ts") / 86_400)).join(near, ["actor", "d"])
+    """Each change (id, actor, ts) with the newest session (actor, start, end) whose span, widened by slack, holds it.
+
+    A session stands in the one or two slices of time that it touches, in slices at least as long as itself, which double
+    from an hour on; a change looks into one slice of each length that occurs. So long sessions cost no more than short
+    ones, and the range condition meets few rows. Sessions that end before they start, and rows without actor or time,
+    meet nothing; a change in no session has nulls."""
+    wide = sessions.select("actor", "start", "end", (F.col("start") - slack).alias("__a"), (F.col("end") + slack).alias("__b")).where("__b >= __a")
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("__b") - F.col("__a") + 1) / 3600))).cast("int")
+    wide = wide.withColumn("__level", level)
+    floored = lambda c: F.expr(f"({c} - pmod({c}, 3600 * shiftleft(1L, __level))) div (3600 * shiftleft(1L, __level))")
+    levels = [r[0] for r in wide.select("__level").distinct().collect()]  # at most a few dozen lengths
+    near = wide.withColumn("__slice", F.explode(F.sequence(floored("__a"), floored("__b")))).drop("__a", "__b")
+    asked = changes.select("id", "actor", "ts", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("__level"))
+    hit = asked.withColumn("__slice", floored("ts")).join(near, ["actor", "__level", "__slice"])
     hit = hit.where((F.col("ts") >= F.col("start") - slack) & (F.col("ts") <= F.col("end") + slack))
     best = hit.groupBy("id").agg(F.max(F.struct("end", "start")).alias("s"))
     return changes.join(best, "id", "left").select("id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"))

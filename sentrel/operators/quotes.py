@@ -2,57 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel import lexicon as L
-from sentrel.functions import folds
+from sentrel.functions import folds, peel
 from sentrel.functions.textops import once, window, with_firsts
 from sentrel.operators.rules import comments, hostile_comment
 from sentrel.sources.sinks import rank
 
-DEPTH, LEAVES, FIELD = 12, 2000, 65_536
+DEPTH, FIELD = 12, 65_536
+#: Codes of phrases, which may be quoted; the others are about characters and fields.
+QUOTABLE = ("QTX-01", "QTX-02", "QTX-03", "QTX-04", "QTX-07", "QTX-08", "QTX-09")
+VIEWS = ["", "folded", "tags", "percent", "together"]
 #: Keys whose values are identifiers, not prose.
 IDENTIFIERS = ["scheme", "network", "asset", "payto", "amount", "nonce", "signature", "from", "to", "value", "version", "chainid", "salt", "decimals"]
 
 
-def leaves(quotes: DataFrame, key: str, body: str) -> DataFrame:
-    """key, path, text, complete: the string leaves of JSON texts. complete is false for a quote deeper than DEPTH or with
-    more than LEAVES leaves, whose other leaves are left out, and for a text that is no JSON, which is one leaf itself."""
-
-    def walk(value, path: str, depth: int, out: list) -> bool:
-        if len(out) >= LEAVES or depth > DEPTH:
-            return False
-        if isinstance(value, str):
-            out.append((path, value))
-        elif isinstance(value, dict):
-            return all([walk(v, f"{path}.{k}" if path else k, depth + 1, out) for k, v in value.items()])
-        elif isinstance(value, list):
-            return all([walk(v, f"{path}[{i}]", depth + 1, out) for i, v in enumerate(value)])
-        return True
-
-    def run(batches: Iterator) -> Iterator:
-        import json
-
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found: list = []
-                try:
-                    complete = walk(json.loads(t or ""), "", 0, found)
-                except (ValueError, RecursionError):
-                    found, complete = [("", t or "")], False
-                rows += [(k, p, v, complete) for p, v in found]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.string(), pa.string(), pa.bool_()))], [key, "path", "text", "complete"])
-
-    kind = quotes.schema[key].dataType.simpleString()
-    return quotes.select(key, body).mapInArrow(run, f"{key} {kind}, path string, text string, complete boolean")
+def leaves(quotes: DataFrame, key: str, body: str, depth: int = DEPTH) -> DataFrame:
+    """key, path, text, complete: the string leaves of JSON texts, whole. What stands deeper than `depth` levels is not read:
+    its container is a row with an empty text and complete false, and so is a text that is no JSON (null as empty), which
+    is one leaf itself. Empty strings, numbers, booleans and nulls are no leaves.
+
+    A level is one generator over the rows that are left; leaves found early are carried along."""
+    spark = quotes.sparkSession
+    df = quotes.select(F.col(key).alias("__key"), F.coalesce(F.col(body), F.lit("")).alias("__body")).withColumn("__v", F.try_parse_json("__body"))
+    df = df.select("__key", F.when(F.col("__v").isNull(), F.col("__body")).alias("__text"), "__v", F.lit("").alias("__path"), F.col("__v").isNull().alias("__done"))
+    for _ in range(depth):
+        inside = F.when(~F.col("__done"), F.col("__v"))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.when(F.col("__path") != "", ".").otherwise(""), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        below = df.withColumn("__in", inside).lateralJoin(spark.tvf.variant_explode_outer(F.col("__in").outer()))
+        child = F.col("pos").isNotNull()
+        df = below.select("__key", "__text", F.when(child, F.col("value")).otherwise(F.col("__v")).alias("__v"), F.when(child, F.concat("__path", step)).otherwise(F.col("__path")).alias("__path"), (F.col("__done") | ~child).alias("__done"))
+    kind = F.schema_of_variant("__v")
+    cut = ~F.col("__done") & kind.rlike("^(OBJECT|ARRAY)") & ~kind.isin("OBJECT<>", "ARRAY<VOID>")
+    found = df.withColumns({"__cut": F.coalesce(cut, F.lit(False)), "__leaf": F.when(kind == "STRING", F.try_variant_get("__v", "$", "string"))})
+    bare = F.col("__v").isNull()
+    kept = found.where(bare | F.col("__cut") | (F.col("__leaf") != ""))
+    return kept.select(F.col("__key").alias(key), F.col("__path").alias("path"), F.coalesce("__text", "__leaf", F.lit("")).alias("text"), (~bare & ~F.col("__cut")).alias("complete"))
 
 
 def sink(path: Column) -> Column:
@@ -68,19 +57,38 @@ def identifier(path: Column) -> Column:
 
 def views(fields: DataFrame) -> DataFrame:
     """Each field as it is, folded, with its tags spelled out, percent-decoded and with words put together; each text once.
-    Adds view (0 for the field as it is) and body."""
+    Adds view (0 for the field as it is), via (its name, empty for the field as it is) and body."""
     t = F.col("text")
     made = [t, folds.normalized(t), folds.hidden_tags(t), folds.percent(t), folds.together(folds.strip_wide(t))]
-    listed = F.array(*[F.struct(F.lit(i).alias("view"), m.alias("body")) for i, m in enumerate(made)])
-    fresh = F.aggregate(listed, F.array().cast("array<struct<view:int,body:string>>"), lambda a, x: F.when((x["body"] == "") & (x["view"] > 0) | F.exists(a, lambda y: y["body"] == x["body"]), a).otherwise(F.concat(a, F.array(x))))
+    listed = F.array(*[F.struct(F.lit(i).alias("view"), F.lit(VIEWS[i]).alias("via"), m.alias("body")) for i, m in enumerate(made)])
+    fresh = F.aggregate(listed, F.array().cast("array<struct<view:int,via:string,body:string>>"), lambda a, x: F.when((x["body"] == "") & (x["view"] > 0) | F.exists(a, lambda y: y["body"] == x["body"]), a).otherwise(F.concat(a, F.array(x))))
     return once(fields, "__v", fresh).select("*", F.explode("__v").alias("v")).select("*", "v.*").drop("__v", "v")
 
 
+def deep_views(fields: DataFrame) -> DataFrame:
+    """views() and the layers that decoding brings out of each of them; view of a layer is 100 times its depth above that
+    of the view it comes from, via the way to it. fields must differ in all columns but text, payees and hosts."""
+    flat = views(fields)
+    keys = [c for c in flat.columns if c not in ("text", "body")]
+    layers = peel.peeled(flat.withColumnRenamed("via", "__base"), [("__base" if c == "via" else c) for c in keys], "body")
+    named = layers.withColumns({"view": F.col("view") + 100 * F.col("depth"), "via": F.concat_ws("+", F.when(F.col("__base") != "", F.col("__base")), "via")})
+    return flat.drop("text").unionByName(named.select(*keys, "body"))
+
+
+def in_quotes(text: Column, at: Column) -> Column:
+    """Whether a place stands within quotation marks or code: among the 400 characters before it an odd number of a mark
+    that is its own end, or more curly openers than closers."""
+    left = F.greatest(at - 400, F.lit(0))
+    before = F.substring(text, left + 1, at - left)
+    n = lambda mark: F.length(before) - F.length(F.replace(before, F.lit(mark), F.lit("")))
+    return (n('"') % 2 == 1) | (n("'") % 2 == 1) | (n("`") % 2 == 1) | (n("\u201c") > n("\u201d"))
+
+
 def scan_views(fields: DataFrame) -> DataFrame:
     """Adds findings (code, severity, at) to rows of path, view, body, payees (addresses in lower case), hosts.
 
-    Commands to copy of which the seller speaks in the first person are none; harmless objects, descriptions and hosts that
-    cannot be told make a finding high in place of critical."""
+    Commands to copy of which the seller speaks in the first person are none; harmless objects, descriptions, places within
+    quotation marks and hosts that cannot be told make a finding high in place of critical."""
     df = fields.withColumn("__t", F.lower(F.substring(F.coalesce("body", F.lit("")), 1, FIELD)))
     near = lambda h, reach: window(h["near"], h["at"], h["at"] + h["e"] - h["p"], reach)
     foreign = lambda text: F.exists(F.regexp_extract_all(text, F.lit(L.ADDRESS), F.lit(0)), lambda a: ~F.array_contains("payees", a))
@@ -114,15 +122,16 @@ def scan_views(fields: DataFrame) -> DataFrame:
         ("QTX-07", F.coalesce(at("quiet"), at("still")), worse(at("quiet").isNull())), ("QTX-08", at("pay"), worse(sink(F.col("path")) == "error")), ("QTX-09", at("role"), worse(told("role"))),
         ("QTX-10", F.when(raw & (F.length("body") > FIELD), F.lit(FIELD)), F.lit("medium")), ("QTX-11", F.when(raw & identifier(F.col("path")) & ~F.col("body").rlike("^[A-Za-z0-9:._+/=-]{1,1024}$"), F.lit(0)), F.lit("high")),
     ]
-    made = [F.when(where.isNotNull(), F.struct(F.lit(c).alias("code"), severity.alias("severity"), where.alias("at"))) for c, where, severity in codes]
+    mild = lambda c, where, severity: F.when((severity == "critical") & in_quotes(t, where), "high").otherwise(severity) if c in QUOTABLE else severity
+    made = [F.when(where.isNotNull(), F.struct(F.lit(c).alias("code"), mild(c, where, severity).alias("severity"), where.alias("at"))) for c, where, severity in codes]
     return df.withColumn("findings", F.filter(F.array(*made), lambda f: f.isNotNull())).drop("__t", *firsts)
 
 
 def quote_findings(fields: DataFrame, *keys: str) -> DataFrame:
-    """One row per field and code over all views: keys, path, sink, code, severity, at, view of the first view that shows it."""
-    found = scan_views(views(fields)).select(*keys, "path", "view", F.explode("findings").alias("f"))
-    first = found.groupBy(*keys, "path", "f.code").agg(F.min(F.struct("view", "f.severity", "f.at")).alias("b"))
-    return first.select(*keys, "path", sink(F.col("path")).alias("sink"), "code", "b.severity", "b.at", "b.view")
+    """One row per field and code over all views: keys, path, sink, code, severity, at, view and via of the first view that shows it."""
+    found = scan_views(deep_views(fields)).select(*keys, "path", "view", "via", F.explode("findings").alias("f"))
+    first = found.groupBy(*keys, "path", "f.code").agg(F.min(F.struct("view", "via", "f.severity", "f.at")).alias("b"))
+    return first.select(*keys, "path", sink(F.col("path")).alias("sink"), "code", "b.severity", "b.at", "b.view", "b.via")
 
 
 def sorted_findings(found: DataFrame, *keys: str) -> DataFrame:

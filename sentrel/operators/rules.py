@@ -58,7 +58,9 @@ def scan(df: DataFrame, text: str, channel: str = "scan") -> DataFrame:
     at["INJ-008"] = F.when(~descriptive(t, at["INJ-008"]), at["INJ-008"])
     made = [F.when(at[r].isNotNull(), F.struct(F.lit(r).alias("rule_id"), F.lit(L.RULES[r][1]).alias("severity"), at[r].alias("at"))) for r in kept]
     df = df.select("*", F.explode(F.array(F.filter(F.array(*made), lambda f: f.isNotNull()))).alias("__f"))
-    full = lambda f: F.struct(f["rule_id"].alias("rule_id"), f["severity"].alias("severity"), f["at"].alias("at"), line_of(F.col("__cut"), f["at"]).alias("line"), excerpt(F.col("__cut"), f["at"]).alias("excerpt"))
+    # a match may begin with the line break before its first word
+    word = lambda at: at + F.when(F.substring(F.col("__cut"), at + 1, F.lit(1)) == "\n", 1).otherwise(0)
+    full = lambda f: F.struct(f["rule_id"].alias("rule_id"), f["severity"].alias("severity"), f["at"].alias("at"), line_of(F.col("__cut"), word(f["at"])).alias("line"), excerpt(F.col("__cut"), f["at"]).alias("excerpt"))
     lines = F.split(F.col(t), "\n")
 
     def allowed(f: Column) -> Column:

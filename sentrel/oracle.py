@@ -52,7 +52,7 @@ AT = {
 ALLOWED = "regexp_matches(t, 'scan-allow: *[a-z0-9, -]*inj-002[^\\n]*\\n[^\\n]*ignore')"
 ALL = ",\n".join(f'''a{r[-1]} AS (SELECT *, ({at})::BIGINT AS pos, '{r}' AS rule_id, '{L.RULES[r][1]}' AS severity FROM c)''' for r, at in AT.items())
 UNION = " UNION ALL ".join(f'SELECT doc_id, lang, malicious, body, t, pos, rule_id, severity FROM a{r[-1]}' for r in AT)
-FOUND = f"WITH {CARRIERS},\n{ALL},\nf AS (SELECT *, length(regexp_replace(substr(body, 1, pos), '[^\\n]', '', 'g')) + 1 AS line FROM ({UNION}) WHERE pos IS NOT NULL AND NOT (rule_id = 'INJ-002' AND {ALLOWED}))\n"
+FOUND = f"WITH {CARRIERS},\n{ALL},\nf AS (SELECT *, length(regexp_replace(substr(body, 1, pos + CASE WHEN substr(body, pos + 1, 1) = chr(10) THEN 1 ELSE 0 END), '[^\\n]', '', 'g')) + 1 AS line FROM ({UNION}) WHERE pos IS NOT NULL AND NOT (rule_id = 'INJ-002' AND {ALLOWED}))\n"
 
 EVENTS = "e AS (SELECT event_id AS tx, date_diff('second', TIMESTAMP '1970-01-01', ts) AS ts, user_id AS sender, (props->>'$.k')::BIGINT AS recipient, value AS amount, event_type AS kind FROM events)"
 
@@ -101,6 +101,17 @@ def place(text: str, pattern: str) -> str:
     return f"CASE WHEN regexp_matches({text}, '{pattern}') THEN length(string_split_regex({text}, '{pattern}')[1]) END"
 
 
+def quoted_place() -> str:
+    before = "substr(t, greatest(pos - 400, 0) + 1, pos - greatest(pos - 400, 0))"
+    n = lambda mark: f"(length({before}) - length(replace({before}, {q(mark)}, '')))"
+    return " OR ".join([f"{n(m)} % 2 = 1" for m in ('"', "'", "`")] + [f"{n('\u201c')} > {n('\u201d')}"])
+
+
+def demoted(code: str, severity: str) -> str:
+    """Severity in SQL: what stands within quotation marks is no more than high, where the rule is about phrases."""
+    return severity if code in ("QTX-05", "QTX-06", "QTX-10", "QTX-11") else f"CASE WHEN ({severity}) = 'critical' AND ({quoted_place()}) THEN 'high' ELSE {severity} END"
+
+
 #: code -> (place, severity) of the quote rules.
 QUOTE = {
     "QTX-01": (first(L.SELF_REFERENCE, f"{has(near(160), L.COPY_VERB)} AND {has(near(300), L.COPY_TARGET)} AND NOT {has(near(60), L.FIRST_PERSON)}"), f"CASE WHEN ({has(around(300), L.USER_OBJECT)} AND NOT {has(around(300), L.MESSAGE_NOUN)}) OR {said()} THEN 'high' ELSE 'critical' END"),
@@ -118,7 +129,7 @@ _PICK = lambda i, s=q: "[" + ", ".join(s(x[i]) for x in L.QUOTES) + f"][doc_id %
 QUOTED = f"""WITH k AS (SELECT doc_id, {_PICK(0)} AS path, CASE WHEN {_PICK(2, str)} THEN substr(text, 1, 200) || chr(10) || {_PICK(1)} || chr(10) || substr(text, 201) ELSE {_PICK(1)} END AS body,
   ['0x1111111111111111111111111111111111111111'] AS payees, CASE WHEN doc_id % 2 = 0 THEN ['shop.example.net'] ELSE []::VARCHAR[] END AS hosts, doc_id % 7 <> 0 AS complete FROM documents),
  c AS (SELECT *, lower(substr(body, 1, 65536)) AS t FROM k),
- f AS ({" UNION ALL ".join(f"SELECT doc_id, complete, '{c}' AS code, {sev} AS severity, pos FROM (SELECT *, ({at})::BIGINT AS pos FROM c) WHERE pos IS NOT NULL" for c, (at, sev) in QUOTE.items())})
+ f AS ({" UNION ALL ".join(f"SELECT doc_id, complete, '{c}' AS code, {demoted(c, sev)} AS severity, pos FROM (SELECT *, ({at})::BIGINT AS pos FROM c) WHERE pos IS NOT NULL" for c, (at, sev) in QUOTE.items())})
 """
 
 
@@ -166,7 +177,7 @@ SQL: dict[str, str] = {
     "nonce_replay": f"WITH {EVENTS} SELECT tx, row_number() OVER (PARTITION BY sender, recipient ORDER BY ts, tx) - 1 AS seen FROM e QUALIFY seen > 0",
     "receipt_digest": "SELECT o_orderkey, sha256('id=s' || o_orderkey || chr(10) || 'status=s' || o_orderstatus || chr(10) || 'customer=s' || o_custkey) AS digest FROM orders",
     "baseline_diff": "WITH b AS (SELECT doc_id AS key, sha256(text) AS h FROM documents WHERE doc_id % 13 <> 0), n AS (SELECT doc_id AS key, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) SELECT coalesce(b.key, n.key) AS key, CASE WHEN b.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'missing' ELSE 'changed' END AS state FROM b FULL JOIN n ON b.key = n.key WHERE b.h IS NULL OR n.h IS NULL OR b.h <> n.h",
-    "session_attribution": f"""WITH {EVENTS}, s AS (SELECT sender, ts // 86400 AS day, min(ts) AS st, max(ts) AS en FROM e WHERE kind IN ('view', 'click') GROUP BY ALL)
+    "session_attribution": f"""WITH {EVENTS}, s AS (SELECT * FROM (SELECT sender, floor(ts / 864000) AS span, min(ts) AS st, max(ts) AS en FROM e WHERE kind IN ('view', 'click') GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY sender ORDER BY en DESC, st DESC) <= 40)
  SELECT c.tx AS id, s.st AS session_start, s.en AS session_end FROM (SELECT * FROM e WHERE kind = 'error') c LEFT JOIN s ON s.sender = c.sender AND c.ts >= s.st - 900 AND c.ts <= s.en + 900 QUALIFY row_number() OVER (PARTITION BY c.tx ORDER BY s.en DESC NULLS LAST, s.st DESC) = 1""",
     "capability_score": f"""WITH {EVENTS}, k AS (SELECT sender, least(10, count(*) FILTER (kind = 'click')) AS a, least(10, count(*) FILTER (kind = 'error')) AS b, least(10, count(*) FILTER (kind = 'view')) AS c FROM e GROUP BY 1),
  s AS (SELECT sender, CASE WHEN least(a, b, c) < 3 THEN least(4, greatest(a, b, c)) ELSE round((a + b + c) / 3)::BIGINT END AS score FROM k)

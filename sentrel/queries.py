@@ -215,9 +215,10 @@ def baseline_diff(spark, d):
 
 
 def session_attribution(spark, d):
+    """Errors as changes, and spans of ten days of an actor as sessions, the newest 40 of each."""
     e = events(spark, d)
-    sessions = e.where("kind in ('view', 'click')").groupBy(F.col("sender").alias("actor"), F.floor(F.col("ts") / 86_400).alias("day")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
-    return integrity.attribute(e.where("kind = 'error'").select(F.col("tx").alias("id"), F.col("sender").alias("actor"), "ts"), sessions)
+    sessions = e.where("kind in ('view', 'click')").groupBy(F.col("sender").alias("actor"), F.floor(F.col("ts") / 864_000).alias("span")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    return integrity.attribute(e.where("kind = 'error'").select(F.col("tx").alias("id"), F.col("sender").alias("actor"), "ts"), integrity.newest(sessions, 40))
 
 
 def capability_score(spark, d):
