@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     labelled = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # at most SAMPLE ids
-    rows = settle(labelled.mapInArrow(measure, schema("doc_id long, y double, x array<double>")).coalesce(8), "labelled")
+    rows = settle(labelled.mapInArrow(measure, schema("doc_id long, y double, x array<double>")).repartition(8), "labelled")
     width = len(STATISTICS)
     stats = rows.agg(F.count("*"), *[F.avg(F.col("x")[i]) for i in range(width)], *[F.stddev_pop(F.col("x")[i]) for i in range(width)]).first()
     if not stats[0]:

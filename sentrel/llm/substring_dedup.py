@@ -156,7 +156,8 @@ def answered(hot: int):
         many = np.bincount(back, docs).astype(np.int64)[back] if len(lead) else np.zeros(0, np.int64)
         keep = many > 1
         key, columns = cut_rows(home[keep].astype(np.int64), [lead[keep], (many[keep] >= hot).astype(np.uint8)])
-        return pa.table([pa.array(key.astype(np.int32)), *columns], ["home", "lead", "hot"])
+        bucket = pa.array(np.full(len(key), table.column("bucket")[0].as_py(), np.int32))
+        return pa.table([pa.array(key.astype(np.int32)), bucket, *columns], ["home", "bucket", "lead", "hot"])
 
     return run
 
@@ -209,9 +210,12 @@ def sent(buckets: int):
         ids, data, offsets = opened(texts)
         first, last, lead, _ = contexts(data, offsets)
         wanted, hot = joined(answers, "lead", np.uint32), joined(answers, "hot", np.uint8)
+        # a bucket decides for all groups alike on a leader's upper half; leaders of two buckets may share that
+        own = np.repeat(answers.column("bucket").to_numpy(), [len(x) // 4 for x in answers.column("lead").to_pylist()])
+        wanted = wanted.astype(np.uint64) << np.uint64(32) | own.astype(np.uint64)
         order = np.argsort(wanted)
         wanted, hot = wanted[order], hot[order]
-        short = (lead >> np.uint64(32)).astype(np.uint32)
+        short = lead >> np.uint64(32) << np.uint64(32) | lead % np.uint64(buckets)
         at = np.minimum(np.searchsorted(wanted, short), max(0, len(wanted) - 1))
         found = wanted[at] == short if len(wanted) else np.zeros(len(short), bool)
         first, last, lead, dealt = first[found], last[found], lead[found], (hot[at[found]] > 0) if len(wanted) else np.zeros(0, bool)
@@ -444,7 +448,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = source.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(homes)).cast("int").alias("home"), "doc_id", "text")
     grouped = texts.groupBy("home")
     leads = grouped.applyInArrow(asked(buckets), schema("bucket int, home int, lead binary, docs binary"))
-    answers = leads.groupBy("bucket").applyInArrow(answered(hot), schema("home int, lead binary, hot binary"))
+    answers = leads.groupBy("bucket").applyInArrow(answered(hot), schema("home int, bucket int, lead binary, hot binary"))
     strings = grouped.cogroup(answers.groupBy("home")).applyInArrow(sent(buckets), schema(SENT))
     going = strings.groupBy("bucket").applyInArrow(settled, schema("home int, row binary, at binary, n binary"))
     return grouped.cogroup(going.groupBy("home")).applyInArrow(taken_out, schema(RESULT))

@@ -3,11 +3,11 @@
 Every url is split into host and path. Rules (host, path, verdict) fit their host and its subdomains when the path starts
 with theirs; the longest fitting rule decides, and its urls are the labels of the tree.
 
-The tree has, per host, up to DEPTH levels of path segments; numbers, dates, hex names and file endings after numbers are
+The tree has, per host, all levels of path segments; numbers, dates, hex names and file endings after numbers are
 variables from the start. Level by level a segment stays itself only if it is labelled while its siblings are not, or its
 block rate differs from theirs by more than Z standard errors; all others, being variable or statistically alike, are
-merged into one wildcard branch, however many or rare they are. Segments beyond DEPTH are one branch, /**. A
-template's purity is its block rate, smoothed by WEIGHT labels that allow; urls of templates with purity of at least
+merged into one wildcard branch, however many or rare they are. It goes on level by level while a template with
+labels holds more than one shape; what is left of such paths tells nothing apart and is wildcards. A template's purity is its block rate, smoothed by WEIGHT labels that allow; urls of templates with purity of at least
 REJECT are blocked, so nothing is blocked without labels of its own template.
 
 Null urls and urls without "://" have an empty host and path, fit no rule, and are judged by the template of the empty
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sentrel.llm.common import join_checked, settle
 
-DEPTH, Z, WEIGHT, REJECT = 12, 1.96, 4.0, 0.5
+Z, WEIGHT, REJECT = 1.96, 4.0, 0.5
 #: Fixed values of the contract: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -62,8 +62,11 @@ def typed_segments(path: Column) -> Column:
 def templates(shapes: DataFrame) -> DataFrame:
     """Template of each (host, segs), given its counts n, blocked, allowed."""
     now = settle(shapes.withColumn("template", F.lit("")), "shapes")
-    deepest = min(DEPTH, now.agg(F.max(F.size("segs"))).first()[0] or 0)
-    for level in range(deepest):
+    level = 0
+    while True:
+        alike = now.groupBy("host", "template").agg(F.max(F.size("segs")).alias("deep"), F.count("*").alias("shapes"), F.sum(F.col("blocked") + F.col("allowed")).alias("labels"))
+        if alike.where((F.col("deep") > level) & (F.col("shapes") > 1) & (F.col("labels") > 0)).isEmpty():
+            break
         seg = F.get("segs", F.lit(level))
         node = now.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")])
         node = settle(node, "nodes")
@@ -79,8 +82,8 @@ def templates(shapes: DataFrame) -> DataFrame:
         next_ = join_checked(now.withColumn("seg", seg), literal, ["host", "template", "seg"])
         shape = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("literal"), F.concat(F.lit("/"), F.col("seg"))).otherwise(F.lit("/*"))
         now = settle(next_.withColumn("template", F.concat("template", shape)).select("host", "segs", "n", "blocked", "allowed", "template"), "shapes")
-    deeper = F.when(F.size("segs") > DEPTH, F.lit("/**")).otherwise(F.lit(""))
-    return now.withColumn("template", F.concat("template", deeper))
+        level += 1
+    return now.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.greatest(F.size("segs") - level, F.lit(0)))))
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -98,7 +98,6 @@ def fit_cells(classes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
 def placed(classes: DataFrame, cells: dict, cosine: float) -> DataFrame:
     """Each class in its own cell (guest false) and in those that it visits; visits lists the latter."""
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) / 2 + 1e-9
-    gaps = {k: np.maximum(np.linalg.norm(c[:, None] - c[None], axis=2), 1e-12) for k, c in cells.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +107,8 @@ def placed(classes: DataFrame, cells: dict, cosine: float) -> DataFrame:
                 if (label, width) in cells:
                     dots = cells[label, width] @ np.frombuffer(unit, float)
                     home = int(np.argmax(dots))
-                    near = (dots[home] - dots) / gaps[label, width][home] <= reach
+                    gaps = np.maximum(np.linalg.norm(cells[label, width] - cells[label, width][home], axis=1), 1e-12)
+                    near = (dots[home] - dots) / gaps <= reach
                     near[home] = False
                     visits = np.flatnonzero(near).tolist()
                 for cell in [home, *visits]:
