@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from sentrel import lexicon as L
 from sentrel.functions.peel import BASE64, CODE, HEX, peeled
 from sentrel.operators.excision import excise_until_clean
+from sentrel.operators import host
 from sentrel.operators.quotes import DEPTH, leaves
-from sentrel.oracle import q
+from sentrel.operators.rules import scan
+from sentrel.oracle import FOUND, q
+from sentrel.plans.carriers import gate, seeded
 from sentrel.queries import armed_turns, events, table
 from sentrel.sources.quarantine import folded
 
@@ -75,7 +78,25 @@ def quarantine_states(spark, d):
     return folded(log).select("id", "captured_at", "restored", "restored_at")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (peeled_layers, json_leaves, excised_turns, quarantine_states)}
+def tool_drift(spark, d):
+    """Documents with payloads as descriptions of tools; by their numbers some are new, gone or changed since recorded."""
+    tools = seeded(spark, d).select(F.col("doc_id").alias("key"), F.col("body").alias("description"))
+    digest = lambda text: F.sha2(text, 256).alias("sha256")
+    now = tools.where("key % 17 <> 0").select("key", "description", digest(F.col("description")))
+    then = tools.where("key % 19 <> 0").select("key", digest(F.when(F.col("key") % 23 == 0, F.concat("description", F.lit(" v1"))).otherwise(F.col("description"))))
+    return host.tool_codes(then, now)
+
+
+def stage_counts(spark, d):
+    """Turns through the stages of the cascade, all counts in one pass: turns, those with text, those that the gate lets
+    through, those with findings, and the findings."""
+    turns = armed_turns(spark, d).withColumn("gate", gate(F.col("text")))
+    seen = scan(turns.withColumn("passed", F.when(F.col("gate.passed"), F.col("text"))), "passed", "memo")
+    n = lambda test: F.count_if(test)
+    return seen.agg(F.count("*").alias("turns"), n(F.length("text") > 0).alias("texts"), n(F.col("gate.passed")).alias("passed"), n(F.size("findings") > 0).alias("flagged"), F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("findings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (peeled_layers, json_leaves, excised_turns, quarantine_states, tool_drift, stage_counts)}
 
 _ENC = "[" + ", ".join(q(t) for t in ENCODED) + "]"
 _READ = """CASE WHEN length(b) >= 12 AND length(regexp_replace(b, '[^\\x20-\\x7E\\n\\t]', '', 'g')) > 0.9 * length(b) AND regexp_matches(b, '[ \\t\\n\\r]') AND regexp_matches(b, '[A-Za-z]{3}') THEN b END"""
@@ -103,6 +124,10 @@ SQL: dict[str, str] = {
  SELECT event_id, '' AS path, body AS text, false AS complete FROM b WHERE NOT json_valid(body)
  UNION ALL SELECT event_id, ltrim(k, '.') AS path, CASE WHEN type = 'VARCHAR' THEN atom ->> '$' ELSE '' END AS text, type = 'VARCHAR' AS complete FROM j
   WHERE (type = 'VARCHAR' AND (atom ->> '$') <> '' AND depth <= {DEPTH}) OR (depth = {DEPTH} AND type IN ('OBJECT', 'ARRAY') AND value::VARCHAR NOT IN ('{{}}', '[]'))""",
+    "tool_drift": FOUND + """, b AS (SELECT doc_id AS key, body || CASE WHEN doc_id % 23 = 0 THEN ' v1' ELSE '' END AS h FROM p WHERE doc_id % 19 <> 0), n AS (SELECT doc_id AS key, body AS h FROM p WHERE doc_id % 17 <> 0),
+ s AS (SELECT coalesce(b.key, n.key) AS key, CASE WHEN b.h IS NULL THEN '002' WHEN n.h IS NULL THEN '003' ELSE '001' END AS c FROM b FULL JOIN n ON b.key = n.key WHERE b.h IS DISTINCT FROM n.h)
+ SELECT key, 'TOOL-' || c AS code, CASE c WHEN '001' THEN 'high' WHEN '002' THEN 'medium' ELSE 'low' END AS severity FROM s
+ UNION ALL SELECT doc_id, 'TOOL-' || rule_id, severity FROM f WHERE doc_id % 17 <> 0""",
     "quarantine_states": """WITH e AS (SELECT user_id || '-' || (props ->> '$.k') AS id, event_type AS kind, floor(epoch(ts))::BIGINT AS t FROM events WHERE event_type IN ('view', 'error'))
  SELECT id, min(t) FILTER (WHERE kind = 'view') AS captured_at, count(*) FILTER (WHERE kind = 'error') > 0 AS restored, min(t) FILTER (WHERE kind = 'error') AS restored_at FROM e GROUP BY id HAVING count(*) FILTER (WHERE kind = 'view') > 0""",
 }

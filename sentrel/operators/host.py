@@ -14,9 +14,9 @@ from sentrel.operators.rules import findings, scan
 # Names and patterns of agent hosts.
 UNATTENDED = ["SessionStart", "SessionEnd", "PreCompact", "Notification", "Stop", "folderOpen"]
 INTERPRETERS = "node npx bun deno python python3 ruby perl php sh bash zsh osascript powershell pwsh".split()
-FETCHERS = ["curl", "wget", "iwr", "invoke-webrequest"]
+FETCHERS, RUNNERS = ["curl", "wget", "iwr"], ["sh", "bash", "node", "python", "python3"]
 EGRESS = "curl wget ssh scp rsync nc ncat telnet ftp".split()
-ODD_PATHS = [".github/", ".git/", "/tmp/", "appdata", "~/.config/", ".cache/"]
+ODD_PATHS = [".github/", ".git/", "/tmp/", "~/.config/", ".cache/"]
 INSTRUCTION_FILES = "AGENTS.md agents.md CLAUDE.md claude.md .cursorrules .windsurfrules .windsurf-rules GEMINI.md copilot-instructions.md".split()
 INSTRUCTION_DIRS = ["skills", ".claude", ".cursor", ".github", ".windsurf"]
 INBOUND = "Read WebFetch WebSearch Bash Glob Grep NotebookRead Task".split()
@@ -30,9 +30,6 @@ def word(*words: str) -> str:
 
 
 INTERPRETER = word(*INTERPRETERS)
-PIPED = f"(^|[^0-9a-z_])({'|'.join(FETCHERS)})([^0-9a-z_|;&][^|;&]*)?[|;&]"
-FETCHED = f"(^|[^0-9a-z_])(curl|wget)[^0-9a-z_\\n](.*[^0-9a-z_\\n])?(sh|bash|node|python3?)([^0-9a-z_]|$)"
-ODD = "|".join(p.replace(".", "[.]") for p in ODD_PATHS[:3]) + f"|{word('appdata')}|" + "|".join(p.replace(".", "[.]") for p in ODD_PATHS[4:])
 ANY_SHELL = "^bash$|^bash\\(\\s*\\*\\s*\\)$"
 SENDS = f"^bash\\(\\s*({'|'.join(EGRESS)})([^0-9a-z_]|$)"
 ALWAYS = "(^|\\n)\\s*alwaysApply:\\s*true\\s*(\\n|$)"
@@ -61,11 +58,46 @@ def commands(v: Column) -> Column:
     return F.filter(both, lambda c: c["command"] != "")
 
 
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[0-9a-z_]+"), F.lit(0))
+
+
+def any_word(text: Column, wanted: list[str]) -> Column:
+    return F.arrays_overlap(words(text), F.array(*[F.lit(w) for w in wanted]))
+
+
+def fetches(low: Column) -> Column:
+    """Whether a command (in lower case) hands on what it fetches: a fetching program stands before an operator, or curl or
+    wget stands before a program that runs scripts in the same line."""
+    plain = F.regexp_replace(low, "(^|[^0-9a-z_])invoke-webrequest", "$1iwr")
+    steps = F.split(plain, "[|;&]")
+    handed = F.exists(F.slice(steps, 1, F.size(steps) - 1), lambda step: any_word(step, FETCHERS))
+    places = lambda line, wanted: F.filter(F.transform(words(line), lambda w, i: F.when(w.isin(wanted), i)), lambda i: i.isNotNull())
+    run = F.exists(F.split(plain, "\n"), lambda line: F.coalesce(F.array_min(places(line, FETCHERS[:2])) < F.array_max(places(line, RUNNERS)), F.lit(False)))
+    return handed | run
+
+
+def odd_place(low: Column) -> Column:
+    """Whether a command (in lower case) names a folder that programs are not kept in."""
+    return F.exists(F.array(*[F.lit(p) for p in ODD_PATHS]), lambda p: F.contains(low, p)) | any_word(low, ["appdata"])
+
+
 def unattended(command: Column) -> Column:
     """AUTO-001 fetches and runs, AUTO-002 interpreter on an odd path, AUTO-003 interpreter; else null. The first holds."""
     low = F.lower(command)
-    runs = low.rlike(INTERPRETER)
-    return F.when(low.rlike(PIPED) | low.rlike(FETCHED), "AUTO-001").when(runs & low.rlike(ODD), "AUTO-002").when(runs, "AUTO-003")
+    runs = any_word(low, INTERPRETERS)
+    return F.when(fetches(low), "AUTO-001").when(runs & odd_place(low), "AUTO-002").when(runs, "AUTO-003")
+
+
+def tool_codes(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """key, code, severity of tools (key, description, sha256) against what was recorded (key, sha256): TOOL-001 changed, 002
+    not recorded, 003 no longer there, and what the content rules find in each current description, as TOOL- codes. One
+    full outer join and one scan of the descriptions; null descriptions hold nothing."""
+    state = drift(recorded.select("key", "sha256"), current.select("key", "sha256"))
+    code = F.when(F.col("state") == "changed", "TOOL-001").when(F.col("state") == "new", "TOOL-002").otherwise("TOOL-003")
+    worth = F.when(F.col("state") == "changed", "high").when(F.col("state") == "new", "medium").otherwise("low")
+    told = findings(scan(current.select("key", "description"), "description"), "key")
+    return state.select("key", code.alias("code"), worth.alias("severity")).unionByName(told.select("key", F.concat(F.lit("TOOL-"), "rule_id").alias("code"), "severity"))
 
 
 def settings(configs: DataFrame) -> DataFrame:
