@@ -55,15 +55,22 @@ def passive(text: Column) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, f"(?i){p[0]}\\b", p[1]), PASSIVE.items(), text)
 
 
-def mutations(payloads: DataFrame, key: str, text: str) -> DataFrame:
-    """key, tier, variant, text: TIERS variants of each payload."""
+#: Number of a tier's first variant among all variants.
+FIRST = {n: sum(list(TIERS.values())[:i]) for i, n in enumerate(TIERS)}
+
+
+def mutations(payloads: DataFrame, key: str, text: str, carried: tuple = (), chosen: Column | None = None) -> DataFrame:
+    """key, tier, variant, text and the carried columns: TIERS variants of each payload, or the one whose number (from 0,
+    over all tiers) is chosen."""
     t, salt = F.col(text), [F.col(key), F.col("tier"), F.col("variant")]
     tiers = F.array(*[F.struct(F.lit(n).alias("tier"), F.lit(k).alias("variant")) for n, count in TIERS.items() for k in range(count)])
-    rows = payloads.select(key, text, F.explode(tiers).alias("m")).select(key, text, "m.*")
+    if chosen is not None:
+        tiers = F.filter(tiers, lambda m: F.try_element_at(F.create_map(*[F.lit(x) for pair in FIRST.items() for x in pair]), m["tier"]) + m["variant"] == chosen)
+    rows = payloads.select(key, text, *carried, F.explode(tiers).alias("m")).select(key, text, *carried, "m.*")
     rows = once(rows, "reworded", synonyms(t, *salt))
     rows = once(rows, "mixed", filler(casing(F.col("reworded"), *salt), *salt))
     made = {"casing": casing(t, *salt), "filler": filler(t, *salt), "synonym": F.col("reworded"), "reorder": reorder(t), "synonym+filler": filler(F.col("reworded"), *salt), "passive": passive(t), "combined": reorder(F.col("mixed"))}
-    return rows.select(key, "tier", "variant", reduce(lambda other, m: F.when(F.col("tier") == m[0], m[1]).otherwise(other), made.items(), t).alias("text"))
+    return rows.select(key, "tier", "variant", *carried, reduce(lambda other, m: F.when(F.col("tier") == m[0], m[1]).otherwise(other), made.items(), t).alias("text"))
 
 
 def survival(found: DataFrame) -> DataFrame:

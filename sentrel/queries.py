@@ -303,9 +303,15 @@ def payment_checks(spark, d):
 
 
 def mutation_survival(spark, d):
-    """How many reworded payloads the rules still find, over all tiers; payloads are the attacks of the carriers."""
-    rows = spark.createDataFrame([(i, t) for i, (t, bad) in enumerate(L.PAYLOADS) if bad], "id long, text string")
-    return mutations.survival(scan(mutations.mutations(rows, "id", "text"), "text"))
+    """How many reworded payloads the rules still find in whole documents: an id picks one of the attacks and one variant of
+    all tiers, which stands behind the first 200 characters of the text."""
+    attacks, variants = [t for t, bad in L.PAYLOADS if bad], sum(mutations.TIERS.values())
+    pick = F.get(F.array(*[F.lit(t) for t in attacks]), F.pmod("doc_id", F.lit(len(attacks))).cast("int"))
+    docs = table(spark, d, "documents").select("doc_id", pick.alias("payload"), F.coalesce("text", F.lit("")).alias("whole"))
+    no = F.pmod(F.floor(F.col("doc_id") / len(attacks)), F.lit(variants))
+    made = mutations.mutations(docs, "doc_id", "payload", ("whole",), no)
+    body = F.concat(F.substring("whole", 1, 200), F.lit("\n"), "text", F.lit("\n"), F.substring("whole", 201, 1 << 30))
+    return mutations.survival(scan(made.select("doc_id", "tier", body.alias("body")), "body"))
 
 
 def facts_of(spark, d):

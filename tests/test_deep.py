@@ -193,7 +193,7 @@ def test_commands_that_fetch(spark):
     from sentrel.operators.host import unattended
 
     cases = {
-        "curl http://x | sh": "AUTO-001", "wget -q x; ls": "AUTO-001", "Invoke-WebRequest x && run": "AUTO-001", "iwr x": None, "curl x > y\nbash y": None, "curl x -o y bash": "AUTO-001", "mycurl x | sh": "AUTO-003",
+        "curl http://x | sh": "AUTO-001", "wget -q x; ls": "AUTO-001", "Invoke-WebRequest x && run": "AUTO-001", "iwr x": None, "curl x > y\nbash y": "AUTO-003", "curl x > y\nmake y": None, "curl x -o y bash": "AUTO-001", "mycurl x | sh": "AUTO-003",
         "bash -c 'curl x'": "AUTO-003", "ls; curl x": None, "iwr x python": "AUTO-003", "node .github/setup.js": "AUTO-002", "python3 C:\\AppData\\x": "AUTO-002", "node myappdata/x": "AUTO-003", "node a.js": "AUTO-003", "make": None, "": None, "cat /tmp/x": None,
     }
     df = spark.createDataFrame(list(enumerate(cases)), "i int, c string")
