@@ -6,11 +6,12 @@ target stops at CAP times its source's words; the excess is dealt again by weigh
 Among all document rates r in [0, CAP] that meet the sources' word constraints, the ones nearest to 1 in relative entropy
 solve a convex dual with one multiplier per source: r = min(CAP, exp(multiplier * size / mean size)). Newton rounds find
 it: each is one aggregate over all documents that gives gradient and curvature per source, with a bracket as safeguard.
-Rates become whole copies: a hash of doc_id decides where a rate's fraction counts as a copy, shifted per source so that
+Rates become whole copies: a hash of doc_id and text decides where a rate's fraction counts as a copy, shifted per source so that
 the words taken come nearest to the target. Large documents are settled first and smaller ones make up what is left.
 
 A document's size is its number of words, runs without space and \\t..\\r (null and empty: 0); such a document takes 0
-words and gets one copy if its rate is at least 1. Rows with one doc_id and size share their fate. Reruns agree."""
+words and gets one copy if its rate is at least 1. Rows without an id, or that share one, are told apart by their texts; rows that are equal in both share their fate, so a
+source in which such rows hold much of the words can miss its target by half of them. Reruns agree."""
 
 from __future__ import annotations
 
@@ -81,12 +82,12 @@ def solve(sizes: DataFrame, aims: DataFrame) -> DataFrame:
 
 
 def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds copies to rows that hold doc_id, key and size; a decision of the row and its source's plan alone."""
+    """Adds copies to rows that hold doc_id, mark, key and size; a decision of the row and its source's plan alone."""
     aimed = join_small(rows, plan, ["key"])
     r = rate(F.col("tilt"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("mark"), F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     fraction = r - F.floor(r)
-    order = F.struct((draw - fraction).alias("v"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("d"), F.col("size").alias("s"))
+    order = F.struct((draw - fraction).alias("v"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("d"), F.col("size").alias("s"), F.col("mark").alias("m"))
     tier = F.lit(0)
     for i, least in enumerate(TIERS):
         tier = F.when(F.col("size") >= F.col("mean") * least, F.least(tier, F.lit(i)) if i == 0 else F.when(F.col("size") >= F.col("mean") * TIERS[i - 1], tier).otherwise(F.lit(i))).otherwise(tier)
@@ -119,9 +120,9 @@ def round_off(rows: DataFrame, plan: DataFrame) -> DataFrame:
         by_row = W.partitionBy("key").orderBy("order").rangeBetween(W.unboundedPreceding, W.currentRow)
         steps = inside.withColumn("sum", F.col("below") + F.sum("size").over(by_row))
         best = steps.groupBy("key").agg(F.min_by("order", F.struct(F.abs(F.col("sum") - F.col("need")), "order")).alias("at"), F.min(F.abs(F.col("sum") - F.col("need"))).alias("off"), F.max(F.abs(F.col("below") - F.col("need"))).alias("none"), F.max("slot").alias("slot"))
-        start = F.struct((F.col("slot") / F.lit(BINS / 2.0) - 1 - 1e-12).alias("v"), F.lit(-2).cast("long").alias("d"), F.lit(0).cast("long").alias("s"))
+        start = F.struct((F.col("slot") / F.lit(BINS / 2.0) - 1 - 1e-12).alias("v"), F.lit(-2).cast("long").alias("d"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("m"))
         chosen = best.select("key", F.when(F.col("none") < F.col("off"), start).otherwise(F.col("at")).alias(f"cut{i}"))
-        every = F.struct(F.lit(2.0).alias("v"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("s"))
+        every = F.struct(F.lit(2.0).alias("v"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("m"))
         plan = settle(plan.join(chosen, "key", "left").withColumn(f"cut{i}", F.coalesce(f"cut{i}", every)), "plan")
     return plan
 
@@ -138,11 +139,11 @@ def copies() -> Column:
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), size.alias("size"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), size.alias("size"), F.xxhash64(text_col).alias("mark"))
 
 
 def plan_mix(rows: DataFrame) -> DataFrame:
-    """The plan of each source for rows of doc_id, source, key, size."""
+    """The plan of each source for rows of doc_id, source, key, size, mark (a hash of the text)."""
     sources = rows.groupBy("key", "source").agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("full_docs"))
     aims = settle(targets(sources), "targets")
     return round_off(rows, solve(rows, aims))
@@ -161,7 +162,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     plan = plan_mix(rows)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), size.alias("size"))
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), size.alias("size"), F.xxhash64("text").alias("mark"))
     taken = with_copies(packed, plan).withColumn("copies", copies()).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 

@@ -271,3 +271,16 @@ def test_urls_that_differ_deep_down(spark):
         got = {r.page_id: r for r in url_verdicts(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
         assert all(got[i].verdict == "allow" for i, u in urls if "/good/" in u)
         assert all(got[i].verdict == "block" for i, u in urls if "/bad/" in u) and any(got[i].rule is None for i, u in urls if "/bad/" in u)
+
+
+@pytest.mark.parametrize("ids", ["half null", "seven"])
+def test_mix_without_ids(spark, ids):
+    """Rows without an id, or with one that many share, are told apart by their texts, so sources reach their targets."""
+    from sentrel.llm.mixing import mix
+
+    texts = [" ".join(f"w{i}" for _ in range(40)) for i in range(3000)]
+    rows = [(None if ids == "half null" and i % 2 else i if ids == "half null" else i % 7, t, "abc"[i % 3]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sums = mix(df).groupBy("target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in sums) == 3000 and len(sums) == 3
+    assert all(abs(r.taken - r.target) <= 0.02 * r.target for r in sums)
