@@ -18,17 +18,17 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_firsts(df: DataFrame, text: str, wanted: dict[str, tuple[str, Callable[[Column], Column]]], needs: dict[str, list[str]] | None = None) -> DataFrame:
+def with_firsts(df: DataFrame, text: str, wanted: dict[str, tuple[str, Callable[[Column], Column]]], needs: dict[str, list[list[str]]] | None = None) -> DataFrame:
     """For each name with (pattern, test) the start of the first match that passes the test, in code points from 0.
 
     All matches are looked at, in one pass: a start is the end of the match before it and the length of what a split leaves
     between. A test gets (p, e, at, near): start, end, and the start within near, the text up to REACH characters around
     the match; near comes from blocks, so a match deep in a text costs no more than one at its start."""
     def all_of(n: str, pattern: str) -> Column:
-        """Matches; texts that hold none of the words that a match needs are not searched."""
+        """Matches; texts that lack all words of a group that a match needs are not searched."""
         found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-        words = (needs or {}).get(n)
-        return F.when(reduce(lambda a, b: a | b, [F.contains(F.col(text), F.lit(w)) for w in words]), found).otherwise(F.array().cast("array<string>")) if words else found
+        groups = (needs or {}).get(n)
+        return F.when(reduce(lambda a, b: a & b, [holds(F.col(text), g) for g in groups]), found).otherwise(F.array().cast("array<string>")) if groups else found
 
     df = once(df, "__m", F.struct(*[all_of(n, r).alias(n) for n, (r, _) in wanted.items()]))
     some = F.greatest(*[F.size(f"__m.{n}") for n in wanted], F.lit(0)) > 0
@@ -56,6 +56,11 @@ def with_firsts(df: DataFrame, text: str, wanted: dict[str, tuple[str, Callable[
     return df.select("*", *[F.col(f"__firsts.{n}").alias(n) for n in wanted]).drop("__m", "__s", "__firsts")
 
 
+def holds(text: Column, words: list[str]) -> Column:
+    """Whether a text holds one of the words."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
 def window(text: str | Column, start: Column, end: Column, reach: int) -> Column:
     """Characters from start - reach up to end + reach."""
     text = F.col(text) if isinstance(text, str) else text

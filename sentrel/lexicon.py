@@ -25,10 +25,16 @@ CONCEAL = bounded("(do not|don't|never) (tell|mention|show|reveal)", "without (t
 ROLE = "(^|\\n)[ \\t]*(system|assistant|developer)[ ]?:[ ]|<(system|assistant)>|\\[(system|inst)\\]"
 ZERO_WIDTH = "[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}]"
 TAG_BLOCK = "[\\x{E0000}-\\x{E007F}]"
-#: Words of which a match of each pattern holds at least one.
+#: The same as characters, and as the first bytes of UTF-8.
+INVISIBLE = ["\u200b", "\u200c", "\u200d", "\u2060", "\ufeff"]
+TAG_BYTES = [b"\xf3\xa0\x80", b"\xf3\xa0\x81"]
+#: What a match of each pattern holds: at least one word of every group.
 NEEDED = {
-    "selfref": ["this ", "these ", "the above ", "the following "], "override": ["ignore ", "disregard ", "forget ", "skip ", "your new "], "secret": [" key", "seed phrase", "password", "credentials", "auth token"],
-    "conceal": ["do not ", "don't ", "never ", "without ", "keep "], "role": ["system", "assistant", "developer", "[inst]"],
+    "selfref": [["this ", "these ", "the above ", "the following "], [f"{a} {b}" for a in ("this", "above", "following") for b in ("text", "note", "message", "instruction", "notice", "lines")] + ["these instructions", "these lines", "these words"]],
+    "override": [["ignore ", "disregard ", "forget ", "skip ", "your new "], [" previous ", " prior ", " earlier ", " above ", " new "], ["rules", "instructions", "orders", "guidance", "task "]],
+    "secret": [[" key", "seed phrase", "password", "credentials", "auth token"], ["api key", "access key", "private key", "secret key", "seed phrase", "password", "credentials", "auth token"]],
+    "conceal": [["do not ", "don't ", "never ", "without ", "keep "], [" tell", " mention", " show", " reveal", " asking", " informing", " secret", " hidden"]],
+    "role": [["system", "assistant", "developer", "[inst]"], [f"{a}{b}" for a in ("system", "assistant", "developer") for b in (":", " :", ">", "]")] + ["[inst]"]],
 }
 #: Frames that make a passage a description of an attack rather than one.
 IMPERATIVE = bounded("you must", "do it now", "immediately", "right away")

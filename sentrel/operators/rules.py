@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel import lexicon as L
-from sentrel.functions.textops import REACH, excerpt, line_of, window, with_firsts
+from sentrel.functions.textops import REACH, excerpt, holds, line_of, window, with_firsts
 
 
 def descriptive(text: str | Column, start: Column) -> Column:
@@ -50,8 +50,8 @@ def scan(df: DataFrame, text: str, channel: str = "scan") -> DataFrame:
         "INJ-002": F.col("__override"),
         "INJ-003": F.col("__secret"),
         "INJ-004": F.when(F.contains(F.col(t), F.lit("<!--")), F.when(F.exists(comments(F.col(t)), hostile_comment), F.instr(t, "<!--") - 1)),
-        "INJ-005": F.when(F.col(t).rlike(L.ZERO_WIDTH), F.length(F.get(F.split(t, L.ZERO_WIDTH, 2), F.lit(0)))),
-        "INJ-006": F.when(F.col(t).rlike(L.TAG_BLOCK), F.length(F.get(F.split(t, L.TAG_BLOCK, 2), F.lit(0)))),
+        "INJ-005": F.when(holds(F.col(t), L.INVISIBLE), F.length(F.get(F.split(t, L.ZERO_WIDTH, 2), F.lit(0)))),
+        "INJ-006": F.when(holds(F.col(t).cast("binary"), L.TAG_BYTES), F.length(F.get(F.split(t, L.TAG_BLOCK, 2), F.lit(0)))),
         "INJ-007": F.col("__conceal"),
         "INJ-008": F.col("__role"),
     }
