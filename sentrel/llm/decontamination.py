@@ -19,7 +19,12 @@ The benchmark's windows are broadcast in blocks of at most BROADCAST_WINDOWS; a
 documents (a stated query set against all rows). An item of fewer than WIDTH words is one window of its own length if
 LITERALS of them are ordinary (or all of fewer); other items without a usable window ('42') are left out. Null and empty
 texts and items match nothing. Rows are told apart by doc_id and text, so rows without an id, and rows that share one, are
-judged each by itself; items that share an item_id are taken together."""
+judged each by itself; items that share an item_id are taken together.
+
+Items that no document can tell apart form a class: the same canonical words, the same places of equal values, and the
+same raw windows. Only one item of a class is looked for, that with the smallest item_id (null last); a row names it and
+the number of its class's items, and item_classes() lists them. Thus n documents and m items of one template make n rows,
+not n * m."""
 
 from __future__ import annotations
 
@@ -95,21 +100,53 @@ def window_hashes(width: int, signs: bool = False) -> Column:
     return F.expr(f"if(size(canon) >= {width}, transform(sequence(0, size(canon) - {width}), i -> {hashed}), array())")
 
 
+#: What the texts of items share that are one class; alone is the item where it has several texts.
+CLASS = ["canon", "equal", "raw", "alone"]
+
+
+def item_texts(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """item, item_id, text, canon, bare, literal of the distinct texts of items, and the columns CLASS."""
+    items = benchmark.select(F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("string")).alias("item"), F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["item", "text"])
+    plain = with_literal(with_canon(items, "text").select("item", "item_id", "text", "canon", "bare"))
+    values = F.expr("transform(bare, (b, i) -> if(get(literal, i), '', b))")
+    equal = F.expr("transform(values, v -> if(v = '', 0, array_position(values, v)))")
+    few = F.expr(f"transform(sequence(0, size(canon) - {WIDTH}), i -> if(size(filter(slice(literal, i + 1, {WIDTH}), x -> x)) >= {LITERALS}, array(''), slice(bare, i + 1, {WIDTH})))")
+    usable = F.size(F.filter("literal", lambda x: x)) >= F.least(F.lit(LITERALS), F.size("canon"))
+    raw = F.when(F.size("canon") >= WIDTH, few).when(usable & (F.size("canon") > 0), F.array(F.array(F.lit("")))).otherwise(F.array(F.array("text")))
+    plain = settle(once(once(plain, "values", values), "equal", equal).withColumn("raw", raw).drop("values"), "items")
+    several = plain.groupBy("item").count().where("count > 1").select("item", F.col("item").alias("alone"))
+    return settle(plain.join(several, "item", "left"), "items")
+
+
+def representatives(texts: DataFrame) -> DataFrame:
+    """One item of each class, with the columns of item_texts() and items, the number of the class's items."""
+    first = F.min_by(F.struct("item", "item_id", "text", "bare", "literal"), F.struct(F.col("item_id").isNull(), "item_id", "item"))
+    return texts.groupBy(*CLASS).agg(first.alias("r"), F.count("*").alias("items")).select(*CLASS, "items", "r.*")
+
+
+def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id, class_id: each item and the one that stands for its class in leaks(); items of several texts, null and
+    empty ones stand for themselves or for their like. Joins on the class's columns, each item's row once."""
+    texts = item_texts(benchmark, id_col, text_col)
+    known = representatives(texts).select(*CLASS, F.col("item_id").alias("class_id"))
+    same = reduce(lambda a, b: a & b, [texts[c].eqNullSafe(known[c]) for c in CLASS])
+    return texts.join(known, same).select("item_id", "class_id").distinct()
+
+
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item, item_id, pass, width, at, window, canon, bare, counted of each usable window; counted is whether it counts
-    towards containment, pass 1 the items that are looked for with their signs."""
-    items = benchmark.select(F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("string")).alias("item"), F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    plain = with_literal(settle(with_canon(items, "text").select("item", "item_id", "text", "canon", "bare"), "items"))
+    """item, item_id, items, pass, width, at, window, canon, bare, counted of each usable window of the items that stand for
+    a class; counted is whether it counts towards containment, pass 1 the items that are looked for with their signs."""
+    plain = settle(representatives(item_texts(benchmark, id_col, text_col)), "items")
     out = []
     for width in range(1, WIDTH + 1):
         own = plain.where(F.size("canon") >= WIDTH if width == WIDTH else F.size("canon") == width)
-        rows = own.select("item", "item_id", F.lit(0).alias("pass"), F.lit(width).alias("width"), F.posexplode(window_hashes(width)).alias("at", "window"), "canon", "bare", "literal")
+        rows = own.select("item", "item_id", "items", F.lit(0).alias("pass"), F.lit(width).alias("width"), F.posexplode(window_hashes(width)).alias("at", "window"), "canon", "bare", "literal")
         rows = rows.withColumns({c: F.slice(c, F.col("at") + 1, width) for c in ("canon", "bare", "literal")})
         rows = rows.withColumn("template", F.size(F.filter("literal", lambda x: x)) >= min(LITERALS, width)).drop("literal")
         out.append(rows if width == WIDTH else rows.where("template"))
     usable = F.size(F.filter("literal", lambda x: x)) >= F.least(F.lit(LITERALS), F.size("canon"))
-    signed = with_canon(plain.where((F.size("canon") < WIDTH) & ~(usable & (F.size("canon") > 0))).select("item", "item_id", "text"), "text", True)
-    signed = signed.where(F.size("canon") >= WIDTH).select("item", "item_id", F.lit(1).alias("pass"), F.lit(WIDTH).alias("width"), F.posexplode(window_hashes(WIDTH, True)).alias("at", "window"), "canon", "bare")
+    signed = with_canon(plain.where((F.size("canon") < WIDTH) & ~(usable & (F.size("canon") > 0))).select("item", "item_id", "items", "text"), "text", True)
+    signed = signed.where(F.size("canon") >= WIDTH).select("item", "item_id", "items", F.lit(1).alias("pass"), F.lit(WIDTH).alias("width"), F.posexplode(window_hashes(WIDTH, True)).alias("at", "window"), "canon", "bare")
     out.append(signed.withColumns({c: F.slice(c, F.col("at") + 1, WIDTH) for c in ("canon", "bare")}).withColumn("template", F.lit(True)))
     rows = settle(reduce(DataFrame.unionByName, out), "windows")
     some = rows.groupBy("item").agg(F.max("template").alias("some"))
@@ -118,33 +155,49 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return settle(rows.withColumn("counted", F.col("template") | ~F.col("some")).drop("some", "template"), "windows")
 
 
-def windows_of(source: DataFrame, number: int) -> DataFrame:
-    return with_literal(with_canon(source, "text", number == 1).select(*DOC, "canon", "bare"))
+def windows_of(source: DataFrame, number: int, widths: list[int]) -> DataFrame:
+    """DOC, bare, width, at, window: the windows of all widths of a pass, from one canonicalisation."""
+    rows = with_literal(with_canon(source, "text", number == 1).select(*DOC, "canon", "bare"))
+
+    def places(width: int) -> Column:
+        return F.transform(window_hashes(width, number == 1), lambda h, i: F.struct(F.lit(width).alias("width"), i.alias("at"), h.alias("window")))
+
+    each = [places(w) for w in widths]
+    return rows.select(*DOC, "bare", F.explode(F.concat(*each)).alias("w")).select(*DOC, "bare", "w.*")
+
+
+def passes_of(known: DataFrame) -> dict[int, list[int]]:
+    """The widths of each pass; at most WIDTH + 1 rows reach the driver."""
+    out: dict[int, list[int]] = {}
+    for number, width in sorted(tuple(r) for r in known.select("pass", "width").distinct().collect()):
+        out.setdefault(number, []).append(width)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, matched, windows, containment, slots, consistency: one row per document and leaked item."""
+    """doc_id, item_id, items, matched, windows, containment, slots, consistency: one row per document and class of leaked
+    items, with the class's first item and its number of items."""
     found = leaked(docs, benchmark, id_col, text_col, item_col, item_text)
-    return found.select(F.when(~F.col("nul"), F.col("d")).alias("doc_id"), "item_id", "matched", "windows", "containment", "slots", "consistency")
+    return found.select(F.when(~F.col("nul"), F.col("d")).alias("doc_id"), "item_id", "items", "matched", "windows", "containment", "slots", "consistency")
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
     """leaks() with the columns DOC in place of doc_id."""
     known = item_windows(benchmark, item_col, item_text)
-    sizes = settle(known.where("counted").groupBy("item").agg(F.count_distinct("window").alias("windows"), F.first("item_id").alias("item_id")), "items")
-    keys = known.select("item", "pass", "width", "window", "counted").distinct()
+    sizes = settle(known.where("counted").groupBy("item").agg(F.count_distinct("window").alias("windows"), F.first("item_id").alias("item_id"), F.first("items").alias("items")), "items")
+    keys = settle(known.select("item", "pass", "width", "window", "counted").distinct(), "keys")
     source = numbered(docs, id_col, text_col)
     found = []
-    for number, width in sorted(tuple(r) for r in keys.select("pass", "width").distinct().collect()):  # at most WIDTH + 1
-        own = settle(keys.where((F.col("pass") == number) & (F.col("width") == width)).select("item", "window", "counted"), "keys")
-        passes = -(-own.count() // BROADCAST_WINDOWS)
-        windows = windows_of(source, number).select(*DOC, F.explode(window_hashes(width, number == 1)).alias("window"))
-        for i in range(passes):
-            block = own.where(F.pmod(F.hash("window"), F.lit(passes)) == i)  # about BROADCAST_WINDOWS rows of 17 bytes
-            hits = windows.join(F.broadcast(block), "window")
+    for number, widths in passes_of(keys).items():
+        own = keys.where(F.col("pass") == number).select("item", "width", "window", "counted")
+        blocks = -(-own.count() // BROADCAST_WINDOWS)
+        windows = windows_of(source, number, widths).drop("bare", "at")
+        for i in range(blocks):
+            block = own.where(F.pmod(F.hash("window"), F.lit(blocks)) == i)  # about BROADCAST_WINDOWS rows of 21 bytes
+            hits = windows.join(F.broadcast(block), ["width", "window"])
             found.append(settle(hits.groupBy(*DOC, "item").agg(F.count_distinct(F.when(F.col("counted"), F.col("window"))).alias("matched"), F.count("*").alias("met")), "hits"))
     if not found:
-        none = {"item_id": benchmark.schema[item_col].dataType, "matched": "long", "windows": "long", "containment": "double", "slots": "long", "consistency": "double"}
+        none = {"item_id": benchmark.schema[item_col].dataType, "items": "long", "matched": "long", "windows": "long", "containment": "double", "slots": "long", "consistency": "double"}
         return source.select(*DOC, *[F.lit(None).cast(t).alias(n) for n, t in none.items()]).where("false")
     hits = reduce(DataFrame.unionByName, found).groupBy(*DOC, "item").agg(F.sum("matched").alias("matched"), F.sum("met").alias("met"))
     few = sizes.count() <= BROADCAST_ROWS
@@ -154,17 +207,17 @@ def leaked(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
 
 
 def occurrences(source: DataFrame, known: DataFrame, close: DataFrame) -> DataFrame:
-    """DOC, item_id, matched, windows, containment, slots, consistency of the best occurrence of candidates that leak; only
+    """DOC, item_id, items, matched, windows, containment, slots, consistency of the best occurrence of candidates that leak; only
     documents with a candidate are read again."""
     ids = close.select(*DOC).distinct()
     few = ids.count() <= BROADCAST_ROWS
     texts = source.join(F.broadcast(ids) if few else ids, DOC, "left_semi").dropDuplicates(DOC)
     out = []
-    for number, width in sorted(tuple(r) for r in known.select("pass", "width").distinct().collect()):  # at most WIDTH + 1
-        rows = windows_of(texts, number).select(*DOC, F.posexplode(window_hashes(width, number == 1)).alias("at", "window"), "bare")
-        rows = rows.select(*DOC, "at", "window", F.slice("bare", F.col("at") + 1, width).alias("seen"))
-        mine = known.where((F.col("pass") == number) & (F.col("width") == width)).select("item", "window", F.col("at").alias("item_at"), "counted", "canon", F.col("bare").alias("meant"))
-        out.append(rows.join(mine, "window"))
+    for number, widths in passes_of(known).items():
+        rows = windows_of(texts, number, widths)
+        rows = rows.select(*DOC, "at", "width", "window", F.slice("bare", F.col("at") + 1, F.col("width")).alias("seen"))
+        mine = known.where(F.col("pass") == number).select("item", "width", "window", F.col("at").alias("item_at"), "counted", "canon", F.col("bare").alias("meant"))
+        out.append(rows.join(mine, ["width", "window"]).drop("width"))
     key = [*DOC, "item"]
     pairs = settle(reduce(DataFrame.unionByName, out).join(close.select(*key), key).withColumn("line", F.col("at") - F.col("item_at")), "pairs")
     lines = pairs.select(*key, "line").distinct()
@@ -186,12 +239,12 @@ def occurrences(source: DataFrame, known: DataFrame, close: DataFrame) -> DataFr
     rank = F.dense_rank().over(W.partitionBy(*key, "line").orderBy("at"))
     rows = pairs.select(*key, "line", "at", (F.col("at") - rank).alias("island")).groupBy(*key, "line", "island").agg(F.count_distinct("at").alias("n"))
     runs = rows.groupBy(*key, F.struct(F.lit(1).alias("k"), F.col("line").cast("long").alias("n")).alias("part")).agg((F.max("n") + WIDTH - 1).alias("run"))
-    judged = shares.join(mapped, [*key, "part"], "left").join(runs, [*key, "part"], "left").join(close.select(*key, "item_id", "windows"), key)
+    judged = shares.join(mapped, [*key, "part"], "left").join(runs, [*key, "part"], "left").join(close.select(*key, "item_id", "items", "windows"), key)
     judged = judged.withColumns({"containment": F.col("matched") / F.col("windows"), "slots": F.coalesce("slots", F.lit(0)), "consistency": F.coalesce("consistency", F.lit(1.0))})
     judged = judged.where((F.col("consistency") >= CONSISTENT) & ((F.col("containment") >= LEAK) | (F.coalesce("run", F.lit(0)) >= RUN)))
     names = ["containment", "consistency", "slots", "matched", "windows"]
-    best = judged.groupBy(*key).agg(F.max(F.struct(*names)).alias("b"), F.first("item_id").alias("item_id"))
-    return best.select(*DOC, "item_id", *[f"b.{n}" for n in ("matched", "windows", "containment", "slots", "consistency")])
+    best = judged.groupBy(*key).agg(F.max(F.struct(*names)).alias("b"), F.first("item_id").alias("item_id"), F.first("items").alias("items"))
+    return best.select(*DOC, "item_id", "items", *[f"b.{n}" for n in ("matched", "windows", "containment", "slots", "consistency")])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -313,11 +313,16 @@ def test_leaks(spark, odd):
 
 
 def leaked(spark, texts, items):
-    from sentrel.llm.decontamination import leaks
+    from sentrel.llm.decontamination import item_classes, leaks
 
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
-    return {(r.doc_id, r.item_id): r for r in rows}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    like = collections.defaultdict(list)
+    for r in item_classes(bench).collect():
+        like[r.class_id].append(r.item_id)
+    rows = leaks(docs, bench).collect()
+    assert all(r.items == len(like[r.item_id]) and r.item_id == min(like[r.item_id]) for r in rows)
+    return {(r.doc_id, i): r for r in rows for i in like[r.item_id]}
 
 
 def test_leaks_by_occurrence(spark):
@@ -422,6 +427,8 @@ def test_leaks_by_brute_force(spark):
     r = random.Random(12)
     words = ["the", "a", "then", "Tom", "Ann", "Bob", "12", "13", "5", "7", "km", "kg", "has", "ran", "left", "gave.", "so", "Eve,", "3", "old"]
     items = [" ".join(r.choice(words) for _ in range(r.randrange(5, 24))) for _ in range(12)]
+    renamed = {"Tom": "Ann", "Ann": "Tom", "12": "13", "13": "77"}
+    items += [" ".join(renamed.get(w, w) for w in i.split()) for i in items[:8]] + [items[0], items[1].replace("12", "13")]
     texts = []
     for _ in range(120):
         t = []
@@ -435,6 +442,22 @@ def test_leaks_by_brute_force(spark):
     assert got == brute_leaks(texts, items) and len(got) > 30
 
 
+def test_leaks_of_one_template(spark):
+    """Many documents and items of one template make a row for each document; other patterns of equal values stay apart."""
+    from sentrel.llm.decontamination import item_classes, leaks
+
+    story = "In this tale Tom has {} apples and then Ann has {} apples more so that both of them have {} apples in all"
+    items = [(i, story.format(i + 3, 2 * i + 1001, 9 * i + 5002)) for i in range(300)] + [(900, story.format(5, 5, 10)), (901, "3 + 4 = 7 + 0"), (902, "3 + 4 = 8 - 1"), (903, None), (None, story.format(1, 2, 4))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, story.format(7 * i + 20_001, 3 * i + 50_002, i + 90_003)) for i in range(300)], "doc_id long, text string")
+    rows = leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.items) for r in rows if r.item_id == 0) == [(i, 0, 301) for i in range(300)]
+    assert len(rows) <= 600 and {r.item_id for r in rows} <= {0, 900}
+    classes = {r.item_id: r.class_id for r in item_classes(bench).collect()}
+    assert len(classes) == len(items) and {classes[i] for i in range(300)} == {0} and classes[None] == 0
+    assert [classes[i] for i in (900, 901, 902, 903)] == [900, 901, 902, 903]
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------------
 
 
