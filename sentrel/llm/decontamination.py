@@ -155,6 +155,14 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return settle(rows.withColumn("counted", F.col("template") | ~F.col("some")).drop("some", "template"), "windows")
 
 
+def hashes_of(source: DataFrame, number: int, widths: list[int]) -> DataFrame:
+    """DOC and window, the hashes of the windows of all widths of a pass, from one canonicalisation; without places, as
+    structs of places cost more than the hashes."""
+    rows = with_literal(with_canon(source, "text", number == 1).select(*DOC, "canon", "bare"))
+    each = [window_hashes(w, number == 1) for w in widths]
+    return rows.select(*DOC, F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("window"))
+
+
 def windows_of(source: DataFrame, number: int, widths: list[int]) -> DataFrame:
     """DOC, bare, width, at, window: the windows of all widths of a pass, from one canonicalisation."""
     rows = with_literal(with_canon(source, "text", number == 1).select(*DOC, "canon", "bare"))
@@ -189,12 +197,12 @@ def leaked(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     source = numbered(docs, id_col, text_col)
     found = []
     for number, widths in passes_of(keys).items():
-        own = keys.where(F.col("pass") == number).select("item", "width", "window", "counted")
+        own = keys.where(F.col("pass") == number).select("item", "window", "counted")
         blocks = -(-own.count() // BROADCAST_WINDOWS)
-        windows = windows_of(source, number, widths).drop("bare", "at")
+        windows = hashes_of(source, number, widths)
         for i in range(blocks):
-            block = own.where(F.pmod(F.hash("window"), F.lit(blocks)) == i)  # about BROADCAST_WINDOWS rows of 21 bytes
-            hits = windows.join(F.broadcast(block), ["width", "window"])
+            block = own.where(F.pmod(F.hash("window"), F.lit(blocks)) == i)  # about BROADCAST_WINDOWS rows of 17 bytes
+            hits = windows.join(F.broadcast(block), "window")
             found.append(settle(hits.groupBy(*DOC, "item").agg(F.count_distinct(F.when(F.col("counted"), F.col("window"))).alias("matched"), F.count("*").alias("met")), "hits"))
     if not found:
         none = {"item_id": benchmark.schema[item_col].dataType, "items": "long", "matched": "long", "windows": "long", "containment": "double", "slots": "long", "consistency": "double"}
