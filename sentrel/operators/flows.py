@@ -80,3 +80,14 @@ def canary_contact(transfers: DataFrame, canaries: DataFrame) -> DataFrame:
     to, of = c.toDF("recipient", "fp_to"), c.toDF("sender", "fp_of")
     hit = transfers.join(to, "recipient", "left").join(of, "sender", "left").where("fp_to is not null or fp_of is not null")
     return hit.select("tx", F.when(F.col("fp_to").isNotNull(), "in").otherwise("out").alias("direction"), F.coalesce("fp_to", "fp_of").alias("fingerprint"))
+
+
+def canary_report(transfers: DataFrame, canaries: DataFrame) -> DataFrame:
+    """fingerprint, inbound, outbound: one row per canary (address; repeated and null ones count once and not at all) with
+    the transfers that touch it, 0 for those that nothing touched. May be published: it holds no address, and the counts
+    of rows are the counts of canaries."""
+    planted = canaries.select("address").where("address is not null").distinct()
+    hits = canary_contact(transfers, planted).groupBy("fingerprint").agg(F.count_if(F.col("direction") == "in").alias("inbound"), F.count_if(F.col("direction") == "out").alias("outbound"))
+    known = planted.select(F.substring(F.sha2(F.col("address").cast("string"), 256), 1, 12).alias("fingerprint"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return known.join(hits, "fingerprint", "left").select("fingerprint", zero("inbound"), zero("outbound"))

@@ -4,6 +4,7 @@ status column; shapes differ between rows, so bodies are variants."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 SKIPPED = ["node_modules", "dist", "build", "target", "venv", "__pycache__"]
@@ -77,3 +78,23 @@ def tools(configs: DataFrame) -> DataFrame:
     listed = each.select("path", "server", F.explode(F.try_variant_get("s", "$.tools", "array<variant>")).alias("t"))
     name, about = F.try_variant_get("t", "$.name", "string"), F.coalesce(F.try_variant_get("t", "$.description", "string"), F.lit(""))
     return listed.select("server", name.alias("tool"), F.substring(about, 1, 400).alias("description"), F.sha2(F.concat_ws("\n", name, about, F.to_json("t")), 256).alias("sha256"))
+
+
+CANARY = "address string, label string, chain string, placement string, planted_ts double"
+
+
+def canaries(spark: SparkSession, path: str) -> DataFrame:
+    """The private registry: JSON files in a folder or at a path, each a list of canaries or an object with the list in
+    canaries; a missing path is an empty registry. Entries without an address, and files that are no JSON, are refused."""
+    try:
+        files = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CANARY)
+    v = files.select(F.parse_json("value").alias("v"))
+    listed = F.coalesce(F.try_variant_get("v", "$.canaries", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
+    each = v.select(F.explode(F.coalesce(listed, F.raise_error(F.lit("a registry holds a list of canaries")))).alias("c"))
+    text = lambda k, other: F.coalesce(F.try_variant_get("c", f"$.{k}", "string"), F.lit(other)).alias(k)
+    address = F.coalesce(F.try_variant_get("c", "$.address", "string"), F.raise_error(F.lit("a canary has an address")).cast("string"))
+    return each.select(address.alias("address"), text("label", ""), text("chain", "solana"), text("placement", ""), F.try_variant_get("c", "$.planted_ts", "double").alias("planted_ts"))

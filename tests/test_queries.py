@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from sentrel import deep_queries, host_queries, oracle, queries
+from sentrel import channel_queries, deep_queries, host_queries, oracle, queries
 
-QUERIES, SQL = queries.QUERIES | host_queries.QUERIES | deep_queries.QUERIES, oracle.SQL | host_queries.SQL | deep_queries.SQL
+QUERIES, SQL = queries.QUERIES | host_queries.QUERIES | deep_queries.QUERIES | channel_queries.QUERIES, oracle.SQL | host_queries.SQL | deep_queries.SQL | channel_queries.SQL
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
