@@ -22,21 +22,36 @@ _TAG_SIGNS = "".join(chr(0xE0000 + i) for i in range(0x20, 0x7F))
 _ASCII = "".join(map(chr, range(0x20, 0x7F)))
 
 
+def held(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value) with the value computed once, however often made() uses it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def wide(text: Column) -> Column:
+    """Whether a text holds more than ASCII."""
+    return F.octet_length(text) > F.length(text)
+
+
 def replaced(text: Column, pattern: str, made: Callable[[Column], Column], group: int = 0) -> Column:
-    """Text with each match put through made(); linear in the text, as matches and what lies between are joined once."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), made)
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"))
-    return F.when(text.rlike(pattern), F.array_join(F.transform(zipped, lambda p: F.concat(p["gap"], F.coalesce(p["found"], F.lit("")))), "")).otherwise(text)
+    """Text with each match put through made(); linear in the text, as matches and what lies between are joined once. The
+    text is held, so that folds laid over each other are computed once each."""
+
+    def whole(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), made)
+        zipped = F.arrays_zip(F.split(t, pattern, -1).alias("gap"), found.alias("found"))
+        return F.when(t.rlike(pattern), F.array_join(F.transform(zipped, lambda p: F.concat(p["gap"], F.coalesce(p["found"], F.lit("")))), "")).otherwise(t)
+
+    return held(text, whole)
 
 
 def strip_wide(text: Column) -> Column:
     """Without characters that take no room: soft hyphens, joiners, marks of direction, annotation marks, selectors."""
-    return F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), SELECTORS, "")
+    return held(text, lambda t: F.when(wide(t), F.regexp_replace(F.regexp_replace(t, INVISIBLE, ""), SELECTORS, "")).otherwise(t))
 
 
 def hidden_tags(text: Column) -> Column:
     """What the tag characters of a text spell; empty without any."""
-    return F.translate(F.regexp_replace(text, "[^\\x{E0020}-\\x{E007E}]", ""), _TAG_SIGNS, _ASCII)
+    return held(text, lambda t: F.when(wide(t), F.translate(F.regexp_replace(t, "[^\\x{E0020}-\\x{E007E}]", ""), _TAG_SIGNS, _ASCII)).when(t.isNotNull(), ""))
 
 
 def character(code: Column) -> Column:
@@ -48,12 +63,13 @@ def character(code: Column) -> Column:
 def entities(text: Column) -> Column:
     """Named and numeric references as characters; the ampersand last, so that nothing is decoded twice."""
     code = lambda x: F.when(F.lower(F.substring(x, 1, 1)) == "x", F.conv(F.substring(x, 2, 8), 16, 10)).otherwise(x).cast("long")
-    out = replaced(text, "&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", lambda x: character(code(x)), 1)
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), out)
+    numeric = lambda t: replaced(t, "&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", lambda x: character(code(x)), 1)
+    named = lambda t: reduce(lambda a, e: F.replace(a, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), numeric(t))
+    return held(text, lambda t: F.when(F.contains(t, F.lit("&")), named(t)).otherwise(t))
 
 
 def look_alikes(text: Column) -> Column:
-    return F.translate(text, ALIKE, LATIN)
+    return held(text, lambda t: F.when(wide(t), F.translate(t, ALIKE, LATIN)).otherwise(t))
 
 
 def mixed_alikes(text: Column) -> Column:
@@ -70,7 +86,9 @@ def leet(text: Column) -> Column:
 
 def without_emphasis(text: Column) -> Column:
     """Without marks of emphasis around or inside words."""
-    return F.regexp_replace(F.regexp_replace(text, "\\*{1,3}|~~|`+", ""), "(?<![A-Za-z0-9])_{1,3}(?=\\S)|(?<=\\S)_{1,3}(?![A-Za-z0-9])", "")
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, "\\*{1,3}|~~|`+", ""), "(?<![A-Za-z0-9])_{1,3}(?=\\S)|(?<=\\S)_{1,3}(?![A-Za-z0-9])", "")
+    some = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(m)) for m in ("*", "~~", "`", "_")])
+    return held(text, lambda t: F.when(some(t), plain(t)).otherwise(t))
 
 
 def together(text: Column) -> Column:
@@ -85,7 +103,7 @@ def percent(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """All folds that keep words where they are, in the order in which disguises are laid over each other."""
-    return reduce(lambda t, fold: fold(t), [strip_wide, lambda t: F.regexp_replace(t, TAGS, ""), entities, look_alikes, leet, without_emphasis], text)
+    return reduce(lambda t, fold: fold(t), [strip_wide, lambda t: held(t, lambda x: F.when(wide(x), F.regexp_replace(x, TAGS, "")).otherwise(x)), entities, look_alikes, leet, without_emphasis], text)
 
 
 def host_of(destination: Column) -> Column:

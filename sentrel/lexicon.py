@@ -34,6 +34,7 @@ NEEDED = {
     "override": [["ignore ", "disregard ", "forget ", "skip ", "your new "], [" previous ", " prior ", " earlier ", " above ", " new "], ["rules", "instructions", "orders", "guidance", "task "]],
     "secret": [[" key", "seed phrase", "password", "credentials", "auth token"], ["api key", "access key", "private key", "secret key", "seed phrase", "password", "credentials", "auth token"]],
     "conceal": [["do not ", "don't ", "never ", "without ", "keep "], [" tell", " mention", " show", " reveal", " asking", " informing", " secret", " hidden"]],
+    "redirect": [["pay ", "send ", "transfer ", "remit ", "forward ", "use "], [f"{a} {b}to" for a in ("funds", "payment", "amount", "balance", "money") for b in ("", "instead ")] + [f"{a} {b}" for a in ("this", "the new", "another", "the updated") for b in ("address", "account", "wallet")]],
     "role": [["system", "assistant", "developer", "[inst]"], [f"{a}{b}" for a in ("system", "assistant", "developer") for b in (":", " :", ">", "]")] + ["[inst]"]],
 }
 #: Frames that make a passage a description of an attack rather than one.
