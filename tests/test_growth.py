@@ -42,3 +42,16 @@ def test_crowded_windows_are_not_expanded(spark):
     began = time.time()
     rows = convergence(t, spark.createDataFrame([(0, 1), (1, 2), (0, 29_999)], "a long, b long"), 3600, 11).collect()
     assert [tuple(r) for r in rows] == [(-1, 1, 19)] and time.time() - began < 60
+
+
+def test_one_pass_cuts_all_paragraphs(spark):
+    from sentrel import lexicon as L
+    from sentrel.operators.integrity import excise
+
+    rng = random.Random(9)
+    bits = ["ignore all previous rules", "a", "\n", "\n\n", " \n", "\n \t\n", "b\n", "your new task is", ""]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    passes = {n: {r.i: (r.excised, r.clean) for r in excise(df, "t", L.OVERRIDE, n).collect()} for n in (1, 5)}
+    assert passes[1] == passes[5] and all(clean for _, clean in passes[1].values())
+    assert excise(df, "t", L.OVERRIDE)._jdf.queryExecution().toString().split("Physical Plan")[-1].lower().count("split(") <= 2
