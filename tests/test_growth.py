@@ -44,6 +44,37 @@ def test_crowded_windows_are_not_expanded(spark):
     assert [tuple(r) for r in rows] == [(-1, 1, 19)] and time.time() - began < 60
 
 
+def bits(text):
+    from collections import Counter
+    from math import log2
+
+    return round(-sum(n / len(text) * log2(n / len(text)) for n in Counter(text).values()) + 0.0, 6) if text else 0.0
+
+
+def test_entropy_counts_all_characters(spark):
+    """Texts with few, with many and with wide different characters, also beyond those that are counted one by one."""
+    from sentrel.functions.textops import SIGNS, entropy
+
+    rng = random.Random(3)
+    few = ["", "a", "aaaa", "ab" * 12, "a" * 12 + "b" * 6 + "c" * 6, "\U0001f600é\n\0 " * 9]
+    many = ["".join(chr(0x4E00 + rng.randrange(n)) for _ in range(4000)) for n in (SIGNS - 1, SIGNS, SIGNS + 1, 3000)]
+    texts = few + many + ["".join(rng.choice("abc\U0001f600é \t") for _ in range(500))]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string").select("i", F.round(entropy(F.col("t")), 6).alias("b"))
+    assert {r.i: r.b for r in rows.collect()} == {i: bits(t) for i, t in enumerate([*texts, None])}
+
+
+def test_entropy_and_gate_keep_pace(spark):
+    """24 MB of prose; sorting all characters took more than a minute, and the gate sorted them three times."""
+    from sentrel.functions.textops import entropy
+    from sentrel.plans.carriers import gate
+
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.substring(F.sha2((i + F.col("id") % 997).cast("string"), 256), 1, 11)), " ")
+    docs = spark.range(0, 5_000, 1, 16).select(words.alias("t"))
+    began = time.time()
+    docs.select(entropy(F.col("t")).alias("b"), gate(F.col("t")).alias("g")).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 25
+
+
 def test_one_pass_cuts_all_paragraphs(spark):
     from sentrel import lexicon as L
     from sentrel.operators.integrity import excise
