@@ -75,6 +75,25 @@ def test_entropy_and_gate_keep_pace(spark):
     assert time.time() - began < 25
 
 
+def test_quick_patterns_find_the_same(spark):
+    """Places and ends of all matches, at the start of texts, side by side and behind wide characters."""
+    import re
+
+    from sentrel import lexicon as L
+    from sentrel.functions.textops import with_firsts
+
+    rng = random.Random(7)
+    for pattern in (L.SELF_REFERENCE, L.OVERRIDE, L.SECRET, L.CONCEAL, L.REDIRECT):
+        assert L.quick(pattern) != pattern
+    words = ["password", "api key", "never tell", "this note", "x", "_", "9", " ", "\n", "\U0001f600", "é", "keep it secret", "auth token", "these lines"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    for pattern in (L.SELF_REFERENCE, L.SECRET, L.CONCEAL):
+        for skip in (0, 40):  # the first match, or the first behind a place
+            df = with_firsts(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", {"x": (pattern, lambda h: h["p"] * 1000 + h["e"] >= skip * 1000)})
+            want = {i: next((m.start() for m in re.finditer(pattern, t) if m.start() >= skip), None) for i, t in enumerate(texts)}
+            assert {r.i: r.x for r in df.collect()} == want
+
+
 def test_one_pass_cuts_all_paragraphs(spark):
     from sentrel import lexicon as L
     from sentrel.operators.integrity import excise
