@@ -105,3 +105,18 @@ def test_one_pass_cuts_all_paragraphs(spark):
     passes = {n: {r.i: (r.excised, r.clean) for r in excise(df, "t", L.OVERRIDE, n).collect()} for n in (1, 5)}
     assert passes[1] == passes[5] and all(clean for _, clean in passes[1].values())
     assert excise(df, "t", L.OVERRIDE)._jdf.queryExecution().toString().split("Physical Plan")[-1].lower().count("split(") <= 2
+
+
+def test_quick_tests_say_the_same(spark):
+    import re
+
+    from sentrel import lexicon as L
+
+    rng = random.Random(11)
+    patterns = [L.IMPERATIVE, L.ATTRIBUTED, L.PROHIBITED, L.TOPIC, L.COPY_VERB, L.COPY_TARGET, L.SEND_VERB, L.SECOND, L.FIRST_PERSON, L.USER_OBJECT, L.MESSAGE_NOUN]
+    assert all(L.quick(p) != p for p in patterns)
+    words = ["you must", "malware", " will", "must not", " run", "threat model", "copy ", "every", " file", "send ", "pay again", "we", " append", "your", " order", "reply", "x", "_", "\n", "é", " "]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(1, 8))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", F.array(*[F.col("t").rlike(L.quick(p)) for p in patterns]).alias("x")).collect()
+    assert {r.i: r.x for r in rows} == {i: [re.search(p, t) is not None for p in patterns] for i, t in enumerate(texts)}
