@@ -49,7 +49,7 @@ def spend_ledger(orders: DataFrame, key: str, allowed: list, cap: float, daily:
 
         now, held, total = object(), collections.deque(), 0.0
         for batch in batches:
-            keys, ids, times, symbols, amounts = (batch.column(i).to_pylist() for i in range(5))
+            keys, times, symbols, amounts = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
             out = []
             for k, t, s, a in zip(keys, times, symbols, amounts):
                 if k != now:

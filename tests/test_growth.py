@@ -120,3 +120,26 @@ def test_quick_tests_say_the_same(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     rows = df.select("i", F.array(*[F.col("t").rlike(L.quick(p)) for p in patterns]).alias("x")).collect()
     assert {r.i: r.x for r in rows} == {i: [re.search(p, t) is not None for p in patterns] for i, t in enumerate(texts)}
+
+
+def test_messages_are_parsed_once(spark):
+    """Filters on what comes of a message repeated its parsing and its reading, so that a row took half a millisecond."""
+    from sentrel.operators import exchange
+
+    df = spark.createDataFrame([("a", 1, "{}")], "who string, at long, body string")
+    judged = exchange.requests(df)
+    plan = judged.where("code is null and order.notional >= 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and plan.count("$.method") == 1 and plan.count("$.notionalUsd") == 1
+    calls = spark.createDataFrame([('{"usd":3}',)], "arguments string")
+    from sentrel.operators.quotes import order_of
+
+    plan = order_of(calls).where("order.notional >= 3 and order.symbol is null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1
+
+
+def test_names_hold_parts(spark):
+    from sentrel.operators.host import named
+
+    df = spark.createDataFrame([("Place_ORDER.v2",), ("buyer",), ("b.y",), ("none",), ("",), (None,)], "tool string")
+    run = lambda parts: [r[0] for r in df.select(named(F.col("tool"), parts)).collect()]
+    assert run(["order.", "B.Y", "x|y"]) == [True, False, True, False, False, False] and run([]) == [False] * 6
