@@ -143,3 +143,22 @@ def test_names_hold_parts(spark):
     df = spark.createDataFrame([("Place_ORDER.v2",), ("buyer",), ("b.y",), ("none",), ("",), (None,)], "tool string")
     run = lambda parts: [r[0] for r in df.select(named(F.col("tool"), parts)).collect()]
     assert run(["order.", "B.Y", "x|y"]) == [True, False, True, False, False, False] and run([]) == [False] * 6
+
+
+def test_one_rule_looks_for_no_other(spark, tmp_path):
+    """A query of one rule searched texts for all eight; each rule on its own finds what it finds among all."""
+    from sentrel import lexicon as L
+    from sentrel.operators.rules import scan
+    from sentrel.queries import QUERIES
+
+    # every payload on its own, all in a row, and none
+    texts = [t for t, _ in L.PAYLOADS] + ["\n".join(t for t, _ in L.PAYLOADS), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, body string").cache()
+    told = lambda out: {(r.k, *f) for r in out.select("k", "findings").collect() for f in r.findings} | {(r.k, x) for r in out.select("k", "suppressed").collect() for x in r.suppressed}
+    every = told(scan(df, "body"))
+    assert {r[1] for r in every if len(r) > 2} == set(L.RULES) and any(len(r) == 2 for r in every)
+    for rule in ("INJ-002", "INJ-005", "INJ-008"):
+        assert told(scan(df, "body", rules=[rule])) == {r for r in every if r[1] == rule}
+    df.select(F.col("k").alias("doc_id"), F.col("body").alias("text"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["zero_width_rule"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(" not in plan and "regexp_extract_all(" in scan(df, "body")._jdf.queryExecution().optimizedPlan().toString()
