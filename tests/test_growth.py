@@ -162,3 +162,52 @@ def test_one_rule_looks_for_no_other(spark, tmp_path):
     df.select(F.col("k").alias("doc_id"), F.col("body").alias("text"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
     plan = QUERIES["zero_width_rule"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all(" not in plan and "regexp_extract_all(" in scan(df, "body")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_look_once_for_all_terms(spark):
+    """Sixty words were looked for in every text, each from its start to its end; now a number a pattern says what a text holds."""
+    from sentrel import lexicon as L
+    from sentrel.operators.rules import scan
+
+    df = spark.createDataFrame([(1, "plain")], "k long, body string")
+    plan = scan(df, "body")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") <= 2 and len({x.split("#")[0] for x in plan.split() if x.startswith("places(")}) <= 1
+    assert plan.count("ArrowEvalPython") == 1
+    # places and findings are generated, so conditions on them do not compute them again
+    filtered = scan(df, "body").where(F.size("findings") > 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert filtered.count(" AS excerpt") + filtered.count("excerpt,") <= 2
+    assert L.sign(L.ROLE) != L.ROLE
+
+
+def test_places_of_signs(spark):
+    from sentrel.functions.textops import with_signs
+
+    texts = {"none": ("plain", -1, -1), "one": ("\U0001f600é password", 3, -1), "two": ("password\npasswords", -2, -1), "wide": ("é​password", 2, 1), "empty": ("", -1, -1), "null": (None, -1, -1)}
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in texts.items()], "k string, t string")
+    out, place = with_signs(df, "t", "signs", ["password|api key", "\\x{200B}", "password|api key"])
+    got = {r.k: (r.a, r.b) for r in out.select("k", place("password|api key").alias("a"), place("\\x{200B}").alias("b")).collect()}
+    assert got == {k: (a, b) for k, (_, a, b) in texts.items()}
+
+
+def test_signs_change_no_match(spark):
+    """With and without the look before them: matches at the start, within words, alone, side by side and deep in texts."""
+    from sentrel import lexicon as L
+    from sentrel.functions.textops import signs_of, with_firsts, with_signs
+
+    rng = random.Random(13)
+    words = ["password", "xpassword", "api key", "never tell", "this note", "keep it secret key", "ignore the above instructions", "system: ", "\n \tsystem : ", "<system>", "é", "\U0001f600", " ", "\n", "_", "x" * 700, "your new task is"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(500)] + ["password " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    wanted = {n: (p, lambda h, k=k: (h["p"] + h["e"] + F.length(h["near"])) % 3 != k) for k, (n, p) in enumerate({"a": L.SELF_REFERENCE, "b": L.OVERRIDE, "c": L.SECRET, "d": L.CONCEAL, "e": L.ROLE}.items())}
+    seen, place = with_signs(df, "t", "signs", [L.sign(p) for p, _ in wanted.values()])
+    told = lambda out: {r.i: tuple(r[n] for n in wanted) for r in out.collect()}
+    want = told(with_firsts(df, "t", wanted))
+    assert told(with_firsts(seen, "t", wanted, signs_of(wanted, place))) == want and all(any(x[i] is not None for x in want.values()) for i in range(5))
+
+
+def test_pieces_stand_behind_characters(spark):
+    from sentrel.functions.textops import inserted
+
+    texts = ["", "ab", "abc", "abcd", "é\U0001f600ñहx", "\U0001f600" * 9, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", inserted(F.col("t"), 3, F.lit("|\n")).alias("x"))
+    assert {r.i: r.x for r in rows.collect()} == {i: None if t is None else t[:3] + "|\n" + t[3:] for i, t in enumerate(texts)}
