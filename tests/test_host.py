@@ -84,6 +84,21 @@ def test_captures(spark):
     assert {(r.kind, r.name): r.n for r in host.capture_summary(live).collect()} == {("captured", ""): 2, ("restored", ""): 1, ("rule", "R1"): 2, ("solo", "R1"): 2, ("severity", "low"): 2, ("day", "d"): 2, ("target", "x"): 1, ("target", "y"): 1}
 
 
+def test_captured_texts_stay_in_their_rows(spark, tmp_path):
+    """Whole texts were joined to themselves by their ids; what is left is the document as it was, whatever its length."""
+    from hashlib import sha256
+
+    from sentrel.host_queries import QUERIES
+
+    texts = {2: "short", 18: "", 34: "é\U0001f600 words " * 40, 50: None}  # all pick the payload 2
+    spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["capture_entries"](spark, str(tmp_path))
+    cut = lambda t: sha256(f"{t[:200]}\n{t[200:]}".encode()).hexdigest()
+    assert {r.doc_id: (r.rules, r.cleaned_sha256) for r in out.collect()} == {i: ("INJ-002", cut(t)) for i, t in texts.items() if t is not None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
+
+
 def test_headers(spark):
     b = lambda t: base64.b64encode(t.encode()).decode()
     rows = [('{"scheme":"exact"}', "check"), (b('{"accepted":{"scheme":"exact"},"scheme":"x"}'), "check"), (b('{"scheme":"upto"}'), "abstain:scheme"), ("{}", "abstain:no scheme"), (b("[1]"), "abstain:unreadable"), ("zz", "abstain:unreadable"), ("", "abstain:unreadable"), (None, "abstain:unreadable")]
