@@ -99,6 +99,22 @@ def test_captured_texts_stay_in_their_rows(spark, tmp_path):
     assert "Join" not in plan and plan.count("Relation [") == 1
 
 
+def test_summary_reads_entries_once(spark):
+    """Both uses of the counts made the entries anew, with all their texts."""
+    from sentrel.operators.host import capture_summary
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def restored(i):
+        seen.add(1)
+        return i % 10 == 0
+
+    one = spark.range(100).select(F.array(F.lit("R1")).alias("rules"), F.lit("low").alias("severity"), F.lit("d").alias("day"), F.concat(F.lit("p/"), (F.col("id") % 30).cast("string")).alias("path"), restored("id").alias("restored"))
+    rows = capture_summary(one, 3).collect()
+    assert seen.value == 100 and sum(r.n for r in rows if r.kind == "target") == 12 and {(r.kind, r.n) for r in rows if r.kind in ("captured", "restored")} == {("captured", 90), ("restored", 10)}
+
+
 def test_headers(spark):
     b = lambda t: base64.b64encode(t.encode()).decode()
     rows = [('{"scheme":"exact"}', "check"), (b('{"accepted":{"scheme":"exact"},"scheme":"x"}'), "check"), (b('{"scheme":"upto"}'), "abstain:scheme"), ("{}", "abstain:no scheme"), (b("[1]"), "abstain:unreadable"), ("zz", "abstain:unreadable"), ("", "abstain:unreadable"), (None, "abstain:unreadable")]
